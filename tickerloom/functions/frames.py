@@ -40,16 +40,43 @@ def rolled(aggregate: Column, counted: Column, rows: int, minimum: int | None =
     return F.when(F.count(counted).over(frame) >= (minimum or rows), aggregate.over(frame))
 
 
-def rolled_mean(x: Column | str, rows: int, minimum: int | None = None) -> Column:
-    return rolled(F.avg(c(x)), c(x), rows, minimum)
+def running_totals(x: str, squares: bool = False) -> dict[str, Column]:
+    """Running totals from which any trailing mean or deviation is two lags away.
 
+    A sliding frame re-adds all of its rows for every output row; the totals cost
+    one step per row whatever the window.
+    """
+    known = F.coalesce(F.col(x), F.lit(0.0))
+    totals = {f"_sum_{x}": F.sum(known).over(to_now()), f"_known_{x}": F.count(x).over(to_now())}
+    if squares:
+        totals[f"_squares_{x}"] = F.sum(known * known).over(to_now())
+    return totals
 
-def rolled_std(x: Column | str, rows: int, minimum: int | None = None) -> Column:
-    return rolled(F.stddev_samp(c(x)), c(x), rows, minimum)
+
+def since(total: str, rows: int) -> Column:
+    """Part of a running total that belongs to the last ``rows`` rows."""
+    return F.col(total) - F.coalesce(F.lag(total, rows).over(entity()), F.lit(0))
+
+
+def running_mean(x: str, rows: int) -> Column:
+    n = since(f"_known_{x}", rows)
+    return F.when(n >= rows, since(f"_sum_{x}", rows) / n)
+
+
+def running_std(x: str, rows: int) -> Column:
+    """Sample deviation over a full window."""
+    n, total = since(f"_known_{x}", rows), since(f"_sum_{x}", rows)
+    variance = (since(f"_squares_{x}", rows) - total * total / n) / (n - 1)
+    return F.when(n >= rows, F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
 def rolled_median(x: str, rows: int, minimum: int) -> Column:
-    return rolled(F.expr(f"percentile({x}, 0.5)"), F.col(x), rows, minimum)
+    """Trailing median from the sorted frame; several times cheaper than a framed ``percentile``."""
+    values = F.sort_array(F.collect_list(x).over(trailing(rows)))
+    known = F.count(x).over(trailing(rows)).cast("int")
+    lower = F.element_at(values, F.greatest(((known + 1) / 2).cast("int"), F.lit(1)))
+    upper = F.element_at(values, F.greatest((known / 2).cast("int") + 1, F.lit(1)))
+    return F.when(known >= minimum, (lower + upper) / 2)
 
 
 def change(x: Column | str, rows: int = 1) -> Column:
@@ -66,22 +93,6 @@ def compounded(x: Column, window) -> Column:
     return F.product(1 + x).over(window)
 
 
-def worst_drop(prices: Column) -> Column:
-    """Worst peak-to-trough move inside an array of prices."""
-    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(acc, p):
-        peak = F.greatest(acc["peak"], p)
-        return F.struct(peak.alias("peak"), F.least(acc["worst"], p / peak - 1).alias("worst"))
-
-    return F.aggregate(prices, start, step, lambda acc: acc["worst"])
-
-
-def rolled_drop(x: Column | str, rows: int) -> Column:
-    frame = trailing(rows)
-    return F.when(F.count(c(x)).over(frame) >= rows, worst_drop(F.collect_list(c(x)).over(frame)))
-
-
 def run_length(condition: Column, reset_count: Column) -> Column:
     """Rows since ``condition`` last failed; ``reset_count`` counts failures so far."""
     island = Window.partitionBy("ticker", reset_count).orderBy("date")

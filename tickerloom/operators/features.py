@@ -1,4 +1,10 @@
-"""Trailing technical features; a row at ``t`` uses rows up to ``t`` only."""
+"""Trailing technical features; a row at ``t`` uses rows up to ``t`` only.
+
+A feature is a list of stages, each a dict of columns that may use windows over
+columns of earlier stages.  ``combine`` evaluates stage ``i`` of all features
+together, so Spark plans one window operator per stage (not per feature) over a
+single shuffle and sort by ticker.
+"""
 
 from __future__ import annotations
 
@@ -9,58 +15,164 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import frames as fr
 
+Stages = list[dict[str, Column]]
+
+
+def combine(df: DataFrame, *features: Stages) -> DataFrame:
+    """Evaluate features stage by stage and drop the ``_`` helper columns."""
+    for i in range(max(len(f) for f in features)):
+        merged = {}
+        for f in features:
+            merged |= f[i] if i < len(f) else {}
+        df = df.withColumns(merged)
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def returns_stages(windows: Sequence[int] = (5, 20, 60, 120)) -> Stages:
+    return [{f"return_{w}d": fr.change("adj_close", w) for w in windows}]
+
+
+def volatility_stages(windows: Sequence[int] = (20, 60), annual: bool = True) -> Stages:
+    scale = F.sqrt(F.lit(252.0)) if annual else F.lit(1.0)
+    return [
+        {"daily_return": fr.change("adj_close")},
+        fr.running_totals("daily_return", squares=True),
+        {f"volatility_{w}d": fr.running_std("daily_return", w) * scale for w in windows},
+    ]
+
+
+def average_stages(windows: Sequence[int] = (50, 200)) -> Stages:
+    return [
+        fr.running_totals("adj_close"),
+        {f"ma_{w}d": fr.running_mean("adj_close", w) for w in windows},
+        {f"dist_ma_{w}d": F.col("adj_close") / F.col(f"ma_{w}d") - 1 for w in windows},
+    ]
+
+
+def volume_stages(windows: Sequence[int] = (20, 60)) -> Stages:
+    """z-score; NULL when the window holds one repeated volume."""
+    steady = "_changes_volume"
+    z = {}
+    for w in windows:
+        spread = F.when(fr.since(steady, w - 1) > 0, fr.running_std("volume", w))
+        z[f"volume_z_{w}d"] = (F.col("volume") - fr.running_mean("volume", w)) / F.nullif(spread, F.lit(0.0))
+    changed = (~F.col("volume").eqNullSafe(F.lag("volume").over(fr.entity()))).cast("long")
+    return [
+        {"_changed_volume": changed},
+        fr.running_totals("volume", squares=True) | {steady: F.sum("_changed_volume").over(fr.to_now())},
+        z,
+    ]
+
+
+def rsi_stages(window: int = 14) -> Stages:
+    gain = fr.rolled(F.avg(F.greatest(F.col("_move"), F.lit(0.0))), F.col("_move"), window)
+    loss = fr.rolled(F.avg(-F.least(F.col("_move"), F.lit(0.0))), F.col("_move"), window)
+    value = (
+        F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0)
+        .when((F.col("_loss") == 0) & (F.col("_gain") == 0), 50.0)
+        .otherwise(100.0 - 100.0 / (1.0 + F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))))
+    )
+    return [
+        {"_move": F.col("adj_close") - F.lag("adj_close").over(fr.entity())},
+        {"_gain": gain, "_loss": loss},
+        {f"rsi_{window}d": value},
+    ]
+
+
+def _adjacent(earlier: Column, later: Column) -> Column:
+    """Merge two neighbouring row blocks; NULL when the earlier one does not exist."""
+    return F.when(
+        earlier.isNotNull(),
+        F.struct(
+            F.greatest(earlier["hi"], later["hi"]).alias("hi"),
+            F.least(earlier["lo"], later["lo"]).alias("lo"),
+            F.least(earlier["dd"], later["dd"], later["lo"] / earlier["hi"] - 1).alias("dd"),
+        ),
+    )
+
+
+def drawdown_stages(windows: Sequence[int] = (60, 120)) -> Stages:
+    """Worst peak-to-trough move inside each trailing window.
+
+    Blocks of 1, 2, 4, ... rows ending at each row carry (highest, lowest, worst
+    move) and merge pairwise with one lag.  A window of ``w`` rows is the binary
+    sum of such blocks: O(log w) lags instead of a pass over ``w`` collected prices.
+    """
+    price = F.col("adj_close")
+    stages: Stages = [{"_block0": F.struct(price.alias("hi"), price.alias("lo"), F.lit(0.0).alias("dd"))}]
+    top = max(windows).bit_length() - 1
+    for k in range(1, top + 1):
+        below = f"_block{k - 1}"
+        stages.append({f"_block{k}": _adjacent(F.lag(below, 2 ** (k - 1)).over(fr.entity()), F.col(below))})
+    lags, merges = {}, {w: [] for w in windows}
+    for w in windows:
+        used = 0
+        for k in range(top, -1, -1):
+            if w >> k & 1:
+                part = f"_part_{w}_{k}"
+                lags[part] = F.lag(f"_block{k}", used).over(fr.entity()) if used else F.col(f"_block{k}")
+                merges[w].append(part)
+                used += 2**k
+    stages.append(lags)
+    # Merge the parts of a window, newest first, one step per stage.
+    for i in range(1, max(len(m) for m in merges.values())):
+        step = {}
+        for w, parts in merges.items():
+            if i < len(parts):
+                later = parts[0] if i == 1 else f"_tail_{w}_{i - 1}"
+                step[f"_tail_{w}_{i}"] = _adjacent(F.col(parts[i]), F.col(later))
+        stages.append(step)
+    stages.append(
+        {
+            f"max_drawdown_{w}d": F.col(f"_tail_{w}_{len(m) - 1}" if len(m) > 1 else m[0])["dd"]
+            for w, m in merges.items()
+        }
+    )
+    return stages
+
+
+def strength_stages(symbols: Sequence[str], windows: Sequence[int] = (60, 120)) -> Stages:
+    """Trailing return minus the benchmark's; needs ``px_<symbol>`` aligned but not carried."""
+    return [
+        {f"px_{s.lower()}": fr.carried(f"px_{s.lower()}") for s in symbols},
+        {
+            f"rs_{s.lower()}_{w}d": fr.change("adj_close", w) - fr.change(f"px_{s.lower()}", w)
+            for s in symbols
+            for w in windows
+        },
+    ]
+
 
 def daily_return(bars: DataFrame) -> DataFrame:
     return bars.withColumn("daily_return", fr.change("adj_close"))
 
 
 def trailing_returns(bars: DataFrame, windows: Sequence[int] = (5, 20, 60, 120)) -> DataFrame:
-    return bars.withColumns({f"return_{w}d": fr.change("adj_close", w) for w in windows})
+    return combine(bars, returns_stages(windows))
 
 
-def volatility(with_returns: DataFrame, windows: Sequence[int] = (20, 60), annual: bool = True) -> DataFrame:
-    scale = F.sqrt(F.lit(252.0)) if annual else F.lit(1.0)
-    return with_returns.withColumns(
-        {f"volatility_{w}d": fr.rolled_std("daily_return", w) * scale for w in windows}
-    )
+def volatility(bars: DataFrame, windows: Sequence[int] = (20, 60), annual: bool = True) -> DataFrame:
+    return combine(bars, volatility_stages(windows, annual))
 
 
 def drawdowns(bars: DataFrame, windows: Sequence[int] = (60, 120)) -> DataFrame:
-    """Worst peak-to-trough move inside each trailing window."""
-    return bars.withColumns({f"max_drawdown_{w}d": fr.rolled_drop("adj_close", w) for w in windows})
+    return combine(bars, drawdown_stages(windows))
 
 
 def moving_averages(bars: DataFrame, windows: Sequence[int] = (50, 200)) -> DataFrame:
-    out = bars.withColumns({f"ma_{w}d": fr.rolled_mean("adj_close", w) for w in windows})
-    return out.withColumns({f"dist_ma_{w}d": F.col("adj_close") / F.col(f"ma_{w}d") - 1 for w in windows})
+    return combine(bars, average_stages(windows))
 
 
 def volume_z(bars: DataFrame, windows: Sequence[int] = (20, 60)) -> DataFrame:
-    return bars.withColumns(
-        {
-            f"volume_z_{w}d": (F.col("volume") - fr.rolled_mean("volume", w))
-            / F.nullif(fr.rolled_std("volume", w), F.lit(0.0))
-            for w in windows
-        }
-    )
+    return combine(bars, volume_stages(windows))
 
 
 def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
-    move = F.col("adj_close") - F.lag("adj_close").over(fr.entity())
-    moved = bars.withColumn("_move", move)
-    gain = fr.rolled(F.avg(F.greatest(F.col("_move"), F.lit(0.0))), F.col("_move"), window)
-    loss = fr.rolled(F.avg(-F.least(F.col("_move"), F.lit(0.0))), F.col("_move"), window)
-    out = moved.withColumns({"_gain": gain, "_loss": loss})
-    value = (
-        F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0)
-        .when((F.col("_loss") == 0) & (F.col("_gain") == 0), 50.0)
-        .otherwise(100.0 - 100.0 / (1.0 + F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))))
-    )
-    return out.withColumn(f"rsi_{window}d", value).drop("_move", "_gain", "_loss")
+    return combine(bars, rsi_stages(window))
 
 
-def with_benchmarks(bars: DataFrame, benchmarks: DataFrame, symbols: Sequence[str]) -> DataFrame:
-    """Add ``px_<symbol>``: the benchmark price on the ticker's own dates, carried forward.
+def join_benchmarks(bars: DataFrame, benchmarks: DataFrame, symbols: Sequence[str]) -> DataFrame:
+    """Add ``px_<symbol>`` on exactly matching dates.
 
     ``benchmarks`` has ``(symbol, date, price)``.  Pivoted it holds one row per
     calendar date, which bounds the broadcast.
@@ -68,29 +180,35 @@ def with_benchmarks(bars: DataFrame, benchmarks: DataFrame, symbols: Sequence[st
     wide = benchmarks.groupBy("date").agg(
         *[F.max(F.when(F.col("symbol") == s, F.col("price"))).alias(f"px_{s.lower()}") for s in symbols]
     )
-    joined = bars.join(F.broadcast(wide), "date", "left")
-    return joined.withColumns({f"px_{s.lower()}": fr.carried(f"px_{s.lower()}") for s in symbols})
+    return bars.join(F.broadcast(wide), "date", "left")
 
 
-def relative_strength(aligned: DataFrame, symbols: Sequence[str], windows: Sequence[int] = (60, 120)) -> DataFrame:
-    return aligned.withColumns(
-        {
-            f"rs_{s.lower()}_{w}d": fr.change("adj_close", w) - fr.change(f"px_{s.lower()}", w)
-            for s in symbols
-            for w in windows
-        }
-    )
+def with_benchmarks(bars: DataFrame, benchmarks: DataFrame, symbols: Sequence[str]) -> DataFrame:
+    """Benchmark prices on the ticker's own dates, carried forward."""
+    return combine(join_benchmarks(bars, benchmarks, symbols), strength_stages(symbols)[:1])
+
+
+def relative_strength(
+    bars: DataFrame, benchmarks: DataFrame, symbols: Sequence[str], windows: Sequence[int] = (60, 120)
+) -> DataFrame:
+    return combine(join_benchmarks(bars, benchmarks, symbols), strength_stages(symbols, windows))
 
 
 def technical(
     bars: DataFrame, benchmarks: DataFrame | None = None, symbols: Sequence[str] = ("SPY", "QQQ")
 ) -> DataFrame:
     """All trailing technical columns with the default windows."""
-    out = volatility(trailing_returns(daily_return(bars)))
-    out = rsi(volume_z(moving_averages(drawdowns(out))))
+    features = [
+        returns_stages(),
+        volatility_stages(),
+        average_stages(),
+        volume_stages(),
+        rsi_stages(),
+        drawdown_stages(),
+    ]
     if benchmarks is None:
-        return out
-    return relative_strength(with_benchmarks(out, benchmarks, symbols), symbols)
+        return combine(bars, *features)
+    return combine(join_benchmarks(bars, benchmarks, symbols), *features, strength_stages(symbols))
 
 
 def signal_source(price: Column, mode: str) -> Column:

@@ -57,13 +57,13 @@ def with_slices(df: DataFrame, by, value: str, slices: int = DEFAULT_SLICES) ->
     out = attach_groups(df, cuts, by).withColumn("_lower", F.lit(0))
     for level in range(depth - 1, -1, -1):
         step = 2**level
-        probe = F.col("_cuts").getItem(F.col("_lower") + F.lit(step - 1))
+        probe = F.get("_cuts", F.col("_lower") + F.lit(step - 1))
         out = out.withColumn(
             "_lower",
             F.when(probe < F.col(value), F.col("_lower") + F.lit(step)).otherwise(F.col("_lower")),
         )
     on_cut = (F.col("_lower") < slices - 1) & (
-        F.col("_cuts").getItem(F.least(F.col("_lower"), F.lit(slices - 2))) == F.col(value)
+        F.get("_cuts", F.least(F.col("_lower"), F.lit(slices - 2))) == F.col(value)
     )
     return out.withColumn(
         "_slice", F.col("_lower") * 2 + F.when(on_cut, 1).otherwise(0)
@@ -78,7 +78,7 @@ def with_positions(
     tie_bucket: Column,
     slices: int = DEFAULT_SLICES,
 ) -> DataFrame:
-    """Add exact ``pos`` (1-based row number), ``avg_rank`` and ``group_size``.
+    """Add exact ``pos`` (1-based row number), ``avg_rank``, ``min_rank`` and ``group_size``.
 
     Order is ``value`` ascending, then ``ties``.  ``tie_bucket`` is any monotone
     coarse function of the first tie column; it splits slices that hold one
@@ -115,6 +115,12 @@ def with_positions(
                 F.col("_slice") % 2 == 1, F.col("_slice_before") + (F.col("_slice_n") + 1) / 2.0
             ).otherwise(F.col("_before") + F.col("_rank") + (F.col("_same") - 1) / 2.0),
         )
+        .withColumn(
+            "min_rank",
+            F.when(F.col("_slice") % 2 == 1, F.col("_slice_before") + 1)
+            .otherwise(F.col("_before") + F.col("_rank"))
+            .cast("long"),
+        )
         .drop("_slice", "_sub", "_before", "_slice_n", "_slice_before", "_row", "_rank", "_same")
     )
 

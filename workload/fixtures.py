@@ -128,8 +128,9 @@ def featured(spark: SparkSession, sf: str) -> DataFrame:
 
 def light(spark: SparkSession, sf: str) -> DataFrame:
     """Returns, volatility and aligned benchmarks only: what the labels need."""
-    base = ft.volatility(ft.trailing_returns(ft.daily_return(bars(spark, sf))))
-    return ft.with_benchmarks(base, benchmarks(spark, sf), ["SPY", "QQQ"])
+    symbols = ["SPY", "QQQ"]
+    aligned = ft.join_benchmarks(bars(spark, sf), benchmarks(spark, sf), symbols)
+    return ft.combine(aligned, ft.returns_stages(), ft.volatility_stages(), ft.strength_stages(symbols)[:1])
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,3 +182,71 @@ def scores(spark: SparkSession, sf: str, regimes: bool = False) -> DataFrame:
     return kept.dropna(
         subset=["actual_out", "probability_out", "actual_risk", "probability_risk"]
     ).withColumn("ml_score", 100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("probability_out"))))
+
+
+def line_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven dense series T1..T7, one per line number."""
+    daily = (
+        table(spark, sf, "lineitem")
+        .select(
+            F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("ticker"),
+            F.to_date("l_shipdate").alias("date"),
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
+            "l_quantity",
+        )
+        .groupBy("ticker", "date")
+        .agg(F.avg("unit").alias("level"), F.sum("l_quantity").alias("volume"), F.count(F.lit(1)).alias("n_rows"))
+    )
+    return _ohlc(_priced(daily, "ticker", 0.025), "ticker")
+
+
+def market(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, price) over all shipped lines of a date."""
+    daily = (
+        table(spark, sf, "lineitem")
+        .groupBy(F.to_date("l_shipdate").alias("date"))
+        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("level"))
+        .withColumn("symbol", F.lit("ALL"))
+    )
+    return _priced(daily, "symbol", 0.01).select("date", F.col("adj_close").alias("price"))
+
+
+LAYERS = {"T1": "A", "T2": "A", "T3": "B", "T4": "B", "T5": "C", "T6": "D", "T7": "E"}
+
+
+def layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Layer of each line-number series found in lineitem."""
+    name = F.concat(F.lit("T"), F.col("l_linenumber").cast("string"))
+    pairs = F.create_map(*[F.lit(x) for kv in LAYERS.items() for x in kv])
+    return table(spark, sf, "lineitem").select(name.alias("ticker")).distinct().select(pairs[F.col("ticker")].alias("layer"), "ticker")
+
+
+def portfolio(spark: SparkSession, sf: str, names: int = 25) -> DataFrame:
+    """The names with the largest traded value, in that order (a top-k list)."""
+    top = (
+        table(spark, sf, "lineitem")
+        .groupBy("l_suppkey")
+        .agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+        .orderBy(F.col("v").desc(), "l_suppkey")
+        .limit(names)
+    )
+    w = Window.orderBy(F.col("v").desc(), "l_suppkey")
+    return top.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.row_number().over(w).alias("pos")
+    )
+
+
+def current(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest row per ticker with pseudo-scores, last month's weight and action."""
+    from tickerloom.operators import allocation as al
+    from tickerloom.operators import decision as dc
+
+    rows = _pseudo(featured(spark, sf)).withColumns(
+        {"probability_out": F.col("p_out"), "probability_risk": F.col("p_risk"), "ml_score": dc.ml_score(F.col("p_out"))}
+    )
+    w = Window.partitionBy("ticker").orderBy("date")
+    was = al.raw_weight(
+        F.lag("ml_score", 20).over(w), F.lag("probability_risk", 20).over(w), F.lag("regime", 20).over(w), al.Limits()
+    )
+    latest = dc.latest_rows(rows.withColumn("current_weight", was))
+    return latest.withColumn("previous_action", al.action(F.lit(0.0), F.col("current_weight")))

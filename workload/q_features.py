@@ -28,7 +28,7 @@ def trailing_returns(spark, sf):
 
 @query("rolling_volatility", sp.with_(sp.ALIGNED, f"SELECT {KEY}{rs('volatility_20d, volatility_60d')} FROM light"))
 def rolling_volatility(spark, sf):
-    return shown(ft.volatility(ft.daily_return(fx.bars(spark, sf))), "ticker", "date", "volatility_20d", "volatility_60d")
+    return shown(ft.volatility(fx.bars(spark, sf)), "ticker", "date", "volatility_20d", "volatility_60d")
 
 
 @query(
@@ -59,8 +59,7 @@ def volume_z(spark, sf):
     sp.with_(sp.TECHNICAL, f"SELECT {KEY}{rs('px_spy, px_qqq, rs_spy_60d, rs_spy_120d, rs_qqq_60d, rs_qqq_120d')} FROM technical"),
 )
 def relative_strength(spark, sf):
-    aligned = ft.with_benchmarks(fx.bars(spark, sf), fx.benchmarks(spark, sf), ["SPY", "QQQ"])
-    df = ft.relative_strength(aligned, ["SPY", "QQQ"])
+    df = ft.relative_strength(fx.bars(spark, sf), fx.benchmarks(spark, sf), ["SPY", "QQQ"])
     return shown(df, "ticker", "date", "px_spy", "px_qqq", "rs_spy_60d", "rs_spy_120d", "rs_qqq_60d", "rs_qqq_120d")
 
 

@@ -39,7 +39,7 @@ def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def r(expression: str, name: str | None = None, digits: int = 6) -> str:
     """SQL twin of ``shown`` for one column."""
-    return f"round({expression}, {digits}) + 0.0 AS {name or expression}"
+    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name or expression}"
 
 
 def rs(names: str, digits: int = 6) -> str:

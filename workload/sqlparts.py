@@ -189,3 +189,65 @@ REGIME_SCORES = PANEL + "," + scored("panel", ", regime, dist_ma_200d")
 
 def with_(parts: str, body: str) -> str:
     return f"WITH {parts.strip()}\n{body}"
+
+
+LINES = f"""
+lb_d AS MATERIALIZED (
+  SELECT concat('T', CAST(l_linenumber AS VARCHAR)) AS ticker, CAST(l_shipdate AS DATE) AS date,
+         avg(l_extendedprice / l_quantity) AS level, sum(l_quantity) AS volume, count(*) AS n_rows
+  FROM lineitem GROUP BY 1, 2),
+lb_p AS ({_priced("lb_d", "ticker", 0.025)}),
+line_bars AS MATERIALIZED ({_ohlc("lb_p")}),
+mk_d AS (SELECT 'ALL' AS symbol, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS level FROM lineitem GROUP BY 2),
+market AS MATERIALIZED (SELECT date, adj_close AS price FROM ({_priced("mk_d", "symbol", 0.01)}))"""
+
+PORTFOLIO = """
+pf_v AS (SELECT l_suppkey, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1),
+portfolio AS MATERIALIZED (SELECT concat('S', CAST(l_suppkey AS VARCHAR)) AS ticker, row_number() OVER (ORDER BY v DESC, l_suppkey) AS pos
+  FROM pf_v QUALIFY pos <= 25)"""
+
+
+def multiplier(regime: str = "regime") -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.REGIME_MULTIPLIER.items())
+    return f"CASE {regime} {cases} ELSE {fixed.UNKNOWN_REGIME_MULTIPLIER} END"
+
+
+def raw_weight(score: str, risk: str, regime: str, maximum=0.12, high=0.6, moderate=0.4, minimum=0.01) -> str:
+    p = f"(CASE WHEN coalesce({risk}, 1) = 0 THEN 1.0 ELSE coalesce({risk}, 1) END)"
+    s = f"coalesce({score}, 0)"
+    band = f"(CASE WHEN {s} >= 80 THEN 1.0 WHEN {s} >= 60 THEN 0.75 WHEN {s} >= 40 THEN 0.5 WHEN {s} >= 20 THEN 0.25 ELSE 0.0 END)"
+    m = f"(CASE WHEN {p} >= {high} THEN 0.0 WHEN {p} >= {moderate} THEN {band} * 0.5 ELSE {band} END)"
+    t = f"({maximum} * {m} * ({multiplier(regime)}))"
+    return f"CASE WHEN {t} > 0 AND {t} < {minimum} THEN 0.0 ELSE {t} END"
+
+
+def action(now: str, target: str, minimum: float = 0.01) -> str:
+    return (
+        f"CASE WHEN {target} <= 0 AND {now} > {minimum} THEN 'Exit' WHEN {target} <= 0 THEN 'Watch' "
+        f"WHEN {now} <= {minimum} AND {target} > {minimum} THEN 'Add' WHEN {target} > {now} + {minimum} THEN 'Add' "
+        f"WHEN {target} < {now} - {minimum} THEN 'Trim' ELSE 'Hold' END"
+    )
+
+
+_LAG20 = {c: f"lag({c}, 20) OVER (PARTITION BY ticker ORDER BY date)" for c in ("ml_score", "probability_risk", "regime")}
+
+CURRENT = FEATURED + f""",
+cur_p AS (SELECT *, 1 / (1 + exp(-20 * return_20d)) AS probability_out, 1 / (1 + exp(-10 * (volatility_20d - 0.42))) AS probability_risk,
+  100 * greatest(0, least(1, 1 / (1 + exp(-20 * return_20d)))) AS ml_score FROM featured),
+cur_l AS (SELECT *, {_LAG20['ml_score']} AS s0, {_LAG20['probability_risk']} AS r0, {_LAG20['regime']} AS g0,
+  row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS newest FROM cur_p),
+cur AS MATERIALIZED (SELECT * EXCLUDE (s0, r0, g0, newest), {raw_weight('s0', 'r0', 'g0')} AS current_weight,
+  {action('0.0', '(' + raw_weight('s0', 'r0', 'g0') + ')')} AS previous_action FROM cur_l WHERE newest = 1),
+cur_r AS (SELECT *, {raw_weight('ml_score', 'probability_risk', 'regime')} AS raw FROM cur),
+cur_g AS (SELECT *, sum(raw) OVER () AS gross FROM cur_r),
+cur_w AS (SELECT *, CASE WHEN gross > 0.9 THEN 0.9 / gross ELSE 1.0 END AS scale FROM cur_g),
+cur_a AS (SELECT *, raw * scale AS target_weight FROM cur_w),
+alloc AS MATERIALIZED (SELECT *, {action('current_weight', 'target_weight')} AS suggested_action,
+  CASE WHEN rs_spy_60d IS NOT NULL THEN rank() OVER (ORDER BY rs_spy_60d DESC NULLS LAST) END AS rs_rank_min,
+  CASE WHEN rs_spy_60d IS NOT NULL THEN rank() OVER (ORDER BY rs_spy_60d DESC NULLS LAST) + (count(*) OVER (PARTITION BY rs_spy_60d) - 1) / 2.0 END AS rs_rank_avg,
+  CASE WHEN target_weight / 0.12 >= 0.875 THEN '100%' WHEN target_weight / 0.12 >= 0.625 THEN '75%' WHEN target_weight / 0.12 >= 0.375 THEN '50%'
+       WHEN target_weight / 0.12 >= 0.125 THEN '25%' ELSE '0%' END AS bucket,
+  CASE WHEN ml_score IS NULL OR probability_risk IS NULL THEN 'Low'
+       WHEN greatest(abs(ml_score - 50) / 50, abs(probability_risk - 0.5) * 2) >= 0.5 THEN 'High'
+       WHEN greatest(abs(ml_score - 50) / 50, abs(probability_risk - 0.5) * 2) >= 0.2 THEN 'Medium' ELSE 'Low' END AS confidence
+  FROM cur_a)"""
