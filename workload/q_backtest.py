@@ -230,11 +230,11 @@ def allocation(spark, sf):
 
 PORTFOLIO_SQL = REBALANCE_SQL + f""",
 held AS MATERIALIZED (SELECT d.date, max(r.rebalance_date) AS rebalance_date FROM days d LEFT JOIN (SELECT DISTINCT rebalance_date FROM weights) r ON r.rebalance_date < d.date GROUP BY 1),
-held2 AS (SELECT date, lag(rebalance_date) OVER (ORDER BY date) AS rebalance_date FROM held),
+held2 AS MATERIALIZED (SELECT date, lag(rebalance_date) OVER (ORDER BY date) AS rebalance_date FROM held),
 rets AS MATERIALIZED (SELECT ticker, date, coalesce({sp.change('adj_close', 1)}, 0) AS ret FROM bars),
-pos AS (SELECT b.ticker, b.date, b.ret, coalesce(w.weight, 0) AS weight FROM rets b JOIN held h USING (date) LEFT JOIN weights w ON w.ticker = b.ticker AND w.rebalance_date = h.rebalance_date),
-pos2 AS (SELECT b.ticker, b.date, b.ret, coalesce(w.weight, 0) AS weight FROM rets b JOIN held2 h USING (date) LEFT JOIN weights w ON w.ticker = b.ticker AND w.rebalance_date = h.rebalance_date),
-contrib AS (SELECT ticker, sum(weight * ret) AS return_contribution, sum(CASE WHEN weight * ret < 0 THEN weight * ret ELSE 0 END) AS downside_contribution FROM pos2 GROUP BY 1),
+pos AS MATERIALIZED (SELECT b.ticker, b.date, b.ret, coalesce(w.weight, 0) AS weight FROM rets b JOIN held h USING (date) LEFT JOIN weights w ON w.ticker = b.ticker AND w.rebalance_date = h.rebalance_date),
+pos2 AS MATERIALIZED (SELECT b.ticker, b.date, b.ret, coalesce(w.weight, 0) AS weight FROM rets b JOIN held2 h USING (date) LEFT JOIN weights w ON w.ticker = b.ticker AND w.rebalance_date = h.rebalance_date),
+contrib AS MATERIALIZED (SELECT ticker, sum(weight * ret) AS return_contribution, sum(CASE WHEN weight * ret < 0 THEN weight * ret ELSE 0 END) AS downside_contribution FROM pos2 GROUP BY 1),
 rcal AS (SELECT rebalance_date, lag(rebalance_date) OVER (ORDER BY rebalance_date) AS prev FROM (SELECT DISTINCT rebalance_date FROM weights)),
 both_w AS (SELECT ticker, rebalance_date, weight AS w, 0.0 AS was FROM weights UNION ALL
            SELECT w.ticker, c.rebalance_date, 0.0, w.weight FROM weights w JOIN rcal c ON c.prev = w.rebalance_date),
@@ -253,9 +253,9 @@ def _portfolio(spark, sf):
     return fx.bars(spark, sf), fx.shipping_days(spark, sf), weights
 
 
-@query("portfolio_returns", sp.with_(PORTFOLIO_SQL, f"SELECT date, holdings, {rs(PF_COLUMNS)} FROM pcurve"))
+@query("portfolio_returns", sp.with_(PORTFOLIO_SQL, f"SELECT date, holdings, {rs(PF_COLUMNS, digits=8)} FROM pcurve"))
 def portfolio_returns(spark, sf):
-    return shown(al.portfolio_curve(*_portfolio(spark, sf)), "date", "holdings", *PF_COLUMNS.split(", "))
+    return shown(al.portfolio_curve(*_portfolio(spark, sf)), "date", "holdings", *PF_COLUMNS.split(", "), digits=8)
 
 
 @query("contribution", sp.with_(PORTFOLIO_SQL, f"SELECT ticker, {rs('return_contribution, downside_contribution')} FROM contrib"))
