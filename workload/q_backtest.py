@@ -244,7 +244,7 @@ pc_a AS (SELECT h.date, h.rebalance_date, coalesce(g.gross_return, 0) AS gross_r
   CASE WHEN h.rebalance_date IS DISTINCT FROM lag(h.rebalance_date) OVER (ORDER BY h.date) THEN coalesce(s.traded, 0) ELSE 0 END AS turnover
   FROM held h LEFT JOIN (SELECT date, sum(weight * ret) AS gross_return FROM pos GROUP BY 1) g USING (date) LEFT JOIN rstat s ON s.rebalance_date = h.rebalance_date),
 pc_b AS (SELECT *, gross_return - turnover * 0.0007 AS portfolio_return, 1 - gross_exposure AS cash FROM pc_a),
-pcurve AS MATERIALIZED (SELECT *, 100000 * product(1 + portfolio_return) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS portfolio_equity FROM pc_b)"""
+pcurve AS MATERIALIZED (SELECT *, product(1 + portfolio_return) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS portfolio_equity FROM pc_b)"""
 PF_COLUMNS = "gross_return, gross_exposure, turnover, portfolio_return, cash, portfolio_equity"
 
 
@@ -255,7 +255,7 @@ def _portfolio(spark, sf):
 
 @query("portfolio_returns", sp.with_(PORTFOLIO_SQL, f"SELECT date, holdings, {rs(PF_COLUMNS, digits=8)} FROM pcurve"))
 def portfolio_returns(spark, sf):
-    return shown(al.portfolio_curve(*_portfolio(spark, sf)), "date", "holdings", *PF_COLUMNS.split(", "), digits=8)
+    return shown(al.portfolio_curve(*_portfolio(spark, sf), capital=1.0), "date", "holdings", *PF_COLUMNS.split(", "), digits=8)
 
 
 @query("contribution", sp.with_(PORTFOLIO_SQL, f"SELECT ticker, {rs('return_contribution, downside_contribution')} FROM contrib"))
@@ -276,7 +276,7 @@ def contribution(spark, sf):
 )
 def portfolio_summary(spark, sf):
     bars, days, weights = _portfolio(spark, sf)
-    curve = al.portfolio_curve(bars, days, weights)
+    curve = al.portfolio_curve(bars, days, weights, capital=1.0)
     return shown(al.portfolio_summary(curve, al.contribution(al.positions(bars, days, weights, lag=2))))
 
 
