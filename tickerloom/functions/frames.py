@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions.stats import over
+
 
 def entity():
     return Window.partitionBy("ticker").orderBy("date")
@@ -81,7 +83,7 @@ def rolled_median(x: str, rows: int, minimum: int) -> Column:
 
 def change(x: Column | str, rows: int = 1) -> Column:
     """Return over ``rows`` rows of the entity's own calendar."""
-    return c(x) / F.lag(c(x), rows).over(entity()) - 1
+    return over(c(x), F.lag(c(x), rows).over(entity())) - 1
 
 
 def carried(x: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
+from tickerloom.functions.stats import over
 from tickerloom.operators.backtest import performance
 from tickerloom.operators.regime import mapped
 
@@ -59,7 +60,7 @@ def raw_weight(score: Column, risk: Column, regime: Column, limits: Limits, vola
     m = F.when(p >= limits.high_risk, 0.0).when(p >= limits.moderate_risk, m * 0.5).otherwise(m)
     m = m * mapped(regime, fixed.REGIME_MULTIPLIER, fixed.UNKNOWN_REGIME_MULTIPLIER)
     if limits.volatility_target and volatility is not None:
-        scale = F.least(F.lit(1.0), F.lit(limits.volatility_target) / volatility)
+        scale = F.least(F.lit(1.0), over(F.lit(limits.volatility_target), volatility))
         m = m * F.when(volatility > 0, scale).otherwise(1.0)
     target = F.lit(limits.max_position) * m
     return F.when((target > 0) & (target < limits.min_position), 0.0).otherwise(target)
@@ -205,7 +206,7 @@ def positions(bars: DataFrame, days: DataFrame, weights: DataFrame, lag: int = 1
         "ticker",
         "date",
         F.coalesce(
-            F.col("adj_close") / F.lag("adj_close").over(Window.partitionBy("ticker").orderBy("date")) - 1, F.lit(0.0)
+            over(F.col("adj_close"), F.lag("adj_close").over(Window.partitionBy("ticker").orderBy("date"))) - 1, F.lit(0.0)
         ).alias("r"),
     )
     held = returns.join(F.broadcast(held_weights(days, weights, lag)), "date", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
+from tickerloom.functions.stats import correlation
 from tickerloom.operators.metrics import concentration, quantile_bucketed
 from tickerloom.plans.ranking import with_positions
 
@@ -131,10 +132,9 @@ def feature_columns(panel: DataFrame, group: str = "all", prune: bool = True) ->
 def correlation_pairs(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete |correlation| of column pairs: one row, one pass, then unfolded."""
     pairs = list(combinations(columns, 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    one = panel.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = panel.agg(*[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.abs(F.col(f"c{i}")).alias("abs_correlation")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*rows))).filter("NOT isnan(abs_correlation)")
+    return one.select(F.inline(F.array(*rows))).filter("abs_correlation IS NOT NULL")
 
 
 def collect_pairs(panel: DataFrame, columns: Sequence[str], threshold: float = 0.98) -> list[tuple[float, str, str]]:
@@ -244,7 +244,7 @@ def feature_signal(panel: DataFrame, features: Sequence[str], h: int = 20, minim
             a = with_positions(a, ["feature"], other, ["date", "ticker"], F.col("date")).withColumnRenamed("avg_rank", "_b")
         else:
             b = other
-        return a.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("_a", b).alias("r"))
+        return a.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_a"), F.col(b)).alias("r"))
 
     base = spearman(rows, target, True).select("feature", F.col("n").alias("valid_sample_count"), F.col("r").alias("spearman_to_return_target"))
     ret = spearman(rows, up, False).select("feature", F.abs("r").alias("abs_spearman_to_return_label"))

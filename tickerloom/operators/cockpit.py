@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import frames as fr
+from tickerloom.functions.stats import over
 
 
 def snapshot(technical: DataFrame) -> DataFrame:
     """Latest known value of every price metric per ticker."""
     price = F.col("adj_close")
     high = F.when(F.count(price).over(fr.trailing(126)) >= 20, F.max(price).over(fr.trailing(126)))
-    rows = technical.withColumn("from_126d_high", price / high - 1)
+    rows = technical.withColumn("from_126d_high", over(price, high) - 1)
     names = {
         "price": "adj_close",
         "return_20d": "return_20d",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions.stats import correlation
 from tickerloom.operators.features import daily_return
 from tickerloom.plans.storage import settle
 
@@ -22,7 +23,7 @@ def pair_correlation(bars: DataFrame, portfolio: DataFrame, rows: int = 60, mini
     newest = Window.partitionBy("ticker_a", "ticker_b").orderBy(F.col("date").desc())
     recent = a.join(b, (a["date"] == b["date"]) & (F.col("pa") < F.col("pb"))).select(a["date"], "ticker_a", "ticker_b", "ra", "rb")
     recent = recent.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= rows)
-    measured = recent.groupBy("ticker_a", "ticker_b").agg(F.count(F.lit(1)).alias("sample_count"), F.corr("ra", "rb").alias("corr"))
+    measured = recent.groupBy("ticker_a", "ticker_b").agg(F.count(F.lit(1)).alias("sample_count"), correlation(F.col("ra"), F.col("rb")).alias("corr"))
     left = portfolio.select(F.col("ticker").alias("ticker_a"), F.col("pos").alias("pa"))
     right = portfolio.select(F.col("ticker").alias("ticker_b"), F.col("pos").alias("pb"))
     listed = left.join(right, F.col("pa") < F.col("pb")).select("ticker_a", "ticker_b")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions import frames as fr
+from tickerloom.functions.stats import over
 
 Stages = list[dict[str, Column]]
 
@@ -45,7 +46,7 @@ def average_stages(windows: Sequence[int] = (50, 200)) -> Stages:
     return [
         fr.running_totals("adj_close"),
         {f"ma_{w}d": fr.running_mean("adj_close", w) for w in windows},
-        {f"dist_ma_{w}d": F.col("adj_close") / F.col(f"ma_{w}d") - 1 for w in windows},
+        {f"dist_ma_{w}d": over(F.col("adj_close"), F.col(f"ma_{w}d")) - 1 for w in windows},
     ]
 
 
@@ -86,7 +87,7 @@ def _adjacent(earlier: Column, later: Column) -> Column:
         F.struct(
             F.greatest(earlier["hi"], later["hi"]).alias("hi"),
             F.least(earlier["lo"], later["lo"]).alias("lo"),
-            F.least(earlier["dd"], later["dd"], later["lo"] / earlier["hi"] - 1).alias("dd"),
+            F.least(earlier["dd"], later["dd"], over(later["lo"], earlier["hi"]) - 1).alias("dd"),
         ),
     )
 
@@ -215,7 +216,7 @@ def signal_source(price: Column, mode: str) -> Column:
     """Input series of the spectral transform."""
     previous = F.lag(price).over(fr.entity())
     if mode == "returns":
-        return price / previous - 1
+        return over(price, previous) - 1
     if mode == "log_price":
         return F.log(price)
     if mode == "log_returns":

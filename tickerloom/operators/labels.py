@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom import fixed
 from tickerloom.functions import frames as fr
+from tickerloom.functions.stats import over
 from tickerloom.plans.ranking import with_positions
 from tickerloom.plans.storage import settle
 
@@ -20,12 +21,12 @@ def as_label(condition: Column, known: Column | None = None) -> Column:
 
 
 def forward_return(price: Column | str, h: int) -> Column:
-    return F.lead(fr.c(price), h).over(fr.entity()) / fr.c(price) - 1
+    return over(F.lead(fr.c(price), h).over(fr.entity()), fr.c(price)) - 1
 
 
 def forward_drawdown(price: Column | str, h: int) -> Column:
     lowest = F.min(fr.c(price)).over(fr.leading(h))
-    return F.when(F.lead(F.lit(1), h).over(fr.entity()).isNotNull(), lowest / fr.c(price) - 1)
+    return F.when(F.lead(F.lit(1), h).over(fr.entity()).isNotNull(), over(lowest, fr.c(price)) - 1)
 
 
 def forward_outcomes(aligned: DataFrame, benchmark: str, h: int = 20) -> DataFrame:

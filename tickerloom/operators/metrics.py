@@ -57,7 +57,7 @@ def binary_metrics(
         F.sum(F.when(called, tp).otherwise(0.0)).alias("_hit"),
         F.sum(F.when(called, n).otherwise(0)).alias("_called"),
         F.sum(tp * (neg_below + (n - tp) / 2)).alias("_area"),
-        F.sum(tp / pos * (pos - F.col("below__tp")) / (total - F.col("below__n"))).alias("_ap"),
+        F.sum(tp / F.nullif(pos, F.lit(0.0)) * (pos - F.col("below__tp")) / (total - F.col("below__n"))).alias("_ap"),
     )
     pos, neg = F.col("positive_count"), F.col("sample_count") - F.col("positive_count")
     both = (pos > 0) & (neg > 0)
@@ -75,7 +75,7 @@ def binary_metrics(
         precision.alias("precision"),
         recall.alias("recall"),
         F.coalesce(ratio(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"),
-        F.when(both, F.col("_area") / (pos * neg)).alias("roc_auc"),
+        F.when(both, F.col("_area") / F.nullif(pos * neg, F.lit(0.0))).alias("roc_auc"),
         F.when(both, F.col("_ap")).alias("pr_auc"),
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.buckets import TOLERANCE, rank_bucket, score_band, shape, spread_direction, third
+from tickerloom.functions.stats import correlation
 from tickerloom.operators.metrics import DATE_TIES, binary_metrics, quantile_bucketed, worst_group
 from tickerloom.plans.ranking import with_positions
 
@@ -218,9 +219,9 @@ def direction_summary(scores: DataFrame, minimum: int = BUCKET, samples: int = S
     both = with_positions(first, [], "forward_excess_return", DATE_TIES, F.col("date"))
     out = both.agg(
         F.count(F.lit(1)).alias("sample_size"),
-        F.corr("_rs", "avg_rank").alias("score_to_forward_return_spearman"),
-        F.corr("_rs", "actual_out").alias("score_to_return_label_spearman"),
-        F.corr("_rs", "actual_risk").alias("score_to_drawdown_label_spearman"),
+        correlation(F.col("_rs"), F.col("avg_rank")).alias("score_to_forward_return_spearman"),
+        correlation(F.col("_rs"), F.col("actual_out")).alias("score_to_return_label_spearman"),
+        correlation(F.col("_rs"), F.col("actual_risk")).alias("score_to_drawdown_label_spearman"),
         *band_aggregates(F.col("ml_score"), "forward_excess_return", minimum, "m"),
     )
     return out.select(

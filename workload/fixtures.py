@@ -24,7 +24,7 @@ def _priced(daily: DataFrame, key: str, scale: float) -> DataFrame:
     """Turn a daily level into a price: cumulated standardized shocks."""
     whole = Window.partitionBy(key)
     so_far = whole.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    shock = scale * (F.col("level") - F.avg("level").over(whole)) / F.stddev_samp("level").over(whole)
+    shock = scale * (F.col("level") - F.avg("level").over(whole)) / F.nullif(F.stddev_samp("level").over(whole), F.lit(0.0))
     return daily.withColumn("shock", shock).withColumn("adj_close", 100 * F.exp(F.sum("shock").over(so_far)))
 
 

@@ -9,6 +9,7 @@ from tickerloom.operators import challenge as ch
 from tickerloom.operators import folds as fo
 from tickerloom.operators import labels as lb
 from tickerloom.operators import metrics as mt
+from tickerloom.functions.stats import correlation
 from tickerloom.plans.storage import settle
 from workload import fixtures as fx
 from workload import sqlparts as sp
@@ -226,7 +227,7 @@ def _importance(spark, sf):
     days = fx.shipping_days(spark, sf)
     tested = fo.assign(rows, fx.fold_bounds(spark, sf), "test", days)
     links = (("outperformance", "label_link", "label_outperform_20d"), ("outperformance", "return_link", "forward_20d_return"), ("drawdown_risk", "label_link", "label_drawdown_risk_20d"))
-    one = tested.groupBy("fold").agg(*[F.round(F.abs(F.corr(c, y)), 9).alias(f"{t}|{m}|{c}") for t, m, y in links for c in IMPORTANT])
+    one = tested.groupBy("fold").agg(*[F.round(F.abs(correlation(F.col(c), F.col(y))), 9).alias(f"{t}|{m}|{c}") for t, m, y in links for c in IMPORTANT])
     entries = [
         F.struct(F.lit(t).alias("target"), F.lit(m).alias("model"), F.lit(c).alias("feature"), F.col(f"`{t}|{m}|{c}`").alias("abs_importance")) for t, m, _ in links for c in IMPORTANT
     ]

@@ -74,7 +74,7 @@ def robustness_grid(spark, sf):
     grid = md.parameter_grid(spark, enter=[0.5, 0.6, 0.7], avoid=[0.4, 0.5], cost_bps=[0.0, 5.0, 10.0])
     rows = s.crossJoin(F.broadcast(grid)).withColumn("on", (F.col("probability_out") >= F.col("enter")) & (F.col("probability_risk") < F.col("avoid")))
     net = F.when(F.col("on"), F.col("forward_excess_return") - 2 * F.col("cost_bps") / 10000)
-    cases = rows.groupBy("case_id").agg((F.avg(net) / F.stddev_samp(net)).alias("sharpe"))
+    cases = rows.groupBy("case_id").agg((F.avg(net) / F.nullif(F.stddev_samp(net), F.lit(0.0))).alias("sharpe"))
     return shown(md.robustness(cases, "sharpe"))
 
 
