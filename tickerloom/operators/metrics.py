@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.buckets import edge_bucket
 from tickerloom.plans.ranking import (
-    DEFAULT_SLICES,
+    AUTO,
     attach_groups,
     quantile_points,
     with_positions,
@@ -29,7 +29,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def binary_metrics(
-    df: DataFrame, by: Sequence[str], label: str, probability: str, threshold: float = 0.5, slices: int | None = DEFAULT_SLICES
+    df: DataFrame, by: Sequence[str], label: str, probability: str, threshold: float = 0.5, slices: int | None = AUTO
 ) -> DataFrame:
     """Counts, rates, Brier, ROC-AUC and average precision per group.
 

@@ -45,7 +45,7 @@ def balance(panel: DataFrame, targets: dict[str, str], h: int = 20) -> DataFrame
 def bucket_rates(predictions: DataFrame, by: Sequence[str], minimum: int = 5) -> DataFrame:
     """Positive rate of the top and bottom rank third per group; settled input."""
     by = list(by)
-    placed = with_positions(predictions.dropna(subset=["actual", "probability"]), by, "probability", DATE_TIES, F.col("date"), slices=8)
+    placed = with_positions(predictions.dropna(subset=["actual", "probability"]), by, "probability", DATE_TIES, F.col("date"))
     placed = placed.withColumn("_b", rank_bucket(F.col("pos"), F.col("group_size"), 3))
     top, bottom = F.col("_b") == 2, F.col("_b") == 0
     out = placed.groupBy(*by).agg(
@@ -64,7 +64,7 @@ def walk_forward_table(predictions: DataFrame, by: Sequence[str] = ("target_id",
     by = list(by)
     base = binary_metrics(predictions, by, "actual", "probability").withColumnRenamed("sample_count", "prediction_count")
     folds = predictions.groupBy(*by).agg(F.count_distinct("fold").alias("folds"))
-    per_fold = binary_metrics(predictions, [*by, "fold"], "actual", "probability", slices=8).filter("roc_auc IS NOT NULL")
+    per_fold = binary_metrics(predictions, [*by, "fold"], "actual", "probability").filter("roc_auc IS NOT NULL")
     worst_fold = per_fold.groupBy(*by).agg(F.min(F.struct(F.round("roc_auc", 12).alias("a"), "fold")).alias("_w")).select(
         *by, F.col("_w.fold").alias("worst_fold"), F.col("_w.a").alias("worst_fold_roc_auc")
     )

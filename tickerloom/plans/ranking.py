@@ -15,6 +15,9 @@ below split each group into value slices first:
 The cut points only balance the work.  The numbering is exact for any cut points
 because slices are ordered and disjoint.  Inputs have to be settled (see
 ``storage``) so that all passes see the same values.
+
+The number of slices follows from the measured size of the largest group: up to
+``ROWS_PER_TASK`` rows a plain window is one shuffle and is used as it is.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SLICES = 32
+AUTO = 0
+ROWS_PER_TASK = 1_000_000
+MOST_SLICES = 4096
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, 0)
 
@@ -45,7 +50,16 @@ def _as_names(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def with_slices(df: DataFrame, by, value: str, slices: int = DEFAULT_SLICES) -> DataFrame:
+def slices_needed(df: DataFrame, by: Sequence[str]) -> int:
+    """1 when every group fits a task; otherwise enough slices for the largest group."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
+    if biggest <= ROWS_PER_TASK:
+        return 1
+    return min(MOST_SLICES, 2 ** math.ceil(math.log2(2 * biggest / ROWS_PER_TASK)))
+
+
+def with_slices(df: DataFrame, by, value: str, slices: int) -> DataFrame:
     """Add ``_slice``: odd slices hold one single value, even ones a value range."""
     by = _as_names(by)
     depth = max(1, math.ceil(math.log2(slices)))
@@ -76,7 +90,7 @@ def with_positions(
     value: str,
     ties: Sequence[str],
     tie_bucket: Column,
-    slices: int = DEFAULT_SLICES,
+    slices: int = AUTO,
 ) -> DataFrame:
     """Add exact ``pos`` (1-based row number), ``avg_rank``, ``min_rank`` and ``group_size``.
 
@@ -85,6 +99,18 @@ def with_positions(
     repeated value.  Rows with a NULL value must be filtered out first.
     """
     by = _as_names(by)
+    slices = slices or slices_needed(df, by)
+    if slices == 1:
+        whole = Window.partitionBy(*by)
+        rank = F.rank().over(whole.orderBy(value))
+        same = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+        return df.select(
+            "*",
+            F.row_number().over(whole.orderBy(value, *ties)).cast("long").alias("pos"),
+            (rank + (same - 1) / 2.0).alias("avg_rank"),
+            rank.cast("long").alias("min_rank"),
+            F.count(F.lit(1)).over(whole).alias("group_size"),
+        )
     sliced = with_slices(df, by, value, slices).withColumn(
         "_sub", F.when(F.col("_slice") % 2 == 1, tie_bucket.cast("string")).otherwise(F.lit(""))
     )
@@ -126,7 +152,7 @@ def with_positions(
 
 
 def with_running_totals(
-    df: DataFrame, by, value: str, columns: Sequence[str], slices: int | None = DEFAULT_SLICES
+    df: DataFrame, by, value: str, columns: Sequence[str], slices: int | None = AUTO
 ) -> DataFrame:
     """Add ``below_<c>``: total of ``c`` over rows of the group with a smaller value.
 
@@ -134,7 +160,9 @@ def with_running_totals(
     size is bounded by the calendar and runs as one window per group.
     """
     by = _as_names(by)
-    if slices is None:
+    if slices == AUTO and slices is not None:
+        slices = slices_needed(df, by)
+    if slices is None or slices == 1:
         w = Window.partitionBy(*by).orderBy(value).rowsBetween(*BEFORE)
         return df.select(
             "*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"below_{c}") for c in columns]
