@@ -122,11 +122,11 @@ fl_t AS (SELECT *, CASE WHEN abs(max_drawdown) <= 1e-12 THEN CASE WHEN total_ret
 flags AS MATERIALIZED (SELECT ticker, strategy,
   first_value(strategy) OVER (PARTITION BY ticker ORDER BY final_value DESC, strategy_order) AS best_strategy_per_ticker,
   first_value(strategy) OVER (PARTITION BY ticker ORDER BY final_value, strategy_order) AS worst_strategy_per_ticker,
-  final_value > hv AS beats_buy_hold, final_value > sv AS beats_200dma, total_return > pt AND tr > ptr AS improves_return_drawdown_tradeoff_vs_ssl,
-  pv > hv AS ssl_beats_buy_hold, pv > sv AS ssl_beats_200dma, wv > ov AS ml_adds_value_vs_non_ml_app_rule FROM fl_t)"""
+  final_value > hv AS beats_buy_hold, final_value > sv AS beats_200dma, total_return > pt AND tr > ptr AS improves_return_drawdown_tradeoff_vs_production,
+  pv > hv AS production_beats_buy_hold, pv > sv AS production_beats_200dma, wv > ov AS ml_adds_value_vs_non_ml_app_rule FROM fl_t)"""
 FLAG_COLUMNS = (
     "ticker, strategy, best_strategy_per_ticker, worst_strategy_per_ticker, beats_buy_hold, beats_200dma, "
-    "improves_return_drawdown_tradeoff_vs_ssl, ssl_beats_buy_hold, ssl_beats_200dma, ml_adds_value_vs_non_ml_app_rule"
+    "improves_return_drawdown_tradeoff_vs_production, production_beats_buy_hold, production_beats_200dma, ml_adds_value_vs_non_ml_app_rule"
 )
 
 
@@ -147,11 +147,11 @@ _S = "strategy IN (" + ", ".join(f"'{s}'" for s in bt.SIMPLE) + ")"
     "roi_rollup",
     sp.with_(
         FLAGS_SQL,
-        f"""SELECT {_n(f'{_P} AND ssl_beats_buy_hold', 'ssl_beats_buy_hold_count')}, {_n(_P, 'ssl_test_count')},
-  {_n(f'{_P} AND ssl_beats_200dma', 'ssl_beats_200dma_count')}, {_n(f'{_P} AND ml_adds_value_vs_non_ml_app_rule', 'ml_adds_value_count')},
+        f"""SELECT {_n(f'{_P} AND production_beats_buy_hold', 'production_beats_buy_hold_count')}, {_n(_P, 'production_test_count')},
+  {_n(f'{_P} AND production_beats_200dma', 'production_beats_200dma_count')}, {_n(f'{_P} AND ml_adds_value_vs_non_ml_app_rule', 'ml_adds_value_count')},
   {_n(_P, 'ml_test_count')}, {_n(f'{_S} AND beats_buy_hold', 'simple_rules_beats_buy_hold_count')}, {_n(_S, 'simple_rule_test_count')},
   {_n(f'{_S} AND beats_200dma', 'simple_rules_beats_200dma_count')},
-  {_n(f'{_S} AND improves_return_drawdown_tradeoff_vs_ssl', 'simple_rules_improve_tradeoff_vs_ssl_count')} FROM flags""",
+  {_n(f'{_S} AND improves_return_drawdown_tradeoff_vs_production', 'simple_rules_improve_tradeoff_vs_production_count')} FROM flags""",
     ),
 )
 def roi_rollup(spark, sf):
