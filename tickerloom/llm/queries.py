@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, language, packing, sentencepieces, token_files
+from tickerloom.llm import exact_dedup, language, lm, near_dedup, packing, search, sentencepieces, token_counts, token_files, toxicity
 from tickerloom.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +43,29 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
+    return lm.score(docs, lm.fit(docs.filter("NOT held_out")), ["doc_id", "held_out"])
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 4) != 2)
+    return toxicity.score(docs, toxicity.fit(docs.filter("NOT held_out"), labels), ["doc_id", "held_out"])
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checks(token_files.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
@@ -60,6 +78,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+@query("op8_bm25_search")
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return search.search(docs, docs.filter("doc_id % 50 = 0"))
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query("op10_near_dedup")
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85)
