@@ -8,7 +8,7 @@ import sentencepiece
 import tokenizers
 
 from tickerloom.llm import packing, sentencepieces, token_files
-from tickerloom.llm.chunks import ChunkTable
+from tickerloom.llm.chunks import ChunkTable, joined
 from tickerloom.llm.common import shared_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,7 +17,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_chunk_table_is_emptied_at_its_bound():
-    table = ChunkTable(lambda cs: [[len(c)] * 2 for c in cs], max_chunks=3)
+    table = ChunkTable(lambda cs: joined([[len(c)] * 2 for c in cs]), max_chunks=3)
     for _ in range(3):
         ids, lengths = table.encode(["a", "bb", "ccc", "a", "dddd"])
         assert ids.tolist() == [1, 1, 2, 2, 3, 3, 1, 1, 4, 4] and lengths.tolist() == [2] * 5

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import tiktoken
+import tokenizers
 
 from tickerloom.llm.common import picked
 
+Encoded = tuple[np.ndarray, np.ndarray]  # ids of all chunks, and the number of ids of each
+
+
+def joined(lists: Sequence[Sequence[int]]) -> Encoded:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), np.uint32, int(lengths.sum())), lengths
+
 
 class ChunkTable:
     """Ids of the distinct chunks seen so far.
@@ -16,7 +27,7 @@ class ChunkTable:
     ``max_chars`` characters, so memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], max_chunks: int = 400_000, max_chars: int = 16 << 20):
+    def __init__(self, encode: Callable[[list[str]], Encoded], max_chunks: int = 400_000, max_chars: int = 16 << 20):
         self._encode, self._max_chunks, self._max_chars = encode, max_chunks, max_chars
         self._clear()
 
@@ -28,9 +39,7 @@ class ChunkTable:
         self._used = self._chars = 0
 
     def _add(self, chunks: list[str]) -> None:
-        encoded = self._encode(chunks)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
+        flat, lengths = self._encode(chunks)
         first, need = len(self._place), self._used + len(flat)
         while len(self._ids) < need:
             self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
@@ -44,7 +53,7 @@ class ChunkTable:
         self._used = need
         self._chars += sum(map(len, chunks))
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[str]) -> Encoded:
         """All ids of the chunks in order, and the number of ids of each chunk."""
         if len(self._place) > self._max_chunks or self._chars > self._max_chars:
             self._clear()
@@ -56,7 +65,7 @@ class ChunkTable:
         lengths = self._length[at]
         return self._ids[picked(self._start[at], lengths)], lengths
 
-    def documents(self, split: Callable[[str], list[str]], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, split: Callable[[str], list[str]], texts: list[str]) -> Encoded:
         """Ids of all texts in order, and the number of ids of each text."""
         parts = list(map(split, texts))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -64,3 +73,75 @@ class ChunkTable:
         total = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.cumsum(counts)
         return ids, total[ends] - total[ends - counts]
+
+
+def _byte_of() -> dict[str, int]:
+    """Byte of each character of byte-level vocabularies: printable ones stand for themselves, the others follow from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class Merges:
+    """Byte-pair merges of a tokenizers file.
+
+    ``lists`` is the library itself.  ``encode`` gives the same ids for many short
+    texts: those that ``plain`` accepts (each exactly one pre-token, normalized,
+    without control characters) go through a faster engine for the same merges in
+    one call, all others through the library.
+    """
+
+    BORDER = "\x01"
+
+    def __init__(self, path: str, plain: Callable[[str], bool], together: int = 4000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self._own, self._plain, self._together = tokenizers.Tokenizer.from_file(path), plain, together
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.special = [t.content for t in self._own.get_added_tokens_decoder().values()]
+        suffix, border, byte = model.get("end_of_word_suffix") or "", self.BORDER.encode(), _byte_of()
+
+        def raw(token: str) -> bytes:
+            ended = bool(suffix) and token.endswith(suffix)
+            return bytes(byte[c] for c in (token[: -len(suffix)] if ended else token)) + border * ended
+
+        ranks = {bytes([b]): b for b in range(256)}
+        if suffix:  # a last character with its word end is one symbol from the start
+            for b in range(256):
+                ranks.setdefault(bytes([b]) + border, len(ranks))
+        for pair in model["merges"]:
+            first, second = pair.split(" ") if isinstance(pair, str) else pair
+            ranks.setdefault(raw(first) + raw(second), len(ranks))
+        self._ids = np.zeros(len(ranks), np.uint32)
+        for token, i in model["vocab"].items():
+            if token not in self.special:
+                self._ids[ranks[raw(token)]] = i
+        self._last = np.zeros(len(ranks), bool)
+        for token, rank in ranks.items():
+            self._last[rank] = token.endswith(border)
+        self._suffix = bool(suffix)
+        pattern = f"[^{self.BORDER}]*{self.BORDER}" if suffix else f"[^{self.BORDER}]+|{self.BORDER}"
+        self._engine = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fast(self, texts: list[str]) -> Encoded:
+        ranks = np.array(self._engine.encode_ordinary(self.BORDER.join(texts) + self.BORDER), np.int64)
+        ends = np.flatnonzero(self._last[ranks])
+        lengths = np.diff(ends, prepend=-1)
+        return (self._ids[ranks], lengths) if self._suffix else (self._ids[ranks[~self._last[ranks]]], lengths - 1)
+
+    def encode(self, texts: list[str]) -> Encoded:
+        plain = np.fromiter(map(bool, map(self._plain, texts)), bool, len(texts))
+        fast = [t for t, p in zip(texts, plain) if p]
+        parts = [self._fast(fast[a : a + self._together]) for a in range(0, len(fast), self._together)]
+        parts.append(joined(self.lists([t for t, p in zip(texts, plain) if not p])))
+        lengths = np.empty(len(texts), np.int64)
+        lengths[plain] = np.concatenate([n for _, n in parts[:-1]]) if fast else 0
+        lengths[~plain] = parts[-1][1]
+        owner = np.repeat(plain, lengths)
+        ids = np.empty(len(owner), np.uint32)
+        ids[owner] = np.concatenate([i for i, _ in parts[:-1]]) if fast else 0
+        ids[~owner] = parts[-1][0]
+        return ids, lengths

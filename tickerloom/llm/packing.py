@@ -21,7 +21,6 @@ null sequence; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,17 +28,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.chunks import ChunkTable
+from tickerloom.llm.chunks import ChunkTable, Merges
 from tickerloom.llm.common import slices, spans, texts_of
 
 WINDOW = 1024
 _WORD = re.compile(r"(?= \S)")
 _ODD = re.compile(r" (?:\s|$)")
+# One space in front, single line ends, plain characters and no apostrophe: such a chunk falls into runs of letters, digits and signs.
+_L = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+_SIGN = rf"[{_L}0-9!-&(-;=-@\[-`{{-~]+"
+_PLAIN = re.compile(rf" ?{_SIGN}(?:\n{_SIGN})*\n?")
+_PARTS = re.compile(rf" ?[{_L}]+| ?[0-9]+|\n| ?[^\n{_L}0-9 ]+")
 
 
 @dataclass(frozen=True)
@@ -60,14 +63,22 @@ def chunks(text: str) -> list[str]:
     return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
 
+def plain(chunk: str) -> bool:
+    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk
+
+
+def parts(chunk: str) -> list[str]:
+    """What the pre-tokenizer makes of a plain chunk; any other chunk is left whole."""
+    return _PARTS.findall(chunk) if plain(chunk) else [chunk]
+
+
 _TABLES: dict[str, ChunkTable] = {}
 
 
 def _table(path: str) -> ChunkTable:
     if path not in _TABLES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = tokenizers.Tokenizer.from_file(path)
-        _TABLES[path] = ChunkTable(lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)])
+        inner = ChunkTable(Merges(path, plain).encode, 800_000)
+        _TABLES[path] = ChunkTable(lambda fresh: inner.documents(parts, fresh))
     return _TABLES[path]
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tickerloom.llm.chunks import ChunkTable
+from tickerloom.llm.chunks import ChunkTable, Encoded, joined
 from tickerloom.llm.common import slices, spans, texts_of
 
 MARK = "▁"
@@ -53,9 +53,9 @@ class Codec:
         """The model keeps white space as it is and adds one marker in front."""
         return self.model.encode("a  b ", out_type=str)[0][:1] == MARK and self.model.decode(self.model.encode("a  b\t c ")) == "a  b\t c "
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
+    def _encode(self, chunks: list[str]) -> Encoded:
         mark = self.model.piece_to_id(MARK)
-        return [[mark] if c == MARK else ids for c, ids in zip(chunks, self.model.encode(chunks, num_threads=1))]
+        return joined([[mark] if c == MARK else ids for c, ids in zip(chunks, self.model.encode(chunks, num_threads=1))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Begin id, ids of the text, end id."""

@@ -24,7 +24,7 @@ empty table gives no file.
 
 from __future__ import annotations
 
-import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,13 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tokenizers
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.chunks import ChunkTable
+from tickerloom.llm.chunks import ChunkTable, Encoded, Merges, joined
 from tickerloom.llm.common import shared_path, slices, spans, store, texts_of
 from tickerloom.plans.storage import settle
 
@@ -53,31 +52,44 @@ NO_ID = -(1 << 63)
 FILE_BYTES = 64 << 20
 
 
+# Characters that normalization only lower-cases, and no apostrophe: such a chunk falls into letters, single digits and signs.
+_PLAIN = re.compile(r"[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF!-&(-;=-@\[-`{-~]*")
+_PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+
+def chunks(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
+def plain(chunk: str) -> bool:
+    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk
+
+
+def parts(chunk: str) -> list[str]:
+    """What the pre-tokenizer makes of a plain chunk; any other chunk is left whole."""
+    return _PARTS.findall(chunk.lower()) if plain(chunk) else [chunk]
+
+
 class Tokenizer:
-    """A tokenizers file applied to chunks between spaces, each distinct chunk once.
+    """A tokenizers file applied to chunks between white space, each distinct chunk once.
 
-    The file's pre-tokenizer drops white space and never matches across it, so the
-    ids of a text are those of its chunks, one after the other.  ``splits`` says
-    whether that holds; if not, texts are encoded whole.
+    The file's normalizer lower-cases and its pre-tokenizer drops white space and
+    keeps runs of letters, digits and runs of signs apart, so the ids of a text are
+    those of its chunks' parts, one after the other.  ``splits`` says whether that
+    holds on a probe; if not, texts are encoded whole.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._own = tokenizers.Tokenizer.from_file(path)
-        probe = "It's a  b\n c,d é 12 "
-        self.splits = self._whole([probe])[0] == [i for ids in self._whole(probe.split(" ")) for i in ids]
-        self._table = ChunkTable(self._whole)
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self._merges = Merges(path, plain)
+        probe = "It's a  b\n c,d \u00e9\u00c9x 12. <|a|> " + " ".join(self._merges.special)
+        flat, _ = self._merges.encode([p for c in chunks(probe) for p in parts(c)])
+        self.splits = self._merges.lists([probe])[0] == flat.tolist()
+        inner = ChunkTable(self._merges.encode, 800_000)
+        self._table = ChunkTable(lambda fresh: inner.documents(parts, fresh))
+
+    def encode(self, texts: list[str]) -> Encoded:
         """All ids in order, and the number of ids of each text."""
-        if self.splits:
-            return self._table.documents(lambda t: t.split(" "), texts)
-        ids = self._whole(texts)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
+        return self._table.documents(chunks, texts) if self.splits else joined(self._merges.lists(texts))
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
