@@ -1,22 +1,33 @@
-"""Corpus pipeline over the documents table: STAGES, run(), ORACLE_SQL."""
+"""Corpus pipeline over the documents table: STAGES, run(), ORACLE_SQL.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``docs``.  Rows with null texts or ids pass through by the
+rules of each operator: a null text is empty, has no language and so goes at the
+language stage.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact_dedup, language, packing
+from tickerloom.llm import exact_dedup, language, near_dedup, packing, toxicity
 from tickerloom.llm.common import written
 
-#: Documents whose language cannot be told are rejected; so are those less certain than this.
-LEAST_LANGUAGE_SCORE = 0.3
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier, fitted on all labelled documents, calls toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    marked = toxicity.score(docs, model, docs.columns, into="_toxicity_")
+    return marked.filter("_toxicity_predicted = 0").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognisable language."""
-    names = ("_lang_pred", "_lang_score")
+    """Rejects documents without a recognisable language."""
+    names = ("_language", "_language_score")
     marked = language.predict(docs, language.fit(docs), into=names)
-    return marked.filter(f"{names[0]} <> '{language.UNDECIDED}' AND {names[1]} >= {LEAST_LANGUAGE_SCORE}").drop(*names)
+    return marked.filter(f"{names[0]} <> '{language.UNDECIDED}'").select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,18 +35,25 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by shingles of five words and a similarity of 0.8 or more."""
+    return near_dedup.drop_near_copies(docs, words=5, percent=80)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all remaining documents into sequences of 1024 tokens; one row per piece."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("language", language_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
     ("packing", packing_stage),
 ]
 
-#: The classifiers and tokenizers are not expressible in SQL; tests compare with a brute-force version.
+#: The classifiers and tokenizers are not expressible in SQL; tests compare with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -18,6 +18,7 @@ ODD = [
     (12, "word " * 3000, "en"),
     (13, "́combining space wide İI", "fr"),
     (14, "12 34 !!", "en"),
+    (15, "\x02a \x03b \x01c  <|endoftext|> d<|startoftext|>e <| x", "en"),
 ]
 SCHEMA = "doc_id bigint, text string, lang string"
 

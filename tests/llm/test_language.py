@@ -21,7 +21,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows_and_empty_tables(odd, empty):
     model = language.fit(odd)
     out = {(r.doc_id, r.text): r for r in language.predict(odd, model).collect()}
-    assert len(out) == 15
+    assert len(out) == 16
     assert {k[0] for k, r in out.items() if r.lang_pred == "und"} == {4, 5, 6, 14}
     assert all(0 <= r.score <= 1 for r in out.values())
     assert language.predict(empty, model).count() == 0

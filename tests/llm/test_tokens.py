@@ -19,7 +19,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 def test_chunk_table_is_emptied_at_its_bound():
     table = ChunkTable(lambda cs: joined([[len(c)] * 2 for c in cs]), max_chunks=3)
     for _ in range(3):
-        ids, lengths = table.encode(["a", "bb", "ccc", "a", "dddd"])
+        ids, lengths = table.encode(["a", "bb", "ccc", "a", "dddd"], 5)
         assert ids.tolist() == [1, 1, 2, 2, 3, 3, 1, 1, 4, 4] and lengths.tolist() == [2] * 5
     assert table.documents(str.split, ["", "a bb", ""])[1].tolist() == [0, 4, 0]
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import tiktoken
@@ -12,6 +13,8 @@ import tokenizers
 
 from tickerloom.llm.common import picked
 
+#: Marks a chunk that only the library itself may encode.
+ODD = "\x02"
 Encoded = tuple[np.ndarray, np.ndarray]  # ids of all chunks, and the number of ids of each
 
 
@@ -20,6 +23,19 @@ def joined(lists: Sequence[Sequence[int]]) -> Encoded:
     return np.fromiter((i for ids in lists for i in ids), np.uint32, int(lengths.sum())), lengths
 
 
+class _Places(dict):
+    """chunk -> place in the table; chunks asked for the first time get the next places and are listed in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = place = len(self)
+        self.fresh.append(chunk)
+        return place
+
+
 class ChunkTable:
     """Ids of the distinct chunks seen so far.
 
@@ -32,36 +48,37 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self._place: dict[str, int] = {}
+        self._places = _Places()
         self._ids = np.empty(1 << 16, np.uint32)
         self._start = np.empty(1 << 16, np.int64)
         self._length = np.empty(1 << 16, np.int64)
         self._used = self._chars = 0
 
-    def _add(self, chunks: list[str]) -> None:
+    def _add(self) -> None:
+        """Encode the chunks asked for the first time."""
+        chunks = self._places.fresh
+        self._places.fresh = []
         flat, lengths = self._encode(chunks)
-        first, need = len(self._place), self._used + len(flat)
+        known, need = len(self._places), self._used + len(flat)
+        first = known - len(chunks)
         while len(self._ids) < need:
             self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
-        while len(self._start) < first + len(chunks):
+        while len(self._start) < known:
             self._start = np.concatenate([self._start, np.empty_like(self._start)])
             self._length = np.concatenate([self._length, np.empty_like(self._length)])
         self._ids[self._used : need] = flat
-        self._start[first : first + len(chunks)] = self._used + np.cumsum(lengths) - lengths
-        self._length[first : first + len(chunks)] = lengths
-        self._place.update(zip(chunks, range(first, first + len(chunks))))
+        self._start[first:known] = self._used + np.cumsum(lengths) - lengths
+        self._length[first:known] = lengths
         self._used = need
         self._chars += sum(map(len, chunks))
 
-    def encode(self, chunks: list[str]) -> Encoded:
-        """All ids of the chunks in order, and the number of ids of each chunk."""
-        if len(self._place) > self._max_chunks or self._chars > self._max_chars:
+    def encode(self, chunks: Iterable[str], count: int) -> Encoded:
+        """All ids of the ``count`` chunks in order, and the number of ids of each chunk."""
+        if len(self._places) > self._max_chunks or self._chars > self._max_chars:
             self._clear()
-        places = list(map(self._place.get, chunks))
-        if None in places:
-            self._add(list(dict.fromkeys(c for c, p in zip(chunks, places) if p is None)))
-            places = list(map(self._place.__getitem__, chunks))
-        at = np.array(places, np.int64)
+        at = np.fromiter(map(self._places.__getitem__, chunks), np.int64, count)
+        if self._places.fresh:
+            self._add()
         lengths = self._length[at]
         return self._ids[picked(self._start[at], lengths)], lengths
 
@@ -69,9 +86,9 @@ class ChunkTable:
         """Ids of all texts in order, and the number of ids of each text."""
         parts = list(map(split, texts))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids, lengths = self.encode([c for p in parts for c in p])
-        total = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.cumsum(counts)
+        ids, lengths = self.encode(chain.from_iterable(parts), int(ends[-1]) if len(ends) else 0)
+        total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, total[ends] - total[ends - counts]
 
 
@@ -86,16 +103,16 @@ class Merges:
     """Byte-pair merges of a tokenizers file.
 
     ``lists`` is the library itself.  ``encode`` gives the same ids for many short
-    texts: those that ``plain`` accepts (each exactly one pre-token, normalized,
-    without control characters) go through a faster engine for the same merges in
-    one call, all others through the library.
+    texts in few calls.  A text marked by a leading ``ODD`` goes through the
+    library.  All others must be exactly one pre-token each, normalized and without
+    control characters, and go through a faster engine for the same merges.
     """
 
     BORDER = "\x01"
 
-    def __init__(self, path: str, plain: Callable[[str], bool], together: int = 4000):
+    def __init__(self, path: str, together: int = 4000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._own, self._plain, self._together = tokenizers.Tokenizer.from_file(path), plain, together
+        self._own, self._together = tokenizers.Tokenizer.from_file(path), together
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.special = [t.content for t in self._own.get_added_tokens_decoder().values()]
@@ -133,10 +150,10 @@ class Merges:
         return (self._ids[ranks], lengths) if self._suffix else (self._ids[ranks[~self._last[ranks]]], lengths - 1)
 
     def encode(self, texts: list[str]) -> Encoded:
-        plain = np.fromiter(map(bool, map(self._plain, texts)), bool, len(texts))
+        plain = ~np.fromiter((t.startswith(ODD) for t in texts), bool, len(texts))
         fast = [t for t, p in zip(texts, plain) if p]
         parts = [self._fast(fast[a : a + self._together]) for a in range(0, len(fast), self._together)]
-        parts.append(joined(self.lists([t for t, p in zip(texts, plain) if not p])))
+        parts.append(joined(self.lists([t[1:] for t, p in zip(texts, plain) if not p])))
         lengths = np.empty(len(texts), np.int64)
         lengths[plain] = np.concatenate([n for _, n in parts[:-1]]) if fast else 0
         lengths[~plain] = parts[-1][1]

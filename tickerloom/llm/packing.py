@@ -32,10 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.chunks import ChunkTable, Merges
+from tickerloom.llm.chunks import ODD, ChunkTable, Merges
 from tickerloom.llm.common import slices, spans, texts_of
 
 WINDOW = 1024
+BARE = "\x03"
 _WORD = re.compile(r"(?= \S)")
 _ODD = re.compile(r" (?:\s|$)")
 # One space in front, single line ends, plain characters and no apostrophe: such a chunk falls into runs of letters, digits and signs.
@@ -56,20 +57,27 @@ class Limits:
 
 
 def chunks(text: str) -> list[str]:
-    """Pieces of a text that a byte-level pre-tokenizer never joins: cut before a space that other text follows."""
+    """Pieces of a text that a byte-level pre-tokenizer never joins: cut at each space that other text
+    follows.  A chunk stands for itself after a space; one without it is marked by ``BARE``."""
+    if BARE in text:
+        return [BARE + text]
     if _ODD.search(text):
-        return [c for c in _WORD.split(text) if c]
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-
-
-def plain(chunk: str) -> bool:
-    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk
+        return [c[1:] if c[0] == " " else BARE + c for c in _WORD.split(text) if c]
+    out = text.split(" ")
+    if out[0]:
+        out[0] = BARE + out[0]
+        return out
+    return out[1:]
 
 
 def parts(chunk: str) -> list[str]:
-    """What the pre-tokenizer makes of a plain chunk; any other chunk is left whole."""
-    return _PARTS.findall(chunk) if plain(chunk) else [chunk]
+    """What the pre-tokenizer makes of a plain chunk; any other chunk is left whole and marked."""
+    if chunk.isascii() and chunk.isalpha():
+        return [" " + chunk]
+    chunk = chunk[1:] if chunk[:1] == BARE else " " + chunk
+    if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        return _PARTS.findall(chunk)
+    return [ODD + chunk]
 
 
 _TABLES: dict[str, ChunkTable] = {}
@@ -77,7 +85,7 @@ _TABLES: dict[str, ChunkTable] = {}
 
 def _table(path: str) -> ChunkTable:
     if path not in _TABLES:
-        inner = ChunkTable(Merges(path, plain).encode, 800_000)
+        inner = ChunkTable(Merges(path).encode, 800_000)
         _TABLES[path] = ChunkTable(lambda fresh: inner.documents(parts, fresh))
     return _TABLES[path]
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.chunks import ChunkTable, Encoded, Merges, joined
+from tickerloom.llm.chunks import ODD, ChunkTable, Encoded, Merges, joined
 from tickerloom.llm.common import shared_path, slices, spans, store, texts_of
 from tickerloom.plans.storage import settle
 
@@ -61,13 +61,13 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def plain(chunk: str) -> bool:
-    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk
-
-
 def parts(chunk: str) -> list[str]:
-    """What the pre-tokenizer makes of a plain chunk; any other chunk is left whole."""
-    return _PARTS.findall(chunk.lower()) if plain(chunk) else [chunk]
+    """What the pre-tokenizer makes of a plain chunk; any other chunk is left whole and marked."""
+    if chunk.isascii() and chunk.isalpha():
+        return [chunk.lower()]
+    if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        return _PARTS.findall(chunk.lower())
+    return [ODD + chunk]
 
 
 class Tokenizer:
@@ -80,7 +80,7 @@ class Tokenizer:
     """
 
     def __init__(self, path: str):
-        self._merges = Merges(path, plain)
+        self._merges = Merges(path)
         probe = "It's a  b\n c,d \u00e9\u00c9x 12. <|a|> " + " ".join(self._merges.special)
         flat, _ = self._merges.encode([p for c in chunks(probe) for p in parts(c)])
         self.splits = self._merges.lists([probe])[0] == flat.tolist()
