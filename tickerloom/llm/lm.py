@@ -127,7 +127,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 def _positions(keys: np.ndarray, level: int, i: int, bits: np.ndarray) -> np.ndarray:
     """The i-th bit of every key at a level, in filters of ``bits`` bits (below 2^32)."""
-    mixed = _mixed(keys + _U(level) * _A)
+    mixed = _mixed(keys + _U(level * int(_A) % 2**64))
     return (((mixed & _U(0xFFFFFFFF)) + _U(i) * ((mixed >> _U(32)) | _U(1)) & _U(0xFFFFFFFF)) * bits.astype(_U)) >> _U(32)
 
 
