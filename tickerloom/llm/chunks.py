@@ -43,7 +43,7 @@ class ChunkTable:
     ``max_chars`` characters, so memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], max_chunks: int = 400_000, max_chars: int = 16 << 20):
+    def __init__(self, encode: Callable[[list[str]], Encoded], max_chunks: int = 250_000, max_chars: int = 16 << 20):
         self._encode, self._max_chunks, self._max_chars = encode, max_chunks, max_chars
         self._clear()
 

@@ -31,6 +31,8 @@ ROWS_PER_LANGUAGE = 4000
 MOST_LANGUAGES = 512
 SMOOTHING = 0.5
 UNDECIDED = "und"
+#: Bytes of text whose n-grams are held at once: an n-gram takes some forty bytes.
+SLICE = 1 << 19
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _LETTERS: list[np.ndarray] = []
 
@@ -100,7 +102,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(len(languages) * BUCKETS, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             bucket, owner, _ = grams(texts_of(part))
             own = part.column(1).to_numpy()[owner].astype(np.int64)
             table += np.bincount(own * BUCKETS + bucket, minlength=len(table))
@@ -126,7 +128,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[s
     kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE):
             languages, scores = shared.value.score(texts_of(part, text_col))
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in kept), *into])
 

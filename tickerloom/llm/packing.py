@@ -85,7 +85,7 @@ _TABLES: dict[str, ChunkTable] = {}
 
 def _table(path: str) -> ChunkTable:
     if path not in _TABLES:
-        inner = ChunkTable(Merges(path).encode, 800_000)
+        inner = ChunkTable(Merges(path).encode, 400_000)
         _TABLES[path] = ChunkTable(lambda fresh: inner.documents(parts, fresh))
     return _TABLES[path]
 

@@ -84,7 +84,7 @@ class Tokenizer:
         probe = "It's a  b\n c,d \u00e9\u00c9x 12. <|a|> " + " ".join(self._merges.special)
         flat, _ = self._merges.encode([p for c in chunks(probe) for p in parts(c)])
         self.splits = self._merges.lists([probe])[0] == flat.tolist()
-        inner = ChunkTable(self._merges.encode, 800_000)
+        inner = ChunkTable(self._merges.encode, 400_000)
         self._table = ChunkTable(lambda fresh: inner.documents(parts, fresh))
 
     def encode(self, texts: list[str]) -> Encoded:
