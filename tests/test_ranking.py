@@ -1,11 +1,11 @@
-"""The sliced ordering against plain windows, with heavy ties and skew."""
+"""The shared ordering against plain windows, with heavy ties and skew."""
 
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickerloom.plans.ranking import quantile_points, with_positions, with_running_totals
+from tickerloom.plans.ranking import _placed, quantile_points, with_positions, with_running_totals
 from tickerloom.plans.storage import settle
 
 
@@ -27,7 +27,7 @@ def frame(spark):
 
 def test_positions_match_plain_windows(spark):
     df = frame(spark)
-    ours = with_positions(df, "g", "v", ["date", "ticker"], F.col("date"), slices=8)
+    ours = with_positions(df, "g", "v", ["date", "ticker"], ranks=True)
     w = Window.partitionBy("g")
     plain = df.select(
         "g", "ticker",
@@ -42,14 +42,14 @@ def test_positions_match_plain_windows(spark):
 
 def test_positions_without_groups(spark):
     df = frame(spark)
-    got = with_positions(df, [], "v", ["date", "ticker"], F.col("date"), slices=4).orderBy("pos").select("ticker").collect()
+    got = with_positions(df, [], "v", ["date", "ticker"]).orderBy("pos").select("ticker").collect()
     want = df.orderBy("v", "date", "ticker").select("ticker").collect()
     assert got == want
 
 
 def test_quantiles_match_percentile(spark):
     df = frame(spark)
-    ranked = with_positions(df, "g", "v", ["date", "ticker"], F.col("date"), slices=8)
+    ranked = with_positions(df, "g", "v", ["date", "ticker"])
     got = {r.g: r.edges for r in quantile_points(ranked, "g", "v", [0, 0.2, 0.5, 0.9, 1]).collect()}
     want = {r.g: r.e for r in df.groupBy("g").agg(F.expr("percentile(v, array(0, 0.2, 0.5, 0.9, 1))").alias("e")).collect()}
     for g in want:
@@ -60,6 +60,25 @@ def test_running_totals(spark):
     df = frame(spark).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("g", "v", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("below_n"))
-    for slices in (None, 8):
-        got = with_running_totals(df, "g", "v", ["n"], slices).select("g", "v", "below_n")
+    for calendar_bound in (True, False):
+        got = with_running_totals(df, "g", "v", ["n"], calendar_bound).select("g", "v", "below_n")
         assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_hot_group_hot_value_and_shared_prefix_are_spread(spark):
+    # one group, one value and one name prefix throughout
+    df = settle(spark.range(6000).selectExpr("'g' AS g", "concat('same_prefix_', lpad(id, 9, '0')) AS ticker", "1.0D AS v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows end in one partition
+    try:
+        sizes = [r["count"] for r in _placed(df, ["g", "v", "ticker"]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 3000
+    got = with_positions(df, "g", "v", ["ticker"], ranks=True)
+    assert got.filter("pos <> CAST(substr(ticker, 13) AS INT) + 1 OR avg_rank <> 3000.5 OR min_rank <> 1 OR group_size <> 6000").count() == 0
+
+
+def test_null_groups_are_groups(spark):
+    df = settle(spark.createDataFrame([(None, "a", 2.0), (None, "b", 1.0), ("x", "c", 5.0)], "g string, t string, v double"))
+    got = {(r.g, r.t): (r.pos, r.min_rank, r.group_size) for r in with_positions(df, "g", "v", ["t"], ranks=True).collect()}
+    assert got == {(None, "a"): (2, 2, 2), (None, "b"): (1, 1, 2), ("x", "c"): (1, 1, 1)}

@@ -66,10 +66,14 @@ def test_components_of_a_long_chain(spark):
     assert {r.cluster for r in got if r.ticker in "xy"} == {"x"}
 
 
-def test_pruning_walk_prefers_derived_features():
-    pairs = [(0.99, "fourier_amp_1", "fourier_cycle_strength"), (0.985, "fourier_spectral_entropy", "fourier_amp_1")]
-    order = ["fourier_amp_1", "fourier_cycle_strength", "fourier_spectral_entropy"]
-    assert au.prune_pairs(pairs, order) == [("fourier_amp_1", "fourier_cycle_strength", 0.99)]
+def test_pruning_prefers_derived_features_and_follows_replacements(spark):
+    import math
+
+    rows = [(math.sin(i), math.sin(i) + 0.02 * math.cos(7 * i), math.sin(i) + 0.002 * math.cos(5 * i), math.cos(3 * i)) for i in range(300)]
+    panel = spark.createDataFrame(rows, "fourier_amp_1 double, fourier_cycle_strength double, fourier_freq_2 double, fourier_other double")
+    got = {d: k for d, k, _ in au.redundant(panel, panel.columns)}
+    assert got == {"fourier_amp_1": "fourier_cycle_strength", "fourier_freq_2": "fourier_cycle_strength"}
+    assert au.redundant(panel, ["fourier_other", "fourier_amp_1"]) == [] == au.redundant(panel, ["fourier_other"])
 
 
 def test_label_columns_cannot_be_features():

@@ -57,6 +57,21 @@ def test_events_status(spark):
     assert [(r.ticker, r.report_timing) for r in events.collect()] == [("A", "")]
 
 
+def test_csv_columns_are_found_by_name_in_every_file(spark):
+    root = tempfile.mkdtemp(prefix="spark-src-", dir="/tmp")
+    with open(f"{root}/aa.csv", "w") as f:
+        f.write("Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-02,1,2,0.5,1.5,1.4,100\n")
+    with open(f"{root}/bb.csv", "w") as f:
+        f.write("Date,Adj Close,Close,High,Low,Open,Volume\n2024-01-02,1.4,1.5,2,0.5,1,100\n2024-01-03,2.4,2.5,3,1.5,2,200\n")
+    with open(f"{root}/cc.csv", "w") as f:
+        f.write("Date,Open,High,Low,Close,Adj Close,Adj Close,Volume,Adj Close.1\n2024-01-02,1,2,0.5,1.5,8,9,100,1.4\n")
+    with open(f"{root}/dd.csv", "w") as f:
+        f.write("Date,Open,High,Low,Close,Adj Close,Adj Close,Volume\n2024-01-02,1,2,0.5,1.5,8,1.4,100\n")
+    got = {(r.ticker, str(r.date)): tuple(r)[2:] for r in br.read_csv(spark, root).select("ticker", "date", "open", "high", "low", "close", "adj_close", "volume").collect()}
+    one = (1.0, 2.0, 0.5, 1.5, 1.4, 100.0)
+    assert got == {("AA", "2024-01-02"): one, ("BB", "2024-01-02"): one, ("BB", "2024-01-03"): (2.0, 3.0, 1.5, 2.5, 2.4, 200.0), ("CC", "2024-01-02"): one, ("DD", "2024-01-02"): one}
+
+
 def test_bundle_and_comparison(spark):
     root = tempfile.mkdtemp(prefix="spark-src-", dir="/tmp")
     for run, auc in (("1", 0.55), ("2", 0.60)):
@@ -72,6 +87,78 @@ def test_bundle_and_comparison(spark):
     assert bd.verdict(compared).first().verdict == "improved"
 
 
+@pytest.mark.parametrize(
+    "changes,status,advice",
+    [
+        ({"outperformance_roc_auc": (0.55, 0.60)}, "improved", "commit_candidate"),
+        ({"outperformance_roc_auc": (0.55, 0.60), "outperformance_brier_score": (0.20, 0.23)}, "worse", "do_not_commit_algorithm_change"),
+        ({"outperformance_roc_auc": (0.55, 0.60), "calibration_gap": (0.01, 0.05)}, "mixed", "manual_review_required"),
+        ({"bucket_spread": (-0.02, -0.01)}, "worse", "do_not_commit_algorithm_change"),
+        ({"outperformance_roc_auc": (0.55, 0.553)}, "insufficient_evidence", "insufficient_evidence"),
+        ({"outperformance_roc_auc": (0.55, None)}, "insufficient_evidence", "insufficient_evidence"),
+        ({"outperformance_pr_auc": (0.5, 0.6), "regime_inversion_count": (0.0, 1.0)}, "worse", "do_not_commit_algorithm_change"),
+        ({"outperformance_pr_auc": (0.5, 0.6), "regime_sensitive_count": (0.0, 1.0)}, "mixed", "manual_review_required"),
+        ({"bucket_spread": (0.01, 0.02), "feature_group_consistency": (2.0, 1.0)}, "mixed", "manual_review_required"),
+        ({"drawdown_risk_brier_score": (0.30, 0.20)}, "insufficient_evidence", "insufficient_evidence"),
+    ],
+)
+def test_run_verdicts(spark, changes, status, advice):
+    before, after = (
+        spark.createDataFrame([(m, v[k]) for m, v in changes.items()], "metric string, value double").filter("value IS NOT NULL") for k in (0, 1)
+    )
+    row = bd.verdict(bd.compare_runs(before, after)).first()
+    assert (row.verdict, row.recommendation) == (status, advice)
+
+
+def test_ablation_conclusions(spark):
+    from tickerloom.operators.models import ablation_read
+
+    rows = [("a", 0.60, 0.50, None), ("b", 0.60, 0.50, -0.1), ("c", 0.45, 0.50, -0.1), ("d", 0.51, 0.30, None), ("e", 0.45, 0.50, None)]
+    out = {r.k: r.conclusion for r in ablation_read(spark.createDataFrame(rows, "k string, roc_auc double, f1 double, quintile_spread double")).collect()}
+    assert out == {"a": "adds value", "b": "mixed", "c": "likely overfit", "d": "no clear value", "e": "mixed"}
+
+
+def test_prevalence_rule_without_evidence(spark):
+    from tickerloom.operators.challenge import prevalence_rule
+
+    rows = [("model", 0.20, 0.01, 0.22), ("base", 0.25, None, 0.30)]
+    out = prevalence_rule(spark.createDataFrame(rows, "comparator string, brier_score double, calibration_gap double, worst_fold_brier double"))
+    assert {r.comparator: r.classification for r in out.collect()} == {"model": "insufficient_evidence", "base": "insufficient_evidence"}
+
+
+def test_stop_rule_with_unknown_values(spark):
+    from tickerloom.operators.targets import evidence_rollup, stop_rule
+
+    base = ("outperform_20d", 0.55, 0.4, 0.20, 0.02, 0.01, 0, 5, 900, 0.4, "Healthy", "Mixed", "Insufficient data", 0.01)
+    rows = [
+        base,
+        ("good_20d", 0.57, 0.4, 0.20, 0.03, 0.01, 0, 5, 900, 0.4, "Healthy", "Mixed", "Insufficient data", 0.01),
+        ("unknown_20d", 0.57, 0.4, 0.20, None, 0.01, 0, 5, 900, 0.4, "Healthy", "Mixed", "Insufficient data", 0.01),
+        ("far_60d", 0.50, 0.4, 0.24, 0.01, 0.01, 0, 5, 900, 0.4, "Healthy", "Mixed", "Insufficient data", 0.01),
+        ("rare_20d", 0.40, 0.4, 0.20, -0.01, 0.09, 1, 5, 900, 0.1, "Skewed", "Weak", "Insufficient data", -0.2),
+    ]
+    schema = (
+        "target_id string, roc_auc double, pr_auc double, brier_score double, bucket_spread double, calibration_gap double, regime_inversion_count long, folds long, "
+        "prediction_count long, positive_rate double, class_balance_status string, overall_target_quality string, feature_group_consistency string, worst_regime_bucket_spread double"
+    )
+    out = {r.target_id: (r.stop_rule_result, r.likely_failure_cause, r.recommended_decision) for r in stop_rule(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {
+        "outperform_20d": ("baseline", "current baseline", "Continue"),
+        "good_20d": ("pass", "evidence clears stop rule", "Continue"),
+        "unknown_20d": ("fail", "missing evidence fields", "Needs more data"),
+        "far_60d": ("fail", "horizon mismatch / thin folds; weak feature separation", "Needs more data"),
+        "rare_20d": (
+            "fail", "target design / class imbalance; target noise / calibration; regime inversion; weak feature separation", "Kill",
+        ),
+    }
+    areas = spark.createDataFrame([("a", "Mixed"), ("a", "useful"), ("b", "odd"), ("b", "odd"), ("b", "own")], "area string, classification string")
+    rolled = {r.area: tuple(r)[1:] for r in evidence_rollup(areas, ["a", "b", "c"]).collect()}
+    assert rolled == {
+        "a": ("mixed", "mixed", "not_ready"), "b": ("odd", "watch", "not_ready"), "c": ("unavailable", "unavailable", "unavailable"),
+        "Overall production readiness": ("not_ready", "blocking", "not_ready"),
+    }
+
+
 def test_text_parsing(spark):
     one = spark.createDataFrame([(" nvda, TSM\nbrk/b,,nvda",)], "raw string")
     assert one.select(symbol_list(F.col("raw"))).first()[0] == ["NVDA", "TSM", "BRK-B"]

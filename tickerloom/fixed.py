@@ -97,3 +97,33 @@ FACTOR_PROXIES = {
     "SOXX": ("semiconductor", "proxy_only"),
     "SPY": ("broad_market", "proxy_only"),
 }
+
+# Points of the candidate ranking.
+QUALITY_POINTS = {"Promising": 3.0, "Mixed": 2.0, "Weak": 1.0, "Unusable": 0.0}
+STATUS_POINTS = {
+    "Candidate for production trial": 4.0,
+    "Keep baseline": 3.0,
+    "Special setup only": 2.0,
+    "Research-only candidate": 1.5,
+    "Insufficient evidence": 0.5,
+    "Reject for now": 0.0,
+}
+CALIBRATION_POINTS = {"Good": 2.0, "Acceptable": 1.0, "Unavailable": 0.5, "Poor": 0.0}
+STABILITY_POINTS = {"Stable across regimes": 2.0, "Regime-sensitive": 1.0, "Insufficient data": 0.5, "Inverted in some regimes": 0.0}
+GROUP_POINTS = {"Stable across feature groups": 2.0, "Feature-group dependent": 1.0, "Insufficient data": 0.5, "Weak across feature groups": 0.0}
+
+# Evidence labels, the first present one stands for its area, and what they mean.
+EVIDENCE_PRIORITY = (
+    "harmful", "inverted", "not_ready", "risky", "likely_overfit", "unstable", "high_crowding", "high_overlap", "crowded", "watch", "mixed",
+    "moderate_crowding", "insufficient_data", "insufficient_sample", "insufficient_event_data", "unavailable", "promising", "useful", "reliable",
+    "stable", "clean", "low_risk", "low", "low_crowding",
+)
+EVIDENCE_STRENGTH = {
+    "harmful": ("harmful", "inverted", "not_ready", "risky", "likely_overfit", "unstable", "high_crowding", "high_overlap", "crowded"),
+    "mixed": ("watch", "mixed", "moderate_crowding", "promising"),
+    "unavailable": ("unavailable", "insufficient_data", "insufficient_sample", "insufficient_event_data"),
+    "useful": ("useful", "reliable", "stable", "clean", "low_risk", "low", "low_crowding"),
+}
+
+# What may change between two runs without being material.
+RUN_TOLERANCE = {"auc": 0.005, "brier": 0.02, "gap": 0.03, "spread": 0.005}

@@ -124,7 +124,7 @@ def feature_columns(panel: DataFrame, group: str = "all", prune: bool = True) ->
     if prune:
         for p in parts[group]:
             mine = [c for c in wanted if c.startswith(p)]
-            gone = {d for d, *_ in prune_pairs(collect_pairs(panel, mine), mine)}
+            gone = {d for d, *_ in redundant(panel, mine)}
             wanted = [c for c in wanted if c not in gone]
     return wanted
 
@@ -137,40 +137,36 @@ def correlation_pairs(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*rows))).filter("abs_correlation IS NOT NULL")
 
 
-def collect_pairs(panel: DataFrame, columns: Sequence[str], threshold: float = 0.98) -> list[tuple[float, str, str]]:
-    """Pairs at or above the threshold; their number depends on columns, not on rows."""
-    if len(columns) < 2:
-        return []
-    found = correlation_pairs(panel, columns).filter(F.col("abs_correlation") >= threshold).collect()
-    return [(x.abs_correlation, x.feature_1, x.feature_2) for x in found]
+def ranked_pairs(panel: DataFrame, columns: Sequence[str], threshold: float = 0.98) -> DataFrame:
+    """``keeper, loser, abs_correlation`` of the pairs at or above the threshold, strongest first.
 
+    Derived features outrank raw ones, those outrank single components, and all
+    others come last; inside a class the first name stays.
+    """
 
-def preference(name: str) -> tuple[int, str]:
-    if name in DERIVED:
-        return 0, name
-    if name in RAW:
-        return 1, name
-    return (2 if re.match(r"fourier_(amp|freq|period)_\d+$|wavelet_energy_scale_\d+$", name) else 3), name
+    def standing(c: str) -> Column:
+        part = F.col(c).rlike(r"^(fourier_(amp|freq|period)_\d+|wavelet_energy_scale_\d+)$")
+        level = F.when(F.col(c).isin(*DERIVED), 0).when(F.col(c).isin(*RAW), 1).when(part, 2).otherwise(3)
+        return F.struct(level.alias("level"), F.col(c).alias("name"))
 
+    x, y = standing("feature_1"), standing("feature_2")
+    strong = correlation_pairs(panel, columns).filter(F.col("abs_correlation") >= threshold)
+    sided = strong.select(F.least(x, y).alias("k"), F.greatest(x, y).alias("l"), "abs_correlation")
+    return sided.orderBy(F.desc("abs_correlation"), "k", "l").select(F.col("k.name").alias("keeper"), F.col("l.name").alias("loser"), "abs_correlation")
 
-def prune_pairs(pairs: list[tuple[float, str, str]], order: Sequence[str]) -> list[tuple[str, str, float]]:
-    """Greedy walk from the strongest pair down: ``(dropped, finally kept, correlation)``."""
-    place = {c: i for i, c in enumerate(order)}
-    oriented = [(r, *sorted((a, b), key=place.get)) for r, a, b in pairs]
-    oriented.sort(key=lambda t: (-t[0], preference(t[1]), preference(t[2]), t[1], t[2]))
-    replaced, strength = {}, {}
-    for r, a, b in oriented:
-        if a in replaced or b in replaced:
-            continue
-        keep, lose = (a, b) if preference(a) <= preference(b) else (b, a)
-        replaced[lose], strength[lose] = keep, r
 
-    def last(name: str) -> str:
-        while name in replaced:
-            name = replaced[name]
-        return name
+def redundant(panel: DataFrame, columns: Sequence[str], threshold: float = 0.98) -> list[tuple[str, str, float]]:
+    """``(dropped, kept, correlation)``: each pair merges two features that still stand alone or lead a group.
 
-    return [(lose, last(keep), strength[lose]) for lose, keep in replaced.items()]
+    The list of pairs depends on the columns, not on the rows, so the driver merges it.
+    """
+    if len(columns) < 2:
+        return []
+    members = {c: [] for c in columns}  # leader -> what it replaced
+    for pair in ranked_pairs(panel, columns, threshold).collect():
+        if pair.keeper in members and pair.loser in members:
+            members[pair.keeper] += [(pair.loser, pair.abs_correlation), *members.pop(pair.loser)]
+    return [(name, leader, r) for leader, group in members.items() for name, r in group]
 
 
 def long_features(panel: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -238,10 +234,10 @@ def feature_signal(panel: DataFrame, features: Sequence[str], h: int = 20, minim
 
     def spearman(frame: DataFrame, other: str, rank_other: bool) -> DataFrame:
         known = frame.filter(F.col(other).isNotNull())
-        a = with_positions(known, ["feature"], "v", ["date", "ticker"], F.col("date")).withColumnRenamed("avg_rank", "_a").drop("pos", "min_rank", "group_size")
+        a = with_positions(known, ["feature"], "v", ["date", "ticker"], ranks=True).withColumnRenamed("avg_rank", "_a").drop("pos", "min_rank", "group_size")
         b = "_b"
         if rank_other:
-            a = with_positions(a, ["feature"], other, ["date", "ticker"], F.col("date")).withColumnRenamed("avg_rank", "_b")
+            a = with_positions(a, ["feature"], other, ["date", "ticker"], ranks=True).withColumnRenamed("avg_rank", "_b")
         else:
             b = other
         return a.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_a"), F.col(b)).alias("r"))
@@ -277,6 +273,67 @@ def family_signal(signal: DataFrame, top: int = 15) -> DataFrame:
     )
 
 
+def signal_strength() -> Column:
+    return F.greatest("abs_spearman_to_return_target", "abs_spearman_to_return_label", "abs_spearman_to_drawdown_label")
+
+
+def top_signals(signal: DataFrame, n: int = 15) -> DataFrame:
+    """The strongest features; ties by name, features without any relation last."""
+    return signal.orderBy(F.round(signal_strength(), 12).desc_nulls_last(), "feature").limit(n)
+
+
+def quantile_signals(signal: DataFrame, n: int = 10) -> DataFrame:
+    """The features with the widest spread of the target between their outer quantiles."""
+    spread = F.col("top_quantile_target_mean") - F.col("bottom_quantile_target_mean")
+    rows = signal.select(
+        "feature", "family", "valid_sample_count", "bottom_quantile_target_mean", "top_quantile_target_mean", spread.alias("quantile_spread"), F.abs(spread).alias("abs_quantile_spread")
+    )
+    return rows.filter("quantile_spread IS NOT NULL").orderBy(F.round("abs_quantile_spread", 12).desc(), "feature").limit(n)
+
+
+# Limits of the signal warnings.
+SIGNAL_SAMPLES, SIGNAL_VALUES, SIGNAL_NEAR_ZERO, COMPLEX_SHARE = 20, 3, 0.05, 0.50
+COMPLEX_FAMILY = "Fourier / wavelet / complex transform"
+
+
+def signal_warnings(signal: DataFrame, families: DataFrame, redundant_features: Sequence[str] = ()) -> DataFrame:
+    """``warning, severity, feature_count, detail`` of the univariate signals; one row per feature comes in."""
+    strength, place = signal_strength(), F.row_number().over(Window.orderBy(F.round(signal_strength(), 12).desc_nulls_last(), "feature"))
+    rows = signal.withColumns({"_s": strength, "_place": place})
+
+    def listed(where: Column, size: int = 8) -> Column:
+        names = F.transform(F.sort_array(F.collect_list(F.when(where, F.struct("_place", "feature")))), lambda x: x["feature"])
+        return F.array_join(F.slice(names, 1, size), ", ")
+
+    few, flat = F.col("valid_sample_count") < SIGNAL_SAMPLES, F.col("unique_value_count") < SIGNAL_VALUES
+    near, top = F.col("_s") < SIGNAL_NEAR_ZERO, (F.col("_place") <= 5) & F.col("feature").isin(*redundant_features)
+    counts = {"few": few, "flat": flat, "near": near, "top": top}
+    one = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count("_s").alias("known"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()],
+        listed(few).alias("few_names"), listed(flat).alias("flat_names"), F.array_join(F.array_sort(F.collect_list(F.when(top, F.col("feature")))), ", ").alias("top_names"),
+    )
+    complex_share = families.filter((F.col("family") == COMPLEX_FAMILY) & (F.col("share_of_top_features") >= COMPLEX_SHARE)).agg(F.max("feature_count").alias("complex"))
+    one = one.crossJoin(F.broadcast(complex_share))
+    none = F.lit("")
+
+    def row(when: Column, name: str, severity: str, count: Column, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("warning"), F.lit(severity).alias("severity"), count.cast("long").alias("feature_count"), detail.alias("detail")))
+
+    found = F.array_compact(
+        F.array(
+            row(F.col("few") > 0, "too few valid samples", "warning", F.col("few"), F.col("few_names")),
+            row(F.col("flat") > 0, "too few unique values", "warning", F.col("flat"), F.col("flat_names")),
+            row(F.col("known") == 0, "target relation unavailable", "warning", F.col("n"), none),
+            row((F.col("known") > 0) & (F.col("near") / F.col("known") >= 0.75), "near-zero univariate signal", "info", F.col("near"), F.lit(f"threshold={SIGNAL_NEAR_ZERO:.2f}")),
+            row(F.col("complex").isNotNull(), "complex feature signal concentration", "info", F.col("complex"), F.lit(COMPLEX_FAMILY)),
+            row(F.col("top") > 0, "top signal features are redundant", "info", F.col("top"), F.col("top_names")),
+        )
+    )
+    empty = row(F.col("n") == 0, "feature signal unavailable", "warning", F.lit(0), F.lit("empty sample or no numeric features"))
+    clean = row(F.size(found) == 0, "no material feature signal warnings", "info", F.lit(0), none)
+    return one.select(F.inline(F.when(F.col("n") == 0, F.array(empty)).when(F.size(found) == 0, F.array(clean)).otherwise(found)))
+
+
 # --- importance -------------------------------------------------------------
 
 

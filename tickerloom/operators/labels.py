@@ -80,10 +80,10 @@ def top_third_of_date(df: DataFrame, value: str, output: str, minimum: int = 3)
     """1.0 for the top third of a date by ``value``, ties broken by ticker.
 
     ``df`` must be settled: a date may hold any number of tickers, so positions
-    come from the sliced ordering rather than a window over the date.
+    come from the shared ordering rather than a window over the date.
     """
     known = df.filter(F.col(value).isNotNull()).select("ticker", "date", value)
-    ranked = with_positions(known, "date", value, ["ticker"], F.substring("ticker", 1, 4))
+    ranked = with_positions(known, "date", value, ["ticker"])
     flags = ranked.select(
         "ticker",
         "date",

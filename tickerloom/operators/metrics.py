@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.buckets import edge_bucket
 from tickerloom.plans.ranking import (
-    AUTO,
     attach_groups,
     quantile_points,
     with_positions,
@@ -29,11 +28,11 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def binary_metrics(
-    df: DataFrame, by: Sequence[str], label: str, probability: str, threshold: float = 0.5, slices: int | None = AUTO
+    df: DataFrame, by: Sequence[str], label: str, probability: str, threshold: float = 0.5, calendar_bound: bool = False
 ) -> DataFrame:
     """Counts, rates, Brier, ROC-AUC and average precision per group.
 
-    ``slices=None`` when groups are calendar-bounded (ticker, fold and ticker).
+    ``calendar_bound`` when a group has at most a row per date (ticker, fold and ticker).
     """
     by = list(by)
     values = (
@@ -41,7 +40,7 @@ def binary_metrics(
         .groupBy(*by, F.col(probability).alias("_p"))
         .agg(F.sum(label).alias("_tp"), F.count(F.lit(1)).alias("_n"))
     )
-    curve = with_running_totals(values, by, "_p", ["_tp", "_n"], slices)
+    curve = with_running_totals(values, by, "_p", ["_tp", "_n"], calendar_bound)
     totals = values.groupBy(*by).agg(F.sum("_tp").alias("_all_pos"), F.sum("_n").alias("_all_n"))
     joined = attach_groups(curve, totals, by)
     tp, n, p = F.col("_tp"), F.col("_n"), F.col("_p")
@@ -134,7 +133,7 @@ def quantile_bucketed(df: DataFrame, by: Sequence[str], value: str, buckets: int
     """Right-closed quantile buckets of the value (duplicate edges dropped)."""
     by = list(by)
     known = df.filter(F.col(value).isNotNull())
-    ranked = with_positions(known.select(*by, value, *DATE_TIES), by, value, DATE_TIES, F.col("date"))
+    ranked = with_positions(known.select(*by, value, *DATE_TIES), by, value, DATE_TIES)
     edges = quantile_points(ranked, by, value, [i / buckets for i in range(buckets + 1)])
     return attach_groups(known, edges, by).withColumn(output, edge_bucket(F.col(value), F.col("edges"))).drop("edges")
 
@@ -153,12 +152,6 @@ def quintiles(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def with_average_rank(df: DataFrame, value: str, output: str, by: Sequence[str] = ()) -> DataFrame:
-    """Average-tie rank of non-null values; ``df`` must be settled and filtered."""
-    ranked = with_positions(df, list(by), value, DATE_TIES, F.col("date"))
-    return ranked.withColumnRenamed("avg_rank", output).drop("pos", "min_rank", "group_size")
-
-
 def worst_group(df: DataFrame, by: Sequence[str], group: str, label: str, probability: str, output: str, minimum: int = 1) -> DataFrame:
     """Group value with the largest Brier score and that score; ties go to the smaller name."""
     error = F.col(probability) - F.col(label)

@@ -215,8 +215,8 @@ def direction_summary(scores: DataFrame, minimum: int = BUCKET, samples: int = S
     and the return need ranking.
     """
     known = scores.dropna(subset=["ml_score", "forward_excess_return"])
-    first = with_positions(known, [], "ml_score", DATE_TIES, F.col("date")).withColumnRenamed("avg_rank", "_rs").drop("pos", "min_rank", "group_size")
-    both = with_positions(first, [], "forward_excess_return", DATE_TIES, F.col("date"))
+    first = with_positions(known, [], "ml_score", DATE_TIES, ranks=True).withColumnRenamed("avg_rank", "_rs").drop("pos", "min_rank", "group_size")
+    both = with_positions(first, [], "forward_excess_return", DATE_TIES, ranks=True)
     out = both.agg(
         F.count(F.lit(1)).alias("sample_size"),
         correlation(F.col("_rs"), F.col("avg_rank")).alias("score_to_forward_return_spearman"),
@@ -231,6 +231,18 @@ def direction_summary(scores: DataFrame, minimum: int = BUCKET, samples: int = S
     )
 
 
+def regime_direction(scores: DataFrame, dimensions: Sequence[str] = ("regime",), minimum: int = BUCKET, samples: int = SAMPLES) -> DataFrame:
+    """Score direction per value of every regime column; the columns become rows of one grouped pass."""
+    known = scores.dropna(subset=["ml_score", "forward_excess_return"])
+    entries = F.array(*[F.struct(F.lit(d).alias("regime_dimension"), F.trim(F.col(d).cast("string")).alias("_v")) for d in dimensions])
+    rows = known.select("ml_score", "forward_excess_return", F.inline(entries)).filter("_v IS NOT NULL AND _v <> ''").withColumnRenamed("_v", "regime")
+    out = rows.groupBy("regime_dimension", "regime").agg(F.count(F.lit(1)).alias("sample_size"), *band_aggregates(F.col("ml_score"), "forward_excess_return", minimum, "m"))
+    return out.select(
+        "regime_dimension", "regime", "sample_size", F.col("m_high").alias("top_bucket_forward_return"), F.col("m_low").alias("bottom_bucket_forward_return"),
+        spread("m").alias("top_minus_bottom_spread"), spread_direction(spread("m"), F.col("sample_size"), samples).alias("direction"),
+    )
+
+
 # Alignment diagnostics, column and the two readings.
 ALIGNMENTS = (
     ("outperformance probability", "probability_out", "higher outperformance probability", "lower outperformance probability"),
@@ -300,7 +312,7 @@ def _ranked_thirds(scores: DataFrame, signals: dict[str, Column], minimum: int)
     """Rank terciles of several signals at once (signals become rows)."""
     entries = F.array(*[F.struct(F.lit(n).alias("signal"), c.alias("s")) for n, c in signals.items()])
     rows = scores.select("date", "ticker", "forward_excess_return", "actual_out", "actual_risk", F.inline(entries)).dropna(subset=["s", "forward_excess_return"])
-    ranked = with_positions(rows, ["signal"], "s", DATE_TIES, F.col("date")).withColumn("_b", rank_bucket(F.col("pos"), F.col("group_size"), 3))
+    ranked = with_positions(rows, ["signal"], "s", DATE_TIES).withColumn("_b", rank_bucket(F.col("pos"), F.col("group_size"), 3))
     aggregates = [F.count(F.lit(1)).alias("sample_size"), F.count_distinct("s").alias("_distinct")]
     for i, b in enumerate(("low", "mid", "high")):
         inside = F.col("_b") == i
@@ -364,9 +376,9 @@ def formula_candidates(scores: DataFrame, minimum: int = BUCKET) -> DataFrame:
 def joint_grid(scores: DataFrame, minimum: int = BUCKET) -> DataFrame:
     """Rank-median opportunity x risk cells and the joint read; settled input."""
     known = scores.dropna(subset=["probability_out", "probability_risk", "forward_excess_return"])
-    a = with_positions(known, [], "probability_out", DATE_TIES, F.col("date"))
-    a = a.withColumn("opportunity_bucket", F.when(rank_bucket(F.col("pos"), F.col("group_size"), 2) == 0, "Low opportunity").otherwise("High opportunity")).drop("pos", "avg_rank", "min_rank", "group_size")
-    b = with_positions(a, [], "probability_risk", DATE_TIES, F.col("date"))
+    a = with_positions(known, [], "probability_out", DATE_TIES)
+    a = a.withColumn("opportunity_bucket", F.when(rank_bucket(F.col("pos"), F.col("group_size"), 2) == 0, "Low opportunity").otherwise("High opportunity")).drop("pos", "group_size")
+    b = with_positions(a, [], "probability_risk", DATE_TIES)
     b = b.withColumn("risk_bucket", F.when(rank_bucket(F.col("pos"), F.col("group_size"), 2) == 0, "Low risk").otherwise("High risk"))
     cells = b.groupBy("opportunity_bucket", "risk_bucket").agg(
         F.count(F.lit(1)).alias("sample_size"), F.avg("forward_excess_return").alias("avg_forward_excess_return"),
@@ -397,7 +409,7 @@ def target_versions(rows: DataFrame, minimum: int = BUCKET) -> DataFrame:
     ``rows``: settled ``(target_version, date, ticker, probability, target)``.
     """
     known = rows.dropna(subset=["probability", "target"])
-    ranked = with_positions(known, ["target_version"], "probability", DATE_TIES, F.col("date")).withColumn("_b", rank_bucket(F.col("pos"), F.col("group_size"), 3))
+    ranked = with_positions(known, ["target_version"], "probability", DATE_TIES).withColumn("_b", rank_bucket(F.col("pos"), F.col("group_size"), 3))
     aggregates = [F.count(F.lit(1)).alias("sample_size")]
     for i, b in enumerate(("low", "middle", "high")):
         aggregates += [mean_in(F.col("_b") == i, "target").alias(f"{b}_bucket_target"), F.count_if(F.col("_b") == i).alias(f"_n_{b}")]

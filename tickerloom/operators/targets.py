@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom import fixed
 from tickerloom.functions.buckets import rank_bucket
 from tickerloom.operators.metrics import DATE_TIES, binary_metrics
 from tickerloom.operators.scorecards import mean_in
@@ -45,7 +46,7 @@ def balance(panel: DataFrame, targets: dict[str, str], h: int = 20) -> DataFrame
 def bucket_rates(predictions: DataFrame, by: Sequence[str], minimum: int = 5) -> DataFrame:
     """Positive rate of the top and bottom rank third per group; settled input."""
     by = list(by)
-    placed = with_positions(predictions.dropna(subset=["actual", "probability"]), by, "probability", DATE_TIES, F.col("date"))
+    placed = with_positions(predictions.dropna(subset=["actual", "probability"]), by, "probability", DATE_TIES)
     placed = placed.withColumn("_b", rank_bucket(F.col("pos"), F.col("group_size"), 3))
     top, bottom = F.col("_b") == 2, F.col("_b") == 0
     out = placed.groupBy(*by).agg(
@@ -110,21 +111,125 @@ def separation_grade(spread: Column) -> Column:
     return F.when(spread.isNull(), "Unavailable").when(spread >= 0.05, "Positive").when(spread <= -0.05, "Inverted").otherwise("Weak")
 
 
+def _group_scores(groups: DataFrame) -> DataFrame:
+    """``_s``, the best of three separations (minus infinity if none is known), and its direction ``_d``."""
+    score = F.coalesce(F.greatest("bucket_spread", (F.col("roc_auc") - 0.5) * 2, F.col("pr_auc") - F.col("positive_rate")), F.lit(float("-inf")))
+    return groups.withColumn("_s", score).withColumn(
+        "_d", F.when(F.coalesce("prediction_count", F.lit(0)) <= 0, "insufficient").when(F.col("_s") >= 0.05, "positive").when(F.col("_s") <= -0.05, "inverted").otherwise("flat")
+    )
+
+
+def group_comparison(predictions: DataFrame) -> DataFrame:
+    """Metrics per target and feature group; ``predictions`` carries ``target_id`` and ``feature_group``."""
+    return walk_forward_table(predictions, ["target_id", "feature_group"])
+
+
 def group_consistency(groups: DataFrame) -> DataFrame:
     """Best feature group per target and how consistent the groups are."""
-    score = F.greatest("bucket_spread", (F.col("roc_auc") - 0.5) * 2, F.col("pr_auc") - F.col("positive_rate"))
-    rows = groups.withColumn("_s", score).withColumn(
-        "_d", F.when(F.col("prediction_count") <= 0, "insufficient").when(F.col("_s") >= 0.05, "positive").when(F.col("_s") <= -0.05, "inverted").otherwise("flat")
-    )
     used, pos = F.count_if(F.col("_d") != "insufficient"), F.count_if(F.col("_d") == "positive")
-    return rows.groupBy("target_id").agg(
-        F.max_by("feature_group", F.struct(F.round("_s", 12), "prediction_count")).alias("best_feature_group"),
-        F.max_by("roc_auc", F.struct(F.round("_s", 12), "prediction_count")).alias("best_feature_group_auc"),
+    best = F.struct(F.round("_s", 12), "prediction_count")
+    return _group_scores(groups).groupBy("target_id").agg(
+        F.max_by("feature_group", best).alias("best_feature_group"),
+        F.max_by("roc_auc", best).alias("best_feature_group_auc"),
         F.max("_s").alias("best_feature_group_metric"),
         F.when(used == 0, "Insufficient data").when(pos == used, "Stable across feature groups").when(pos > 0, "Feature-group dependent").otherwise("Weak across feature groups").alias("feature_group_consistency"),
     )
 
 
+# Feature groups in their order.
+GROUP_ORDER = ("technical", "technical_fourier", "technical_wavelet", "all")
+
+
+def stability(targets: DataFrame, groups: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Stability of every target (``target_id``) over feature groups and regimes."""
+    place = F.array_position(F.array(*[F.lit(g) for g in GROUP_ORDER]), F.col("feature_group"))
+    order = F.struct(F.round("_s", 12), "prediction_count", -F.when(place > 0, place).otherwise(len(GROUP_ORDER) + 1))
+    n = {d: F.count_if(F.col("_d") == d) for d in ("positive", "inverted", "flat")}
+    used = F.count_if(F.col("_d") != "insufficient")
+    consistency = (
+        F.when(used == 0, "No usable feature groups").when(n["positive"] == used, "Consistent positive").when((n["positive"] > 0) & (n["inverted"] == 0), "Mostly positive")
+        .when(n["positive"] > 0, "Feature-group dependent").when(n["inverted"] > 0, "Inverted or unstable").otherwise("Weak")
+    )
+    by_group = _group_scores(groups).groupBy("target_id").agg(
+        F.max_by("feature_group", order).alias("best_feature_group"), F.max_by(F.coalesce("bucket_spread", "roc_auc"), order).alias("best_feature_group_metric"),
+        F.max("_s").alias("_best"), consistency.alias("feature_group_consistency"),
+    )
+    by_regime = regimes.groupBy("target_id").agg(
+        F.count_if(F.col("direction") == "positive").alias("regime_positive_count"), F.count_if(F.col("direction") == "inverted").alias("regime_negative_count"),
+        F.min("bucket_spread").alias("worst_regime_bucket_spread"),
+    )
+    out = targets.select("target_id").distinct().join(by_group, "target_id", "left").join(by_regime, "target_id", "left")
+    out = out.withColumns(
+        {
+            "_best": F.coalesce("_best", F.lit(float("-inf"))),
+            "feature_group_consistency": F.coalesce("feature_group_consistency", F.lit("No usable feature groups")),
+            "regime_positive_count": F.coalesce("regime_positive_count", F.lit(0)).cast("long"),
+            "regime_negative_count": F.coalesce("regime_negative_count", F.lit(0)).cast("long"),
+        }
+    )
+    best, c = F.col("_best"), F.col("feature_group_consistency")
+    label = (
+        F.when(best == float("-inf"), "Unusable")
+        .when((F.col("regime_negative_count") > 0) & (best >= 0.05), "Promising but regime-sensitive")
+        .when(c.isin("Feature-group dependent", "Inverted or unstable") & (best >= 0.05), "Feature-group dependent")
+        .when((best >= 0.10) & c.isin("Consistent positive", "Mostly positive"), "Strong candidate")
+        .when((best >= 0.05) | (F.col("regime_positive_count") > 0), "Promising but regime-sensitive")
+        .otherwise("Weak")
+    )
+    step = F.when(F.col("overall_stability") == "Strong candidate", "Yes").when(F.col("overall_stability").isin("Unusable", "Weak"), "No").otherwise("Review")
+    return out.withColumn("overall_stability", label).withColumn("next_step_candidate", step).drop("_best")
+
+
+# Targets of the arena; the fourth falls back to the fifth name where a table lacks it.
+ARENA = ("outperform_20d", "top_tercile_excess_20d", "risk_adjusted_excess_20d", "drawdown_adjusted_opportunity_20d", "pullback_recovery_20d")
+ARENA_FALLBACK = ("drawdown_adjusted_opportunity_20d", "tail_adjusted_outperform_20d")
+
+
+def arena(quality_rows: DataFrame, baseline: str = "outperform_20d") -> DataFrame:
+    """Evidence class, decision and rejection reasons of the arena's targets; one row per target comes in."""
+    own, other = ARENA_FALLBACK
+    there = quality_rows.filter(F.col("target_id") == own).agg((F.count(F.lit(1)) > 0).alias("_own"))
+    rows = quality_rows.crossJoin(F.broadcast(there))
+    renamed = F.when(~F.col("_own") & (F.col("target_id") == other), own).otherwise(F.col("target_id"))
+    rows = rows.withColumn("target_id", renamed).filter(F.col("target_id").isin(*ARENA)).drop("_own")
+    columns = ["bucket_spread", "brier_score", "calibration_gap", "regime_inversion_count"]
+    base = quality_rows.filter(F.col("target_id") == baseline).agg(*[F.max(c).alias(f"_b_{c}") for c in columns])
+    j = rows.crossJoin(F.broadcast(base))
+    s, yes = F.col("bucket_spread"), F.lit(True)
+    q, b, c = F.col("overall_target_quality"), F.col("bucket_separation_quality"), F.col("calibration_quality")
+    g, r = F.col("feature_group_consistency"), F.col("regime_stability")
+    sound = (
+        F.coalesce(s > 0, F.lit(False)) & F.coalesce(s >= F.col("_b_bucket_spread") - 0.005, yes) & F.coalesce(F.col("brier_score") <= F.col("_b_brier_score") + 0.02, yes)
+        & F.coalesce(F.abs("calibration_gap") <= F.abs("_b_calibration_gap") + 0.03, yes)
+        & (F.coalesce("regime_inversion_count", F.lit(0)) <= F.coalesce("_b_regime_inversion_count", F.lit(0))) & (g != "Weak across feature groups")
+    )
+    evidence = (
+        F.when((F.coalesce("sample_count", F.lit(0)) < MIN_SAMPLES) | (q == "Unusable") | (F.col("class_balance_status") == "Unusable"), "insufficient")
+        .when((q == "Weak") | (b == "Inverted"), "weak")
+        .when(F.col("target_id") == baseline, F.when(q == "Mixed", "mixed").otherwise("promising"))
+        .when((q == "Promising") & sound & c.isin("Good", "Acceptable") & (r == "Stable across regimes"), "strong")
+        .when(sound & (c != "Poor"), "promising").otherwise("mixed")
+    )
+    e = F.col("evidence_classification")
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("class_balance_status").isin("Skewed", "Unusable"), F.concat(F.lit("class balance is "), F.lower("class_balance_status"))),
+            F.when(c == "Poor", "calibration is poor"), F.when(b.isin("Weak", "Inverted"), F.concat(F.lit("bucket separation is "), F.lower(b))),
+            F.when(r == "Inverted in some regimes", "some regimes are inverted").when(r == "Regime-sensitive", "evidence is regime-sensitive"),
+            F.when(g == "Weak across feature groups", "feature-group stability is weak"),
+        )
+    )
+    reason = F.when(e.isin("strong", "promising"), "").when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("evidence is not clearly better than the current production target")
+    decision = F.when(F.col("target_id") == baseline, "current_baseline").when(e == "strong", "best_candidate").when(e == "promising", "future_research_candidate").otherwise("reject_for_now")
+    out = j.withColumn("evidence_classification", evidence).withColumns(
+        {
+            "rejection_reason": reason, "arena_decision": decision,
+            "future_production_experiment": e.isin("strong", "promising") & (F.col("target_id") != baseline),
+        }
+    )
+    return out.drop(*[f"_b_{x}" for x in columns])
+
+
 def quality(balance_rows: DataFrame, walk_rows: DataFrame, regime_rows: DataFrame, group_rows: DataFrame | None = None, baseline: str = "outperform_20d") -> DataFrame:
     """Grades, production status against the baseline target, and rank."""
     used, bad, good = F.count_if(F.col("direction") != "insufficient"), F.count_if(F.col("direction") == "inverted"), F.count_if(F.col("direction") == "positive")
@@ -180,53 +285,96 @@ def quality(balance_rows: DataFrame, walk_rows: DataFrame, regime_rows: DataFram
         .otherwise("Research-only candidate")
     )
     out = out.crossJoin(F.broadcast(base)).withColumn("production_candidate_status", status).drop("_bq", "_bs", "_ba")
-    order = F.array(*[F.lit(x) for x in ("Unusable", "Weak", "Mixed", "Promising")])
-    w = Window.orderBy(F.array_position(order, q).desc(), F.round(F.greatest("bucket_spread", (F.col("roc_auc") - 0.5) * 2), 9).desc_nulls_last(), "target_id")
-    return out.withColumn("candidate_rank", F.row_number().over(w))  # one row per target
+    def points(table: dict[str, float], c: str) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(c)], F.lit(0.0))
+
+    metric = F.coalesce("bucket_spread", F.lit(0.0)) + F.coalesce(F.col("roc_auc") - 0.5, F.lit(0.0))
+    evidence = points(fixed.CALIBRATION_POINTS, "calibration_quality") + points(fixed.STABILITY_POINTS, "regime_stability") + points(fixed.GROUP_POINTS, "feature_group_consistency")
+    keys = [points(fixed.QUALITY_POINTS, "overall_target_quality"), points(fixed.STATUS_POINTS, "production_candidate_status"), F.round(metric, 9), evidence, F.col("target_id")]
+    return out.withColumn("candidate_rank", F.row_number().over(Window.orderBy(*[k.desc() for k in keys])))  # one row per target
 
 
 def stop_rule(quality_rows: DataFrame, baseline: str = "outperform_20d") -> DataFrame:
-    """Differences to the baseline target, failure causes and pass / fail."""
-    columns = ["roc_auc", "pr_auc", "brier_score", "bucket_spread", "calibration_gap", "regime_inversion_count"]
+    """Differences to the baseline target, pass / fail with its diagnosis, likely cause and decision.
+
+    An unknown spread fails; any other unknown value passes its own test.
+    """
+    columns = ["roc_auc", "pr_auc", "brier_score", "bucket_spread", "calibration_gap", "regime_inversion_count", "folds"]
     base = quality_rows.filter(F.col("target_id") == baseline).select(*[F.col(c).alias(f"_b_{c}") for c in columns])
     j = quality_rows.crossJoin(F.broadcast(base))
     gap = F.abs("calibration_gap") - F.abs("_b_calibration_gap")
-    s = F.col("bucket_spread")
+    s, quality_name = F.col("bucket_spread"), F.col("overall_target_quality")
+    no_spread = s.isNull() | (s <= 0)
+    reasons = F.array_compact(
+        F.array(
+            F.when(no_spread, "bucket spread is unavailable or non-positive").when(s < F.col("_b_bucket_spread") - 0.005, "bucket spread is worse than baseline tolerance"),
+            F.when(F.col("brier_score") > F.col("_b_brier_score") + 0.02, "Brier score is worse than baseline tolerance"),
+            F.when(gap > 0.03, "calibration gap is worse than baseline tolerance"),
+            F.when(F.col("regime_inversion_count") > F.col("_b_regime_inversion_count"), "regime inversion count is worse than baseline"),
+            F.when(F.col("feature_group_consistency") == "Weak across feature groups", "feature-group stability is weak"),
+            F.when(quality_name.isin("Weak", "Unusable"), F.concat(F.lit("overall target quality is "), F.lower(quality_name))),
+        )
+    )
+    is_base, rate = F.col("target_id") == baseline, F.col("positive_rate")
+    failed = F.size("_reasons") > 0
+    thin = F.col("target_id").contains("60d") | F.coalesce(F.col("folds") < F.col("_b_folds"), F.lit(False))
     causes = F.array_compact(
         F.array(
-            F.when((s <= 0) | (s < F.col("_b_bucket_spread") - 0.005), "bucket separation"),
-            F.when(F.col("brier_score") > F.col("_b_brier_score") + 0.02, "brier score"),
-            F.when(gap > 0.03, "calibration gap"),
-            F.when(F.col("regime_inversion_count") > F.col("_b_regime_inversion_count"), "regime inversions"),
-            F.when(F.col("feature_group_consistency") == "Weak across feature groups", "weak feature groups"),
-            F.when(F.col("overall_target_quality").isin("Weak", "Unusable"), "weak quality"),
+            F.when(thin, "horizon mismatch / thin folds"),
+            F.when(F.col("class_balance_status").isin("Skewed", "Unusable") | (rate < 0.20) | (rate > 0.80), "target design / class imbalance"),
+            F.when(gap > 0.03, "target noise / calibration"),
+            F.when((F.col("regime_inversion_count") > 0) & (F.col("worst_regime_bucket_spread") < 0), "regime inversion"),
+            F.when(F.exists("_reasons", lambda x: x.contains("bucket spread")), "weak feature separation"),
         )
     )
-    deltas = {f"{c}_delta": F.col(c) - F.col(f"_b_{c}") for c in columns if c != "calibration_gap"} | {"absolute_calibration_gap_delta": gap}
-    is_base = F.col("target_id") == baseline
-    return j.withColumns(deltas).withColumns(
+    missing = F.lit(False)
+    for c in ("roc_auc", "bucket_spread", "folds", "prediction_count"):
+        missing = missing | F.col(c).isNull()
+    decision = (
+        F.when(is_base, "Continue").when(missing, "Needs more data").when(~failed, "Continue").when(F.col("class_balance_status") == "Unusable", "Kill")
+        .when(F.col("target_id") == "pullback_recovery_20d", "Hold as audit-only").when(thin, "Needs more data").when(F.col("roc_auc") - F.col("_b_roc_auc") < -0.05, "Kill").otherwise("Pivot")
+    )
+    cause = (
+        F.when(is_base, "current baseline").when(missing, "missing evidence fields").when(F.size("_causes") > 0, F.array_join("_causes", "; "))
+        .when(failed, "mixed validation evidence").otherwise("evidence clears stop rule")
+    )
+    diagnosis = (
+        F.when(is_base, "Current production target baseline for comparison.").when(failed, F.array_join("_reasons", "; "))
+        .otherwise("Candidate clears the research stop rule versus the current baseline.")
+    )
+    deltas = {f"{c}_delta": F.col(c) - F.col(f"_b_{c}") for c in columns if c not in ("calibration_gap", "folds")} | {"absolute_calibration_gap_delta": gap}
+    out = j.withColumns(deltas).withColumn("_reasons", reasons).withColumn("_causes", causes)
+    out = out.withColumns(
         {
-            "likely_failure_cause": F.when(is_base, "").otherwise(F.array_join(causes, "; ")),
-            "stop_rule_result": F.when(is_base, "baseline").when(F.size(causes) == 0, "pass").otherwise("fail"),
+            "stop_rule_result": F.when(is_base, "baseline").when(failed, "fail").otherwise("pass"),
+            "stop_rule_diagnosis": diagnosis,
+            "likely_failure_cause": cause,
+            "recommended_decision": decision,
         }
-    ).drop(*[f"_b_{c}" for c in columns])
+    )
+    return out.drop("_reasons", "_causes", *[f"_b_{c}" for c in columns])
 
 
-def evidence_rollup(rows: DataFrame, priority: Sequence[str]) -> DataFrame:
-    """Worst classification per area by a fixed priority list; strength and readiness.
+def evidence_rollup(rows: DataFrame, areas: Sequence[str]) -> DataFrame:
+    """Worst classification per area, its strength and readiness, and the overall row.
 
-    ``rows`` is ``(area, classification)``.
+    ``rows`` is ``(area, classification)``; an area without rows is unavailable.
+    The first label of the fixed priority list that an area has stands for it; with
+    none of them, its most frequent one (of equally frequent ones the first by name).
     """
-    order = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("classification"))
-    rank = F.when(order > 0, order).otherwise(len(priority) + 1)
-    worst = F.min(F.struct(rank.alias("r"), F.col("classification").alias("c")))["c"]
-    out = rows.filter("classification IS NOT NULL AND classification <> ''").groupBy("area").agg(worst.alias("latest_classification"), F.count(F.lit(1)).alias("rows"))
-    c = F.col("latest_classification")
-    weak = c.isin("insufficient_sample", "insufficient_data", "insufficient_evidence", "unavailable")
-    bad = c.isin("harmful", "inverted", "unstable", "likely_overfit", "risky", "baseline_beats_model")
-    return out.withColumns(
-        {
-            "evidence_strength": F.when(weak, "insufficient").when(bad, "negative").when(c.isin("mixed", "watch", "miscalibrated", "baseline_matches_model"), "mixed").otherwise("supportive"),
-            "production_readiness": F.when(weak | bad, "not_ready").when(c.isin("mixed", "watch", "miscalibrated", "baseline_matches_model"), "research_only").otherwise("review"),
-        }
-    )
+    spark = rows.sparkSession
+    label = F.lower("classification")
+    counts = rows.filter("classification IS NOT NULL").groupBy("area", label.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.array_position(F.array(*[F.lit(p) for p in fixed.EVIDENCE_PRIORITY]), F.col("c"))
+    order = F.struct(F.when(place > 0, place).otherwise(len(fixed.EVIDENCE_PRIORITY) + 1), F.when(place > 0, 0).otherwise(-F.col("n")), "c")
+    worst = counts.groupBy("area").agg(F.min_by("c", order).alias("latest_classification"))
+    named = spark.createDataFrame([(a,) for a in areas], "area string")
+    out = named.join(worst, "area", "left").withColumn("latest_classification", F.coalesce("latest_classification", F.lit("unavailable")))
+    strength = F.lit(None).cast("string")
+    for name, labels in fixed.EVIDENCE_STRENGTH.items():
+        strength = F.when(F.col("latest_classification").isin(*labels), name).otherwise(strength)
+    out = out.withColumn("evidence_strength", F.coalesce(strength, F.lit("watch")))
+    s = F.col("evidence_strength")
+    out = out.withColumn("production_readiness", F.when(s == "useful", "research_only").when(s == "unavailable", "unavailable").otherwise("not_ready"))
+    overall = spark.createDataFrame([("Overall production readiness", "not_ready", "blocking", "not_ready")], out.schema)
+    return out.unionByName(overall)

@@ -1,22 +1,24 @@
 """Spectral and wavelet summaries of a trailing window.
 
-The two transforms are the only Python code in the data path.  Spark forms the
-windows (``collect_list`` over a row frame) and ships Arrow batches; numpy then
-handles a whole batch as one matrix.
+The two transforms are the only Python code in the data path: one Arrow call per
+ticker, in which numpy handles all windows as one matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tickerloom.functions import frames as fr
 from tickerloom.operators.features import signal_source
 
+#: Windows turned into one matrix at once.
+ROWS_AT_ONCE = 4096
+
 # db4 low-pass decomposition filter (8 taps).
 DB4_LOW = (
     -0.010597401785069032,
@@ -30,13 +32,6 @@ DB4_LOW = (
 )
 
 
-def _stack(batch: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
-    usable = batch.notna().to_numpy()
-    if not usable.any():
-        return usable, np.empty((0, width))
-    return usable, np.vstack(batch[usable].to_numpy()).astype(float)
-
-
 def spectral_fields(components: int) -> list[str]:
     names = ["energy_concentration", "spectral_entropy", "cycle_clarity", "cycle_strength", "noise_diffusion"]
     for k in range(1, components + 1):
@@ -74,40 +69,36 @@ def spectral_matrix(windows: np.ndarray, components: int) -> np.ndarray:
     return out
 
 
-def _array_udf(compute, width: int, fields: list[str]):
-    schema = ", ".join(f"{name} double" for name in fields)
-
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            usable, windows = _stack(batch, width)
-            out = np.full((len(batch), len(fields)), np.nan)
-            if len(windows):
-                out[usable] = compute(windows)
-            yield pd.DataFrame(out, columns=fields).astype(object).where(~np.isnan(out), None)
-
-    return run
-
+def _attach(bars: DataFrame, source: Column, rows: int, compute: Callable[[np.ndarray], np.ndarray], fields: list[str], prefix: str) -> DataFrame:
+    """Add the summaries of the trailing ``rows`` values of ``source``; NULL where the window is not full.
 
-def _full_window(value: Column, rows: int) -> Column:
-    frame = fr.trailing(rows)
-    return F.when(F.count(value).over(frame) == rows, F.collect_list(value).over(frame))
+    One Arrow call per ticker, whose rows the calendar bounds: each value crosses to
+    Python once, and the windows are views of one array.
+    """
+    names = [f"{prefix}_{name}" for name in fields]
+    shaped = bars.drop(*names).withColumn("_source", source)
+    schema = StructType([*(f for f in shaped.schema.fields if f.name != "_source"), *(StructField(n, DoubleType()) for n in names)])
 
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("date")
+        values = table["_source"].to_numpy().astype(float)
+        out = np.full((len(values), len(fields)), np.nan)
+        if len(values) >= rows:
+            windows = np.lib.stride_tricks.sliding_window_view(values, rows)
+            full = np.flatnonzero(~np.isnan(windows).any(axis=1))
+            for at in np.array_split(full, len(full) // ROWS_AT_ONCE + 1):
+                if len(at):
+                    out[at + rows - 1] = compute(windows[at])
+        added = [pa.array(out[:, k], pa.float64(), mask=np.isnan(out[:, k])) for k in range(len(fields))]
+        kept = table.drop_columns(["_source"])
+        return pa.table([*kept.columns, *added], names=[*kept.column_names, *names])
 
-def _attach(bars: DataFrame, source: Column, rows: int, udf, fields: list[str], prefix: str) -> DataFrame:
-    out = (
-        bars.withColumn("_source", source)
-        .withColumn("_window", _full_window(F.col("_source"), rows))
-        .withColumn("_fields", udf("_window"))
-    )
-    names = {f"{prefix}_{name}": F.col("_fields")[name] for name in fields}
-    return out.withColumns(names).drop("_source", "_window", "_fields")
+    return shaped.groupBy("ticker").applyInArrow(one, schema)
 
 
 def fourier(bars: DataFrame, window: int = 60, components: int = 3, mode: str = "returns", prefix: str = "fourier") -> DataFrame:
     fields = spectral_fields(components)
-    udf = _array_udf(lambda w: spectral_matrix(w, components), window, fields)
-    return _attach(bars, signal_source(F.col("adj_close"), mode), window, udf, fields, prefix)
+    return _attach(bars, signal_source(F.col("adj_close"), mode), window, lambda w: spectral_matrix(w, components), fields, prefix)
 
 
 def _step(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +160,5 @@ def wavelet_matrix(windows: np.ndarray, levels: int) -> np.ndarray:
 
 def wavelet(bars: DataFrame, window: int = 64, levels: int = 3, prefix: str = "wavelet") -> DataFrame:
     fields = wavelet_fields(levels)
-    udf = _array_udf(lambda w: wavelet_matrix(w, levels), window, fields)
-    out = _attach(bars, F.log("adj_close"), window, udf, fields, prefix)
+    out = _attach(bars, F.log("adj_close"), window, lambda w: wavelet_matrix(w, levels), fields, prefix)
     return out.withColumn(f"{prefix}_available", F.lit(1.0))

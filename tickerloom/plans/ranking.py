@@ -1,189 +1,119 @@
-"""Exact ordering of groups that are too large for one task.
+"""Exact ordering of groups of any size.
 
 ``row_number() over (partition by date order by x)`` puts a whole date in one
-task, and an un-partitioned window puts the whole table there.  The helpers
-below split each group into value slices first:
-
-1. approximate quantiles of the group give ``slices - 1`` cut points (a
-   mergeable sketch, one row per group);
-2. each row finds its slice by binary search over the cut points.  A value that
-   equals a cut point gets a slice of its own, so a value repeated so often that
-   it would fill a slice is isolated and can be subdivided by the tie breaker;
-3. slice sizes (at most ``2 * slices`` rows per group and tie bucket) are summed
-   into offsets, and rows are numbered inside their slice only.
-
-The cut points only balance the work.  The numbering is exact for any cut points
-because slices are ordered and disjoint.  Inputs have to be settled (see
-``storage``) so that all passes see the same values.
-
-The number of slices follows from the measured size of the largest group: up to
-``ROWS_PER_TASK`` rows a plain window is one shuffle and is used as it is.
+task, and an un-partitioned window puts the whole table there.  Here one path
+serves every size:
+
+1. rows are range-partitioned and sorted by (group, value, ties).  With ties that
+   make rows distinct, neither a large group, nor a value that a third of the rows
+   share, nor a common name prefix can fill a partition;
+2. the sorted partitions are settled with each row's place, so every later pass
+   sees the same order;
+3. counts per (group, partition), a table of at most groups + partitions rows,
+   give each partition's offset inside a group.
+
+Joins go by (group, partition), so the rows of a large group meet in as many tasks
+as they have partitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AUTO = 0
-ROWS_PER_TASK = 1_000_000
-MOST_SLICES = 4096
+from tickerloom.plans.storage import settle
+
 BEFORE = (Window.unboundedPreceding, -1)
-UP_TO = (Window.unboundedPreceding, 0)
+#: A one-row-per-group table is broadcast up to this many rows.
+BROADCAST_ROWS = 100_000
+_ROW_BITS = 33  # of monotonically_increasing_id
 
 
 def attach_groups(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join a one-row-per-group table; with no keys, attach its only row.
 
-    ``small`` is an aggregate with one row per group.  Spark decides from its
-    size whether to broadcast it; only the single-row case is hinted.
+    The table is broadcast if it is counted to be small, so that few-key joins
+    don't put a large group into one task; else Spark shuffles both sides.
     """
-    if by:
-        return df.join(small, list(by), "inner")
-    return df.crossJoin(F.broadcast(small))
+    if not by:
+        return df.crossJoin(F.broadcast(small))
+    small = settle(small)
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, list(by), "inner")
 
 
 def _as_names(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def slices_needed(df: DataFrame, by: Sequence[str]) -> int:
-    """1 when every group fits a task; otherwise enough slices for the largest group."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    if biggest <= ROWS_PER_TASK:
-        return 1
-    return min(MOST_SLICES, 2 ** math.ceil(math.log2(2 * biggest / ROWS_PER_TASK)))
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` sorted over all partitions, with ``_part`` and ``_row``, the place inside the partition."""
+    at = F.col("_at")
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return settle(out).withColumns({"_part": F.shiftright(at, _ROW_BITS).cast("int"), "_row": at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_at")
+
+
+def _joined(df: DataFrame, small: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Columns of a one-row-per-key table; NULL is a key like any other."""
+    other = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    on: Column = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(other, on, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _offsets(placed: DataFrame, by: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """Per group and partition: ``_base`` (add ``_row`` for the 1-based position), ``group_size`` and
+    the totals of earlier partitions."""
+    parts = placed.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in totals])
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_part").rowsBetween(*BEFORE)
+    return parts.select(
+        *by,
+        "_part",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"),
+        F.sum("_n").over(whole).alias("group_size"),
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals],
+    )
 
 
-def with_slices(df: DataFrame, by, value: str, slices: int) -> DataFrame:
-    """Add ``_slice``: odd slices hold one single value, even ones a value range."""
-    by = _as_names(by)
-    depth = max(1, math.ceil(math.log2(slices)))
-    slices = 2**depth
-    probabilities = [i / slices for i in range(1, slices)]
-    cuts = df.groupBy(*by).agg(
-        F.percentile_approx(value, probabilities, 20 * slices).alias("_cuts")
-    )
-    out = attach_groups(df, cuts, by).withColumn("_lower", F.lit(0))
-    for level in range(depth - 1, -1, -1):
-        step = 2**level
-        probe = F.get("_cuts", F.col("_lower") + F.lit(step - 1))
-        out = out.withColumn(
-            "_lower",
-            F.when(probe < F.col(value), F.col("_lower") + F.lit(step)).otherwise(F.col("_lower")),
-        )
-    on_cut = (F.col("_lower") < slices - 1) & (
-        F.get("_cuts", F.least(F.col("_lower"), F.lit(slices - 2))) == F.col(value)
-    )
-    return out.withColumn(
-        "_slice", F.col("_lower") * 2 + F.when(on_cut, 1).otherwise(0)
-    ).drop("_cuts", "_lower")
-
-
-def with_positions(
-    df: DataFrame,
-    by,
-    value: str,
-    ties: Sequence[str],
-    tie_bucket: Column,
-    slices: int = AUTO,
-) -> DataFrame:
-    """Add exact ``pos`` (1-based row number), ``avg_rank``, ``min_rank`` and ``group_size``.
-
-    Order is ``value`` ascending, then ``ties``.  ``tie_bucket`` is any monotone
-    coarse function of the first tie column; it splits slices that hold one
-    repeated value.  Rows with a NULL value must be filtered out first.
+def with_positions(df: DataFrame, by, value: str, ties: Sequence[str], ranks: bool = False) -> DataFrame:
+    """Add exact ``pos`` (1-based row number) and ``group_size``, with ``ranks`` also ``avg_rank`` and ``min_rank``.
+
+    Order is ``value`` ascending, then ``ties``, which should tell rows apart.
+    Rows with a NULL value must be filtered out first.
     """
     by = _as_names(by)
-    slices = slices or slices_needed(df, by)
-    if slices == 1:
-        whole = Window.partitionBy(*by)
-        rank = F.rank().over(whole.orderBy(value))
-        same = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        return df.select(
-            "*",
-            F.row_number().over(whole.orderBy(value, *ties)).cast("long").alias("pos"),
-            (rank + (same - 1) / 2.0).alias("avg_rank"),
-            rank.cast("long").alias("min_rank"),
-            F.count(F.lit(1)).over(whole).alias("group_size"),
-        )
-    sliced = with_slices(df, by, value, slices).withColumn(
-        "_sub", F.when(F.col("_slice") % 2 == 1, tie_bucket.cast("string")).otherwise(F.lit(""))
-    )
-    keys = [*by, "_slice", "_sub"]
-    sizes = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*by).orderBy("_slice", "_sub")
-    same_slice = Window.partitionBy(*by, "_slice")
-    offsets = sizes.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(ordered.rowsBetween(*BEFORE)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(same_slice).alias("_slice_n"),
-        F.min(F.struct("_sub")).over(same_slice).alias("_first_sub"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("group_size"),
-    ).withColumn(
-        "_slice_before",
-        F.max(F.when(F.col("_sub") == F.col("_first_sub._sub"), F.col("_before"))).over(same_slice),
-    ).drop("_first_sub")
-    local = Window.partitionBy(*keys)
-    return (
-        sliced.join(offsets, keys, "inner")
-        .withColumn("_row", F.row_number().over(local.orderBy(value, *ties)))
-        .withColumn("_rank", F.rank().over(local.orderBy(value)))
-        .withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(*keys, value)))
-        .withColumn("pos", (F.col("_before") + F.col("_row")).cast("long"))
-        .withColumn(
-            "avg_rank",
-            F.when(
-                F.col("_slice") % 2 == 1, F.col("_slice_before") + (F.col("_slice_n") + 1) / 2.0
-            ).otherwise(F.col("_before") + F.col("_rank") + (F.col("_same") - 1) / 2.0),
-        )
-        .withColumn(
-            "min_rank",
-            F.when(F.col("_slice") % 2 == 1, F.col("_slice_before") + 1)
-            .otherwise(F.col("_before") + F.col("_rank"))
-            .cast("long"),
-        )
-        .drop("_slice", "_sub", "_before", "_slice_n", "_slice_before", "_row", "_rank", "_same")
-    )
-
-
-def with_running_totals(
-    df: DataFrame, by, value: str, columns: Sequence[str], slices: int | None = AUTO
-) -> DataFrame:
+    placed = _placed(df, [*by, value, *ties])
+    keys = [*by, "_part"]
+    out = _joined(placed, _offsets(placed, by, []), keys, ["_base", "group_size"])
+    out = out.withColumn("pos", (F.col("_base") + F.col("_row")).cast("long")).drop("_base", "_row")
+    if ranks:  # runs of one value, first inside a partition and then over those that it spans
+        runs = out.groupBy(*by, value, "_part").agg(F.min("pos").alias("_low"), F.count(F.lit(1)).alias("_same"))
+        run = Window.partitionBy(*by, value)
+        low, same = F.min("_low").over(run), F.sum("_same").over(run)
+        runs = runs.select(*by, value, "_part", low.cast("long").alias("min_rank"), (low + (same - 1) / 2.0).alias("avg_rank"))
+        out = _joined(out, runs, [*by, value, "_part"], ["min_rank", "avg_rank"])
+    return out.drop("_part")
+
+
+def with_running_totals(df: DataFrame, by, value: str, columns: Sequence[str], calendar_bound: bool = False) -> DataFrame:
     """Add ``below_<c>``: total of ``c`` over rows of the group with a smaller value.
 
-    ``df`` holds one row per ``(by, value)``.  ``slices=None`` is for groups whose
-    size is bounded by the calendar and runs as one window per group.
+    ``df`` holds one row per ``(by, value)``.  ``calendar_bound`` is for groups that
+    hold at most a row per date and runs as one window per group.
     """
     by = _as_names(by)
-    if slices == AUTO and slices is not None:
-        slices = slices_needed(df, by)
-    if slices is None or slices == 1:
+    if calendar_bound:
         w = Window.partitionBy(*by).orderBy(value).rowsBetween(*BEFORE)
-        return df.select(
-            "*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"below_{c}") for c in columns]
-        )
-    sliced = with_slices(df, by, value, slices)
-    keys = [*by, "_slice"]
-    ordered = Window.partitionBy(*by).orderBy("_slice").rowsBetween(*BEFORE)
-    offsets = (
-        sliced.groupBy(*keys)
-        .agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-        .select(*keys, *[F.coalesce(F.sum(f"_t_{c}").over(ordered), F.lit(0)).alias(f"_o_{c}") for c in columns])
-    )
-    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(*BEFORE)
-    joined = sliced.join(offsets, keys, "inner")
-    return joined.select(
-        *df.columns,
-        *[
-            (F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"below_{c}")
-            for c in columns
-        ],
-    )
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"below_{c}") for c in columns])
+    placed = _placed(df, [*by, value])
+    keys = [*by, "_part"]
+    inside = Window.partitionBy(*keys).orderBy("_row").rowsBetween(*BEFORE)
+    local = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{c}") for c in columns])
+    out = _joined(local, _offsets(placed, by, columns), keys, [f"_o_{c}" for c in columns])
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"below_{c}") for c in columns])
 
 
 def quantile_points(positioned: DataFrame, by, value: str, probabilities: Sequence[float]) -> DataFrame:

@@ -8,8 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Run-comparison tolerances.
-TOLERANCE = {"auc": 0.005, "brier": 0.02, "gap": 0.03, "spread": 0.005}
+from tickerloom import fixed
+
 
 
 def safe_name(name: str) -> str:
@@ -55,23 +55,44 @@ def metric_rows(targets: DataFrame) -> DataFrame:
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Full outer pairing of two ``(metric, value)`` tables with a per-metric read."""
+    """Full outer pairing of two ``(metric, value)`` tables with a per-metric read.
+
+    The metric's name decides its rule: scores (``auc``, ``spread``) and losses
+    (``brier``) make a run worse or improved; a negative candidate spread or more
+    inversions make it worse; a larger calibration gap, more regime-sensitive
+    targets, or a lower ``consistency`` or ``quality`` make it mixed at best.
+    Drawdown-risk losses can only make it worse.
+    """
     b, c = baseline.select("metric", F.col("value").alias("baseline")), candidate.select("metric", F.col("value").alias("candidate"))
     out = b.join(c, "metric", "full_outer").withColumn("delta", F.col("candidate") - F.col("baseline"))
-    name = F.lower("metric")
-    kind = F.when(name.contains("auc"), "auc").when(name.contains("brier"), "brier").when(name.contains("gap"), "gap").when(name.contains("spread"), "spread")
-    shift = F.when(kind == "gap", F.abs("candidate") - F.abs("baseline")).otherwise(F.col("delta"))
-    better = F.when(kind.isin("brier", "gap"), -shift).otherwise(shift)
-    limit = F.create_map(*[F.lit(x) for kv in TOLERANCE.items() for x in kv])[kind]
-    return out.withColumn(
-        "read", F.when(kind.isNull() | better.isNull(), "not compared").when(better > limit, "improved").when(better < -limit, "worse").otherwise("same")
+    name, delta = F.lower("metric"), F.col("delta")
+    limit = {k: F.lit(v) for k, v in fixed.RUN_TOLERANCE.items()}
+    score = F.when(name.contains("auc"), limit["auc"]).when(name.contains("spread"), limit["spread"])
+    read = (
+        F.when(name.contains("spread") & (F.col("candidate") < 0), "worse")
+        .when(delta.isNull(), "not compared")
+        .when(score.isNotNull(), F.when(delta < -score, "worse").when(delta > score, "improved").otherwise("same"))
+        .when(name.contains("brier"), F.when(delta > limit["brier"], "worse").when((delta < -limit["brier"]) & ~name.contains("drawdown"), "improved").otherwise("same"))
+        .when(name.contains("inversion"), F.when(delta > 0, "worse").otherwise("same"))
+        .when(name.contains("gap"), F.when(delta > limit["gap"], "mixed").otherwise("same"))
+        .when(name.contains("sensitive"), F.when(delta > 0, "mixed").otherwise("same"))
+        .when(name.contains("consistency") | name.contains("quality"), F.when(delta < 0, "mixed").otherwise("same"))
+        .otherwise("not compared")
     )
+    return out.withColumn("read", read)
+
+
+RECOMMENDATION = {
+    "improved": "commit_candidate",
+    "mixed": "manual_review_required",
+    "worse": "do_not_commit_algorithm_change",
+    "insufficient_evidence": "insufficient_evidence",
+}
 
 
 def verdict(compared: DataFrame) -> DataFrame:
-    one = compared.agg(*[F.count_if(F.col("read") == r).alias(r) for r in ("improved", "worse", "same")])
-    return one.withColumn(
-        "verdict",
-        F.when(F.col("improved") + F.col("worse") + F.col("same") == 0, "insufficient").when((F.col("worse") > 0) & (F.col("improved") > 0), "mixed")
-        .when(F.col("worse") > 0, "worse").when(F.col("improved") > 0, "improved").otherwise("mixed"),
-    )
+    """One row: any worse metric decides, then any mixed one, then any improved one."""
+    one = compared.agg(*[F.count_if(F.col("read") == r).alias(r) for r in ("improved", "worse", "mixed", "same")])
+    status = F.when(F.col("worse") > 0, "worse").when(F.col("mixed") > 0, "mixed").when(F.col("improved") > 0, "improved").otherwise("insufficient_evidence")
+    advice = F.create_map(*[F.lit(x) for kv in RECOMMENDATION.items() for x in kv])
+    return one.withColumn("verdict", status).withColumn("recommendation", advice[F.col("verdict")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom import fixed
 from tickerloom.operators import audits as au
 from tickerloom.operators import challenge as ch
 from tickerloom.operators import folds as fo
@@ -154,8 +155,7 @@ def redundancy_selection(spark, sf):
     out = []
     for prefix in ("fourier_", "wavelet_"):
         columns = [c for c in rows.columns if c.startswith(prefix)]
-        gone = au.prune_pairs(au.collect_pairs(rows, columns), columns)
-        out += [(prefix.rstrip("_"), d, k, float(round(c, 6))) for d, k, c in gone]
+        out += [(prefix.rstrip("_"), d, k, float(round(c, 6))) for d, k, c in au.redundant(rows, columns)]
     return spark.createDataFrame(out, "family string, dropped_feature string, kept_feature string, abs_correlation double")
 
 
@@ -193,6 +193,41 @@ def feature_signal(spark, sf):
     return shown(_signal(spark, sf).drop("unique_value_count"))
 
 
+@query(
+    "top_signals",
+    sp.with_(SIGNAL_SQL, f"SELECT feature, family, {r('greatest(abs(rho), ra, rb)', 'strength')} FROM sig ORDER BY round(greatest(abs(rho), ra, rb), 12) DESC, feature LIMIT 3"),
+)
+def top_signals(spark, sf):
+    return shown(au.top_signals(_signal(spark, sf), 3).select("feature", "family", au.signal_strength().alias("strength")))
+
+
+@query(
+    "quantile_signals",
+    sp.with_(
+        SIGNAL_SQL,
+        f"""SELECT feature, family, n AS valid_sample_count, {r('lo', 'bottom_quantile_target_mean')}, {r('hi', 'top_quantile_target_mean')}, {r('hi - lo', 'quantile_spread')}, {r('abs(hi - lo)', 'abs_quantile_spread')}
+FROM sig ORDER BY round(abs(hi - lo), 12) DESC, feature LIMIT 3""",
+    ),
+)
+def quantile_signals(spark, sf):
+    return shown(au.quantile_signals(_signal(spark, sf), 3))
+
+
+@query(
+    "signal_warnings",
+    sp.with_(
+        SIGNAL_SQL + """, sw AS (SELECT *, greatest(abs(rho), ra, rb) AS s, row_number() OVER (ORDER BY round(greatest(abs(rho), ra, rb), 12) DESC, feature) AS p FROM sig),
+w1 AS (SELECT 'near-zero univariate signal' AS warning, count(*) FILTER (s < 0.05) AS feature_count, 'threshold=0.05' AS detail FROM sw HAVING count(*) FILTER (s < 0.05) / count(*) >= 0.75),
+w2 AS (SELECT 'top signal features are redundant' AS warning, count(*) AS feature_count, string_agg(feature, ', ' ORDER BY feature) AS detail FROM sw WHERE p <= 5 AND feature IN ('volatility_20d', 'volatility_60d') HAVING count(*) > 0),
+w3 AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2)""",
+        """SELECT warning, 'info' AS severity, feature_count, detail FROM w3 UNION ALL SELECT 'no material feature signal warnings', 'info', 0, '' WHERE NOT EXISTS (SELECT 1 FROM w3)""",
+    ),
+)
+def signal_warnings(spark, sf):
+    signal = _signal(spark, sf)
+    return shown(au.signal_warnings(signal, au.family_signal(signal), ("volatility_20d", "volatility_60d")))
+
+
 @query(
     "family_signal",
     sp.with_(
@@ -428,24 +463,137 @@ def prevalence_baseline(spark, sf):
     return shown(ch.prevalence_rule(settle(ch.comparator_metrics(rates, ch.COMPARATORS[:3]))), *CH_COLUMNS)
 
 
-@query("challenge_breakdown")
+_METRICS = (("rate", "positive_rate"), ("mp", "mean_probability"), ("gap", "calibration_gap"), ("brier", "brier_score"), ("auc", "roc_auc"), ("ap", "pr_auc"))
+
+
+def challenge_by_sql(name: str, source: str) -> str:
+    """The challenge per key ``vk`` of ``source``, from the rule: comparators become rows keyed by vk and name."""
+    union = " UNION ALL ".join(f"SELECT vk, '{c}' AS comparator, vk || '#{c}' AS k, {c} AS p, {ch.FALLBACKS.get(c, 'false')} AS fb, fold, ticker, regime, actual FROM {source}" for c in ch.COMPARATORS)
+    worst = ", ".join(
+        f"{name}_{g} AS (SELECT k, arg_min({g}, (-br, {g})) AS worst_{g}, max(br) AS worst_{g}_brier FROM (SELECT k, {g}, round(avg((p - actual) ^ 2), 12) AS br FROM {name}_u GROUP BY 1, 2) GROUP BY 1)"
+        for g in ("regime", "fold", "ticker")
+    )
+    five = (("x.ap > c.ap + 0.01", "c.ap > x.ap + 0.01"), ("x.brier + 0.0025 < c.brier", "c.brier + 0.0025 < x.brier"), ("abs(x.gap) + 0.025 < abs(c.gap)", "abs(c.gap) + 0.025 < abs(x.gap)")) + tuple(
+        (f"x.worst_{g}_brier + 0.01 < c.worst_{g}_brier", f"c.worst_{g}_brier + 0.01 < x.worst_{g}_brier") for g in ("fold", "regime")
+    )
+    won, lost = (" + ".join(f"({t[i]})::INT" for t in five) for i in (0, 1))
+    return f""", {name}_u AS MATERIALIZED ({union}),{metrics_sql(name + '_m', name + '_u', 'k', 'actual', 'p')}, {worst},
+{name}_n AS (SELECT k, any_value(vk) AS vk, any_value(comparator) AS comparator, count(DISTINCT ticker) AS ticker_count, count(DISTINCT fold) AS fold_count, count(*) FILTER (fb) AS fallback_count FROM {name}_u GROUP BY 1),
+{name}_c AS MATERIALIZED (SELECT *, rate - mp AS gap FROM {name}_m JOIN {name}_n USING (k) JOIN {name}_regime USING (k) JOIN {name}_fold USING (k) JOIN {name}_ticker USING (k)),
+{name}_d AS (SELECT c.*, {won} AS won, {lost} AS lost FROM {name}_c c JOIN (SELECT * FROM {name}_c WHERE comparator = 'model') x USING (vk)),
+{name}_e AS (SELECT *, CASE WHEN won IS NULL OR lost IS NULL THEN 'insufficient_evidence' WHEN won >= 3 AND lost <= 1 THEN 'model_beats_baseline' WHEN lost >= 3 AND won <= 1 THEN 'baseline_beats_model'
+  WHEN greatest(won, lost) <= 2 THEN 'baseline_matches_model' ELSE 'unstable_or_inconclusive' END AS cl FROM {name}_d),
+{name}_v AS (SELECT vk, count(*) FILTER (cl = 'baseline_beats_model') AS n_loss, count(*) FILTER (cl = 'baseline_matches_model') AS n_match, count(*) FILTER (cl = 'model_beats_baseline') AS n_win, count(*) FILTER (cl = 'unstable_or_inconclusive') AS n_odd,
+  CASE WHEN bool_and(cl = 'insufficient_evidence') THEN 'insufficient_evidence' WHEN bool_or(cl = 'baseline_beats_model') THEN 'baseline_beats_model' WHEN bool_or(cl = 'unstable_or_inconclusive') THEN 'unstable_or_inconclusive'
+    WHEN bool_and(cl = 'model_beats_baseline') THEN 'model_beats_baseline' ELSE 'baseline_matches_model' END AS v FROM {name}_e WHERE comparator <> 'model' GROUP BY 1),
+{name} AS MATERIALIZED (SELECT e.*, CASE WHEN comparator = 'model' THEN v ELSE cl END AS classification, n_loss, n_match, n_win, n_odd FROM {name}_e e JOIN {name}_v USING (vk))"""
+
+
+RISK = ("label_drawdown_risk_20d", "actual_risk", "probability_risk")
+# Feature group -> what stands for its model's probability.
+RISK_GROUPS = {"technical": "model", "technical_fourier": "0.25 + 0.5 * model", "all": "1 - model"}
+_THREE = ("global_fold_prevalence", "regime_fold_prevalence")
+
+
+def _increment_sql(name: str, source: str) -> str:
+    """Three tests per baseline and key ``vk``, from the rule."""
+    names = ("model", *_THREE)
+    union = " UNION ALL ".join(f"SELECT vk, '{c}' AS comparator, vk || '#{c}' AS k, {c} AS p, fold, ticker, actual FROM {source}" for c in names)
+    tests = (("x.brier + 0.0025 < c.brier", "c.brier + 0.0025 < x.brier"), ("abs(x.gap) + 0.025 < abs(c.gap)", "abs(c.gap) + 0.025 < abs(x.gap)"), ("x.wf + 0.01 < c.wf", "c.wf + 0.01 < x.wf"))
+    won, lost = (" + ".join(f"({t[i]})::INT" for t in tests) for i in (0, 1))
+    return f""", {name}_u AS MATERIALIZED ({union}),{metrics_sql(name + '_m', name + '_u', 'k', 'actual', 'p')},
+{name}_w AS (SELECT k, max(br) AS wf FROM (SELECT k, fold, round(avg((p - actual) ^ 2), 12) AS br FROM {name}_u GROUP BY 1, 2) GROUP BY 1),
+{name}_n AS (SELECT k, any_value(vk) AS vk, any_value(comparator) AS comparator, count(DISTINCT ticker) AS tc, count(DISTINCT fold) AS fc FROM {name}_u GROUP BY 1),
+{name}_c AS MATERIALIZED (SELECT *, rate - mp AS gap FROM {name}_m JOIN {name}_n USING (k) JOIN {name}_w USING (k)),
+{name}_d AS (SELECT c.vk, c.comparator, c.brier, {won} AS won, {lost} AS lost FROM {name}_c c JOIN (SELECT * FROM {name}_c WHERE comparator = 'model') x USING (vk) WHERE c.comparator <> 'model'),
+{name}_e AS (SELECT *, CASE WHEN won IS NULL OR lost IS NULL THEN 'insufficient_evidence' WHEN won >= 2 AND lost = 0 THEN 'model_beats_baseline' WHEN lost >= 2 AND won = 0 THEN 'baseline_beats_model' ELSE 'baseline_matches_model' END AS cl FROM {name}_d),
+{name} AS (SELECT vk, arg_min(comparator, (round(brier, 12), comparator)) AS bb, min(brier) AS bs, CASE WHEN bool_and(cl = 'insufficient_evidence') THEN 'insufficient_evidence' WHEN bool_or(cl = 'baseline_beats_model') THEN 'baseline_beats_model'
+  WHEN bool_and(cl = 'model_beats_baseline') THEN 'model_beats_baseline' ELSE 'baseline_matches_model' END AS v FROM {name}_e GROUP BY 1)"""
+
+
+@query(
+    "risk_feature_groups",
+    sp.with_(
+        rates_sql(*RISK) + ", rg AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{g}' AS vk, * REPLACE ({x} AS model) FROM rates" for g, x in RISK_GROUPS.items()) + ")" + _increment_sql("ri", "rg"),
+        f"""SELECT vk AS feature_group, n AS sample_count, tc AS ticker_count, fc AS fold_count, {r('rate', 'event_prevalence')}, {r('brier', 'model_brier_score')}, {r('gap', 'model_calibration_gap')}, {r('wf', 'model_worst_fold_brier')},
+  v AS classification, bb AS best_baseline, {r('bs', 'best_baseline_brier_score')}, {r('bs - brier', 'brier_improvement')} FROM ri JOIN ri_c USING (vk) WHERE comparator = 'model'""",
+    ),
+)
+def risk_feature_groups(spark, sf):
+    """Drawdown-risk models of several feature groups against fold-aware prevalences."""
+    groups = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.expr(x).alias("p")) for g, x in RISK_GROUPS.items()])
+    rates = _rates(spark, sf, *RISK).select("*", F.inline(groups)).withColumn("model", F.col("p")).drop("p")
+    return shown(ch.risk_increment(settle(rates), ["feature_group"]))
+
+
+@query("adverse_label_comparison")
+def adverse_label_comparison(spark, sf):
+    """The same comparison for each adverse-outcome label; one probability formula serves all of them."""
+    panel = settle(lb.adverse_outcomes(fx.panel(spark, sf)))
+    scores = settle(fx.scores(spark, sf, True).select("fold", "date", "ticker", "regime", F.col("probability_risk").alias("probability"), F.col("return_60d").alias("momentum"), "forward_excess_return"))
+    parts = None
+    for label in [c for c in panel.columns if c.startswith("risk_") and c.endswith("_20d")]:
+        own = panel.filter(F.col(label).isNotNull()).select("ticker", "date", F.col(label).alias("label"), "regime", F.col("return_60d").alias("momentum"))
+        actual = scores.join(own.select("ticker", "date", F.col("label").alias("actual")), ["ticker", "date"])
+        one = ch.fold_rates(settle(actual), settle(own), fx.fold_bounds(spark, sf), fx.shipping_days(spark, sf)).withColumn("label", F.lit(label))
+        parts = one if parts is None else parts.unionByName(one)
+    return shown(ch.risk_increment(settle(parts), ["label"]))
+
+
+@query(
+    "challenge_breakdown",
+    sp.with_(
+        rates_sql(*OPP) + """, sv AS MATERIALIZED (SELECT 'all|ALL' AS vk, * FROM rates UNION ALL SELECT 'ticker|' || ticker, * FROM rates UNION ALL SELECT 'fold|' || CAST(fold AS VARCHAR), * FROM rates UNION ALL SELECT 'regime|' || regime, * FROM rates)"""
+        + challenge_by_sql("cb", "sv"),
+        "SELECT split_part(vk, '|', 1) AS breakdown, split_part(vk, '|', 2) AS segment, "
+        + ", ".join(["comparator, n AS sample_count, ticker_count, fold_count, fallback_count", *(r(x, y, 4) for x, y in _METRICS), "worst_regime, worst_fold, worst_ticker"])
+        + ", classification FROM cb",
+    ),
+)
 def challenge_breakdown(spark, sf):
     """The challenge repeated for ALL and for every ticker, fold and regime."""
     rates = ch.scoped(settle(_rates(spark, sf, *OPP)))
     by = ["breakdown", "segment"]
-    return shown(ch.challenge(settle(ch.comparator_metrics(settle(rates), ch.COMPARATORS, by)), by), *by, *CH_COLUMNS)
+    return shown(ch.challenge(settle(ch.comparator_metrics(settle(rates), ch.COMPARATORS, by)), by), *by, *CH_COLUMNS, digits=4)
+
+
+def _edges_sql(name: str, score: str) -> str:
+    """Outer rank buckets of a score per view, at most four."""
+    return f"""
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY vk ORDER BY {score}, date, ticker) AS pos, count(*) OVER (PARTITION BY vk) AS n FROM fv),
+{name}_b AS (SELECT *, least(4, n) AS kk, coalesce(greatest(ceil((pos - 1) * least(4, n) / nullif(n - 1, 0)) - 1, 0), 0) AS b FROM {name}_r),
+{name} AS (SELECT vk, CASE WHEN min({score}) < max({score}) THEN avg(actual) FILTER (b = kk - 1) - avg(actual) FILTER (b = 0) END AS sp, CASE WHEN min({score}) < max({score}) THEN avg(forward_excess_return) FILTER (b = kk - 1) END AS top,
+  CASE WHEN min({score}) < max({score}) THEN avg(forward_excess_return) FILTER (b = 0) END AS bot FROM {name}_b GROUP BY 1)"""
+
+
+NAMED = ("S1", "S2")
+_WILD = f"regime = '{fixed.UP_WILD}'"
+FRAGILE = [
+    "sample_count", "ticker_count", "fold_count", "event_prevalence", "model_roc_auc", "model_pr_auc", "model_brier_score", "model_calibration_gap", "model_bucket_spread", "inverted_roc_auc",
+    "inverted_brier_score", "inverted_calibration_gap", "inverted_bucket_spread", "normal_top_bucket_forward_outcome", "normal_bottom_bucket_forward_outcome", "normal_forward_outcome_spread",
+    "inverted_forward_outcome_spread", "baseline_loss_count", "baseline_match_count", "model_win_count", "unstable_count", "worst_ticker", "worst_fold", "worst_regime", "ticker_mix", "classification",
+]
 
 
 @query(
     "opportunity_fragility",
     sp.with_(
-        rates_sql(*OPP) + """, wt AS (SELECT arg_min(ticker, (-br, ticker)) AS w FROM (SELECT ticker, round(avg((model - actual) ^ 2), 12) AS br FROM rates GROUP BY 1)),
-fv AS (SELECT 'all' AS view, 'ALL' AS segment, * FROM rates UNION ALL SELECT 'regime', regime, * FROM rates UNION ALL SELECT 'without_worst', 'ALL', r.* FROM rates r, wt WHERE ticker <> w),
-fs AS MATERIALIZED (SELECT view || '|' || segment || '|model' AS k, model AS p, * FROM fv UNION ALL SELECT view || '|' || segment || '|inverted', 1 - model, * FROM fv),""" + metrics_sql("m", "fs", "k", "actual", "p") + """,
-fx AS (SELECT k, count(DISTINCT ticker) AS tc, count(DISTINCT fold) AS fc, avg(forward_excess_return) FILTER (p > 2 / 3) - avg(forward_excess_return) FILTER (p <= 1 / 3) AS fos FROM fs GROUP BY 1)""",
-        f"SELECT k AS view_key, n AS sample_count, tc AS ticker_count, fc AS fold_count, {r('auc', 'roc_auc')}, {r('ap', 'pr_auc')}, {r('brier', 'brier_score')}, {r('fos', 'forward_outcome_spread')} FROM m JOIN fx USING (k)",
+        rates_sql(*OPP) + ", tv AS MATERIALIZED (SELECT ticker AS vk, * FROM rates)" + challenge_by_sql("wt", "tv") + f""",
+wn AS MATERIALIZED (SELECT vk AS ticker, row_number() OVER (ORDER BY n_loss DESC, coalesce(round(brier, 12), -1) DESC, vk) AS rk FROM wt WHERE comparator = 'model'),
+fv AS MATERIALIZED (SELECT 'ticker|' || ticker AS vk, '' AS ex, * FROM rates UNION ALL SELECT 'fold_ticker_mix|' || CAST(fold AS VARCHAR), '', * FROM rates UNION ALL SELECT 'regime_ticker_mix|' || regime, '', * FROM rates
+  UNION ALL SELECT 'high_vol_uptrend_ticker|' || ticker, '', * FROM rates WHERE {_WILD}
+  UNION ALL SELECT 'high_vol_uptrend_exclude_s1|all_remaining', 'S1', * FROM rates WHERE {_WILD} AND ticker <> 'S1' UNION ALL SELECT 'high_vol_uptrend_exclude_s1_s2|all_remaining', 'S1,S2', * FROM rates WHERE {_WILD} AND ticker NOT IN ('S1', 'S2')
+  UNION ALL SELECT 'exclude_worst_ticker|all_remaining', (SELECT ticker FROM wn WHERE rk = 1), * FROM rates WHERE ticker NOT IN (SELECT ticker FROM wn WHERE rk = 1)
+  UNION ALL SELECT 'exclude_worst_two_tickers|all_remaining', (SELECT string_agg(ticker, ',' ORDER BY rk) FROM wn WHERE rk <= 2), * FROM rates WHERE ticker NOT IN (SELECT ticker FROM wn WHERE rk <= 2))"""
+        + challenge_by_sql("fg", "fv") + ", fi AS (SELECT *, 1 - model AS q FROM fv)," + metrics_sql("im", "fi", "vk", "actual", "q") + "," + _edges_sql("en", "model") + "," + _edges_sql("ei", "(1 - model)") + """,
+fx AS (SELECT vk, max(ex) AS ex, string_agg(ticker || ':' || n, ';' ORDER BY ticker) AS mix FROM (SELECT vk, ex, ticker, count(*) AS n FROM fv GROUP BY 1, 2, 3) GROUP BY 1)""",
+        f"""SELECT split_part(g.vk, '|', 1) AS view, split_part(g.vk, '|', 2) AS segment, ex AS excluded_tickers, g.n AS sample_count, ticker_count, fold_count, {r('g.rate', 'event_prevalence')}, {r('g.auc', 'model_roc_auc')},
+  {r('g.ap', 'model_pr_auc')}, {r('g.brier', 'model_brier_score')}, {r('g.gap', 'model_calibration_gap')}, {r('en.sp', 'model_bucket_spread')}, {r('im.auc', 'inverted_roc_auc')}, {r('im.brier', 'inverted_brier_score')},
+  {r('im.rate - im.mp', 'inverted_calibration_gap')}, {r('ei.sp', 'inverted_bucket_spread')}, {r('en.top', 'normal_top_bucket_forward_outcome')}, {r('en.bot', 'normal_bottom_bucket_forward_outcome')},
+  {r('en.top - en.bot', 'normal_forward_outcome_spread')}, {r('ei.top - ei.bot', 'inverted_forward_outcome_spread')}, n_loss AS baseline_loss_count, n_match AS baseline_match_count, n_win AS model_win_count, n_odd AS unstable_count,
+  worst_ticker, worst_fold, worst_regime, mix AS ticker_mix, classification FROM fg g JOIN im USING (vk) JOIN en USING (vk) JOIN ei USING (vk) JOIN fx USING (vk) WHERE comparator = 'model'""",
     ),
 )
 def opportunity_fragility(spark, sf):
-    out = ch.fragility(settle(_rates(spark, sf, *OPP))).withColumn("view_key", F.concat_ws("|", "view", "segment", "signal"))
-    return shown(out, "view_key", "sample_count", "ticker_count", "fold_count", "roc_auc", "pr_auc", "brier_score", "forward_outcome_spread")
+    rates = settle(_rates(spark, sf, *OPP))
+    return shown(ch.fragility(rates, NAMED), "view", "segment", "excluded_tickers", *FRAGILE)

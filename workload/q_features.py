@@ -182,7 +182,37 @@ def fourier_features(spark, sf):
     return shown(tr.fourier(fx.bars(spark, sf)), "ticker", "date", *[f"fourier_{f}" for f in FOURIER])
 
 
-@query("wavelet_features")
+def _halved(x: list[float]) -> tuple[list[float], list[float]]:
+    """Low- and high-pass halves of one periodic signal, from the filter's definition."""
+    low = tr.DB4_LOW
+    high = [(-1) ** (k + 1) * low[7 - k] for k in range(8)]
+    picked = [[x[(2 * i + 4 - k) % len(x)] for k in range(8)] for i in range(len(x) // 2)]
+    return tuple([sum(f * v for f, v in zip(taps, p)) for p in picked] for taps in (low, high))
+
+
+def _wavelet_sql() -> str:
+    """Three levels over 64 values as a table of coefficients (part, row, place, weight): responses to unit signals."""
+    rows = []
+    for place in range(64):
+        signal = [float(i == place) for i in range(64)]
+        for part in ("1", "2", "3"):
+            signal, detail = _halved(signal)
+            rows += [f"('{part}', {i}, {place}, {v!r})" for i, v in enumerate(detail) if v]
+        rows += [f"('a', {i}, {place}, {v!r})" for i, v in enumerate(signal) if v]
+    return f"""
+wm(part, i, place, w) AS (VALUES {', '.join(rows)}),
+wv AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n, ln(adj_close) AS v FROM bars),
+wc AS (SELECT e.ticker, e.date, part, i, sum(w * x.v) AS c FROM wv e JOIN wv x ON x.ticker = e.ticker AND x.n BETWEEN e.n - 63 AND e.n JOIN wm ON wm.place = x.n - e.n + 63 WHERE e.n >= 64 GROUP BY 1, 2, 3, 4),
+wd AS (SELECT i, sum(CASE place WHEN 63 THEN w WHEN 0 THEN -w ELSE 0 END) AS d FROM wm WHERE part = 'a' GROUP BY 1),
+we AS (SELECT ticker, date, sum(c * c) FILTER (part = '1') AS e1, sum(c * c) FILTER (part = '2') AS e2, sum(c * c) FILTER (part = '3') AS e3, sum(c * c) AS t, exp(sum(c * d) FILTER (part = 'a')) - 1 AS tr FROM wc LEFT JOIN wd ON wc.part = 'a' AND wc.i = wd.i GROUP BY 1, 2),
+wavelets AS (SELECT b.ticker, b.date, tr AS wavelet_trend_return, e1 / t AS wavelet_short_noise_intensity, tr / (1 + e1 / t) AS wavelet_clean_trend, abs(tr) / (1 + e1 / t) AS wavelet_trend_quality, e1 / (t + e1) AS wavelet_noise_pressure,
+  (e2 + e3) / t AS wavelet_medium_long_energy_share, e1 / t AS wavelet_energy_scale_1, e2 / t AS wavelet_energy_scale_2, e3 / t AS wavelet_energy_scale_3 FROM bars b LEFT JOIN we USING (ticker, date))"""
+
+
+@query(
+    "wavelet_features",
+    sp.with_(sp.BARS + "," + _wavelet_sql(), f"SELECT ticker, date, {rs(', '.join('wavelet_' + f for f in tr.wavelet_fields(3)))} FROM wavelets"),
+)
 def wavelet_features(spark, sf):
     return shown(tr.wavelet(fx.bars(spark, sf)), "ticker", "date", *[f"wavelet_{f}" for f in tr.wavelet_fields(3)])
 

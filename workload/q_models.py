@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom import fixed
 from tickerloom.operators import labels as lb
 from tickerloom.operators import metrics as mt
 from tickerloom.operators import models as md
@@ -14,7 +15,7 @@ from workload import fixtures as fx
 from workload import sqlparts as sp
 from workload.q_features import TARGET_SQL
 from workload.q_scores import metrics_sql, rank_bucket_sql
-from workload.registry import query, r, rs, shown
+from workload.registry import ORACLES, QUERIES, query, r, rs, shown
 
 COLUMNS = ("return_20d", "return_60d", "volatility_20d", "volatility_60d")
 WINDOWS = {"train": 504, "test": 504, "embargo": 20}
@@ -37,11 +38,8 @@ def walk_forward_importance(spark, sf):
 
 @query("model_selection")
 def model_selection(spark, sf):
-    """Per-fold choice between two candidates; small sizes keep a registered run short."""
-    out, _ = md.validate(
-        _labelled(spark, sf), COLUMNS, "label_drawdown_risk_20d", kind="auto", candidates=("logistic_regression", "random_forest"),
-        sizes=md.Sizes(trees=10, depth=5), **WINDOWS,
-    )
+    """Per-fold choice between the four candidates in their production sizes."""
+    out, _ = md.validate(_labelled(spark, sf), COLUMNS, "label_drawdown_risk_20d", kind="auto", **WINDOWS)
     folds = mt.binary_metrics(out, ["fold", "selected_model"], "actual", "probability").withColumn("target", F.lit("drawdown_risk"))
     return shown(md.selection_summary(folds))
 
@@ -109,6 +107,20 @@ def _targets(spark, sf):
     return settle(lb.target_candidates(fx.featured(spark, sf), "SPY"))
 
 
+# Feature group -> the formula that stands for its model in the tables without random streams.
+GROUP_FORMULAS = {"technical": "-20 * return_20d", "technical_fourier": "-10 * return_60d", "all": "20 * return_20d"}
+
+
+def _group_predictions(spark, sf, panel):
+    from tickerloom.operators import folds as fo
+
+    tested = fo.assign(panel, fx.fold_bounds(spark, sf), "test", fx.shipping_days(spark, sf))
+    entries = F.array(*[F.struct(F.lit(t).alias("target_id"), F.col(c).alias("actual")) for t, c in TARGET_LABELS.items()])
+    groups = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.round(1 / (1 + F.exp(F.expr(x))), 12).alias("probability")) for g, x in GROUP_FORMULAS.items()])
+    rows = tested.select("fold", "date", "ticker", F.inline(groups), "*").select("fold", "date", "ticker", "feature_group", "probability", F.inline(entries))
+    return settle(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
+
+
 def _predictions(spark, sf, panel):
     from tickerloom.operators import folds as fo
 
@@ -189,9 +201,13 @@ q0 AS (SELECT b.target_id, b.n, b.rate AS brate, class_balance_status AS cb, auc
   CASE WHEN spread >= 0.05 THEN 'Positive' WHEN spread <= -0.05 THEN 'Inverted' ELSE 'Weak' END AS bq FROM tbal b JOIN walk USING (target_id) JOIN rq USING (target_id)),
 q1 AS (SELECT *, CASE WHEN n < 50 OR cb = 'Unusable' THEN 'Unusable' WHEN bq = 'Inverted' OR auc < 0.5 OR inv > 1 THEN 'Weak' WHEN cb = 'Healthy' AND bq = 'Positive' AND cq <> 'Poor' AND rs IN ('Stable across regimes', 'Insufficient data') THEN 'Promising' ELSE 'Mixed' END AS q FROM q0),
 q2 AS (SELECT a.*, b.q AS b_q, b.spread AS b_s, b.auc AS b_a, b.brier AS b_b, b.gap AS b_g, b.inv AS b_i FROM q1 a, (SELECT * FROM q1 WHERE target_id = 'outperform_20d') b),
-qual AS MATERIALIZED (SELECT *, CASE WHEN target_id = 'outperform_20d' THEN CASE WHEN q = 'Unusable' THEN 'Insufficient evidence' ELSE 'Keep baseline' END WHEN q = 'Unusable' THEN 'Reject for now' WHEN cb = 'Skewed' AND bq = 'Positive' THEN 'Special setup only'
-  WHEN q = 'Promising' AND (b_q IN ('Weak', 'Unusable') OR spread >= b_s + 0.03 OR auc >= b_a + 0.02) THEN CASE WHEN rs = 'Inverted in some regimes' THEN 'Research-only candidate' ELSE 'Candidate for production trial' END WHEN q = 'Weak' THEN 'Reject for now' ELSE 'Research-only candidate' END AS status,
-  row_number() OVER (ORDER BY list_position(['Unusable', 'Weak', 'Mixed', 'Promising'], q) DESC, round(greatest(spread, (auc - 0.5) * 2), 9) DESC, target_id) AS rank FROM q2)"""
+q3 AS (SELECT *, CASE WHEN target_id = 'outperform_20d' THEN CASE WHEN q = 'Unusable' THEN 'Insufficient evidence' ELSE 'Keep baseline' END WHEN q = 'Unusable' THEN 'Reject for now' WHEN cb = 'Skewed' AND bq = 'Positive' THEN 'Special setup only'
+  WHEN q = 'Promising' AND (b_q IN ('Weak', 'Unusable') OR spread >= b_s + 0.03 OR auc >= b_a + 0.02) THEN CASE WHEN rs = 'Inverted in some regimes' THEN 'Research-only candidate' ELSE 'Candidate for production trial' END WHEN q = 'Weak' THEN 'Reject for now' ELSE 'Research-only candidate' END AS status FROM q2),
+qual AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY CASE q WHEN 'Promising' THEN 3 WHEN 'Mixed' THEN 2 WHEN 'Weak' THEN 1 ELSE 0 END DESC,
+  CASE status WHEN 'Candidate for production trial' THEN 4 WHEN 'Keep baseline' THEN 3 WHEN 'Special setup only' THEN 2 WHEN 'Research-only candidate' THEN 1.5 WHEN 'Insufficient evidence' THEN 0.5 ELSE 0 END DESC,
+  round(coalesce(spread, 0) + coalesce(auc - 0.5, 0), 9) DESC,
+  CASE cq WHEN 'Good' THEN 2 WHEN 'Acceptable' THEN 1 WHEN 'Unavailable' THEN 0.5 ELSE 0 END + CASE rs WHEN 'Stable across regimes' THEN 2 WHEN 'Regime-sensitive' THEN 1 WHEN 'Insufficient data' THEN 0.5 ELSE 0 END + 0.5 DESC,
+  target_id DESC) AS rank FROM q3)"""
 
 
 def _quality(spark, sf):
@@ -218,25 +234,126 @@ def target_quality(spark, sf):
     "target_stop_rule",
     sp.with_(
         PRED_SQL + QUALITY_PART,
-        f"""SELECT target_id, {r('auc - b_a', 'roc_auc_delta')}, {r('brier - b_b', 'brier_score_delta')}, {r('spread - b_s', 'bucket_spread_delta')}, {r('abs(gap) - abs(b_g)', 'absolute_calibration_gap_delta')}, c AS likely_failure_cause,
-  CASE WHEN target_id = 'outperform_20d' THEN 'baseline' WHEN c = '' THEN 'pass' ELSE 'fail' END AS stop_rule_result FROM (SELECT *, CASE WHEN target_id = 'outperform_20d' THEN '' ELSE concat_ws('; ', CASE WHEN spread <= 0 OR spread < b_s - 0.005 THEN 'bucket separation' END,
-    CASE WHEN brier > b_b + 0.02 THEN 'brier score' END, CASE WHEN abs(gap) - abs(b_g) > 0.03 THEN 'calibration gap' END, CASE WHEN inv > b_i THEN 'regime inversions' END, CASE WHEN q IN ('Weak', 'Unusable') THEN 'weak quality' END) END AS c FROM qual)""",
+        f"""SELECT target_id, {r('auc - b_a', 'roc_auc_delta')}, {r('brier - b_b', 'brier_score_delta')}, {r('spread - b_s', 'bucket_spread_delta')}, {r('abs(gap) - abs(b_g)', 'absolute_calibration_gap_delta')}, res AS stop_rule_result,
+  CASE res WHEN 'baseline' THEN 'Current production target baseline for comparison.' WHEN 'pass' THEN 'Candidate clears the research stop rule versus the current baseline.' ELSE why END AS stop_rule_diagnosis,
+  CASE WHEN res = 'baseline' THEN 'current baseline' WHEN auc IS NULL OR spread IS NULL THEN 'missing evidence fields' WHEN cause <> '' THEN cause WHEN res = 'fail' THEN 'mixed validation evidence' ELSE 'evidence clears stop rule' END AS likely_failure_cause,
+  CASE WHEN res = 'baseline' THEN 'Continue' WHEN auc IS NULL OR spread IS NULL THEN 'Needs more data' WHEN res = 'pass' THEN 'Continue' WHEN cb = 'Unusable' THEN 'Kill' WHEN target_id = 'pullback_recovery_20d' THEN 'Hold as audit-only'
+    WHEN thin THEN 'Needs more data' WHEN auc - b_a < -0.05 THEN 'Kill' ELSE 'Pivot' END AS recommended_decision
+FROM (SELECT *, CASE WHEN target_id = 'outperform_20d' THEN 'baseline' WHEN why = '' THEN 'pass' ELSE 'fail' END AS res, concat_ws('; ', CASE WHEN thin THEN 'horizon mismatch / thin folds' END,
+    CASE WHEN cb IN ('Skewed', 'Unusable') OR brate < 0.2 OR brate > 0.8 THEN 'target design / class imbalance' END, CASE WHEN abs(gap) > abs(b_g) + 0.03 THEN 'target noise / calibration' END,
+    CASE WHEN inv > 0 AND worst_spread < 0 THEN 'regime inversion' END, CASE WHEN contains(why, 'bucket spread') THEN 'weak feature separation' END) AS cause
+  FROM (SELECT q.*, contains(q.target_id, '60d') OR coalesce(w.folds < wb.folds, false) AS thin, (SELECT min(spread) FROM reg WHERE reg.target_id = q.target_id) AS worst_spread,
+      concat_ws('; ', CASE WHEN q.spread IS NULL OR q.spread <= 0 THEN 'bucket spread is unavailable or non-positive' WHEN q.spread < b_s - 0.005 THEN 'bucket spread is worse than baseline tolerance' END,
+        CASE WHEN q.brier > b_b + 0.02 THEN 'Brier score is worse than baseline tolerance' END, CASE WHEN abs(q.gap) > abs(b_g) + 0.03 THEN 'calibration gap is worse than baseline tolerance' END,
+        CASE WHEN inv > b_i THEN 'regime inversion count is worse than baseline' END, CASE WHEN q IN ('Weak', 'Unusable') THEN 'overall target quality is ' || lower(q) END) AS why
+    FROM qual q JOIN walk w USING (target_id), (SELECT folds FROM walk WHERE target_id = 'outperform_20d') wb))""",
     ),
 )
 def target_stop_rule(spark, sf):
-    return shown(tg.stop_rule(_quality(spark, sf)), "target_id", "roc_auc_delta", "brier_score_delta", "bucket_spread_delta", "absolute_calibration_gap_delta", "likely_failure_cause", "stop_rule_result")
+    return shown(
+        tg.stop_rule(_quality(spark, sf)), "target_id", "roc_auc_delta", "brier_score_delta", "bucket_spread_delta", "absolute_calibration_gap_delta", "stop_rule_result",
+        "stop_rule_diagnosis", "likely_failure_cause", "recommended_decision",
+    )
+
+
+GROUP_SQL = ", gp AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS target_id, '{g}' AS feature_group, '{t}|{g}' AS gk, f.fold, t.date, t.ticker, {c} AS actual, round(1 / (1 + exp({x.replace('return', 't.return')})), 12) AS probability FROM targets t JOIN folds f ON t.date BETWEEN f.test_start AND f.test_end JOIN featured USING (ticker, date) WHERE {c} IS NOT NULL AND t.{x.split('* ')[1]} IS NOT NULL"
+    for t, c in TARGET_LABELS.items() for g, x in GROUP_FORMULAS.items()
+) + ")," + metrics_sql("gm", "gp", "gk", "actual", "probability") + f""",
+gb AS (SELECT gk, CASE WHEN count(*) FILTER (b = 2) >= 5 AND count(*) FILTER (b = 0) >= 5 THEN avg(actual) FILTER (b = 2) - avg(actual) FILTER (b = 0) END AS spread FROM (SELECT *, {rank_bucket_sql(3, 'probability', 'gk')} AS b FROM gp) GROUP BY 1),
+gc AS MATERIALIZED (SELECT split_part(gk, '|', 1) AS target_id, split_part(gk, '|', 2) AS feature_group, n, rate, auc, ap, spread, coalesce(greatest(spread, (auc - 0.5) * 2, ap - rate), '-inf'::DOUBLE) AS s FROM gm JOIN gb USING (gk))"""
+
+
+@query(
+    "target_feature_groups",
+    sp.with_(PRED_SQL + GROUP_SQL, f"SELECT target_id, feature_group, n AS prediction_count, {r('rate', 'positive_rate')}, {r('auc', 'roc_auc')}, {r('ap', 'pr_auc')}, {r('spread', 'bucket_spread')} FROM gc"),
+)
+def target_feature_groups(spark, sf):
+    out = tg.group_comparison(_group_predictions(spark, sf, _targets(spark, sf)))
+    return shown(out, "target_id", "feature_group", "prediction_count", "positive_rate", "roc_auc", "pr_auc", "bucket_spread")
+
+
+@query(
+    "target_stability",
+    sp.with_(
+        PRED_SQL + REGIME_PART + GROUP_SQL + """,
+gd AS (SELECT *, CASE WHEN s >= 0.05 THEN 'positive' WHEN s <= -0.05 THEN 'inverted' ELSE 'flat' END AS d FROM gc),
+ge AS (SELECT target_id, max(s) AS best, first(feature_group ORDER BY round(s, 12) DESC, n DESC, list_position(['technical', 'technical_fourier', 'technical_wavelet', 'all'], feature_group)) AS g,
+  first(coalesce(spread, auc) ORDER BY round(s, 12) DESC, n DESC, list_position(['technical', 'technical_fourier', 'technical_wavelet', 'all'], feature_group)) AS m,
+  CASE WHEN count(*) FILTER (d = 'positive') = count(*) THEN 'Consistent positive' WHEN count(*) FILTER (d = 'positive') > 0 AND count(*) FILTER (d = 'inverted') = 0 THEN 'Mostly positive' WHEN count(*) FILTER (d = 'positive') > 0 THEN 'Feature-group dependent'
+    WHEN count(*) FILTER (d = 'inverted') > 0 THEN 'Inverted or unstable' ELSE 'Weak' END AS c FROM gd GROUP BY 1),
+gr AS (SELECT target_id, count(*) FILTER (direction = 'positive') AS p, count(*) FILTER (direction = 'inverted') AS i, min(spread) AS w FROM reg GROUP BY 1),
+gs AS (SELECT *, CASE WHEN i > 0 AND best >= 0.05 THEN 'Promising but regime-sensitive' WHEN c IN ('Feature-group dependent', 'Inverted or unstable') AND best >= 0.05 THEN 'Feature-group dependent'
+  WHEN best >= 0.1 AND c IN ('Consistent positive', 'Mostly positive') THEN 'Strong candidate' WHEN best >= 0.05 OR p > 0 THEN 'Promising but regime-sensitive' ELSE 'Weak' END AS l FROM ge JOIN gr USING (target_id))""",
+        f"""SELECT target_id, g AS best_feature_group, {r('m', 'best_feature_group_metric')}, c AS feature_group_consistency, p AS regime_positive_count, i AS regime_negative_count, {r('w', 'worst_regime_bucket_spread')}, l AS overall_stability,
+  CASE l WHEN 'Strong candidate' THEN 'Yes' WHEN 'Weak' THEN 'No' ELSE 'Review' END AS next_step_candidate FROM gs""",
+    ),
+)
+def target_stability(spark, sf):
+    panel = _targets(spark, sf)
+    groups = tg.group_comparison(_group_predictions(spark, sf, panel))
+    targets = spark.createDataFrame([(t,) for t in TARGET_LABELS], "target_id string")
+    return shown(tg.stability(targets, groups, tg.regime_table(_predictions(spark, sf, panel))))
+
+
+@query(
+    "target_arena",
+    sp.with_(
+        PRED_SQL + QUALITY_PART + """,
+ar AS (SELECT *, CASE target_id WHEN 'tail_adjusted_outperform_20d' THEN 'drawdown_adjusted_opportunity_20d' ELSE target_id END AS id FROM qual),
+as_ AS (SELECT *, coalesce(spread > 0, false) AND coalesce(spread >= b_s - 0.005, true) AND coalesce(brier <= b_b + 0.02, true) AND coalesce(abs(gap) <= abs(b_g) + 0.03, true) AND inv <= b_i AS sound FROM ar
+  WHERE id IN ('outperform_20d', 'top_tercile_excess_20d', 'risk_adjusted_excess_20d', 'drawdown_adjusted_opportunity_20d', 'pullback_recovery_20d')),
+ae AS (SELECT *, CASE WHEN n < 50 OR q = 'Unusable' OR cb = 'Unusable' THEN 'insufficient' WHEN q = 'Weak' OR bq = 'Inverted' THEN 'weak' WHEN id = 'outperform_20d' THEN CASE WHEN q = 'Mixed' THEN 'mixed' ELSE 'promising' END
+  WHEN q = 'Promising' AND sound AND cq IN ('Good', 'Acceptable') AND rs = 'Stable across regimes' THEN 'strong' WHEN sound AND cq <> 'Poor' THEN 'promising' ELSE 'mixed' END AS e FROM as_),
+af AS (SELECT *, concat_ws('; ', CASE WHEN cb IN ('Skewed', 'Unusable') THEN 'class balance is ' || lower(cb) END, CASE WHEN cq = 'Poor' THEN 'calibration is poor' END, CASE WHEN bq IN ('Weak', 'Inverted') THEN 'bucket separation is ' || lower(bq) END,
+  CASE rs WHEN 'Inverted in some regimes' THEN 'some regimes are inverted' WHEN 'Regime-sensitive' THEN 'evidence is regime-sensitive' END) AS why FROM ae)""",
+        """SELECT id AS target_id, n AS sample_count, e AS evidence_classification, CASE WHEN id = 'outperform_20d' THEN 'current_baseline' WHEN e = 'strong' THEN 'best_candidate' WHEN e = 'promising' THEN 'future_research_candidate' ELSE 'reject_for_now' END AS arena_decision,
+  CASE WHEN e IN ('strong', 'promising') THEN '' WHEN why <> '' THEN why ELSE 'evidence is not clearly better than the current production target' END AS rejection_reason, e IN ('strong', 'promising') AND id <> 'outperform_20d' AS future_production_experiment FROM af""",
+    ),
+)
+def target_arena(spark, sf):
+    return shown(tg.arena(settle(_quality(spark, sf))), "target_id", "sample_count", "evidence_classification", "arena_decision", "rejection_reason", "future_production_experiment")
+
+
+@query("top_importance")
+def top_importance(spark, sf):
+    """Largest mean importances of walk-forward fits; the strengths depend on the solver."""
+    strengths = md.validate(_labelled(spark, sf), COLUMNS, "label_drawdown_risk_20d", **WINDOWS)[1]
+    return shown(md.top_importance(strengths, 3))
+
+
+# Evidence area -> the registered queries whose classes stand for it.
+EVIDENCE = {
+    "ML reliability by regime": ("reliability_by_regime",),
+    "ML reliability gate": ("gates",),
+    "Momentum quality": ("momentum_quality",),
+    "Earnings / PEAD": ("pead_summary",),
+    "Validation leakage / overfit": ("leakage", "fold_stability", "overfit_warnings"),
+    "Portfolio crowding": ("crowding", "factor_crowding"),
+    "Feature importance stability": ("importance_readiness",),
+}
+
+
+def _evidence_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{area}' AS area, classification FROM ({ORACLES[n]})" for area, names in EVIDENCE.items() for n in names)
+    order = ", ".join(f"'{x}'" for x in fixed.EVIDENCE_PRIORITY)
+    strength = " ".join("WHEN c IN ({}) THEN '{}'".format(", ".join(f"'{x}'" for x in labels), name) for name, labels in fixed.EVIDENCE_STRENGTH.items())
+    areas = ", ".join(f"('{a}')" for a in EVIDENCE)
+    return f"""WITH ev AS MATERIALIZED ({parts}), cnt AS (SELECT area, lower(classification) AS c, count(*) AS n FROM ev WHERE classification IS NOT NULL GROUP BY 1, 2),
+pl AS (SELECT *, coalesce(list_position([{order}], c), 0) AS p FROM cnt),
+best AS (SELECT area, first(c ORDER BY CASE WHEN p > 0 THEN p ELSE 999 END, CASE WHEN p > 0 THEN 0 ELSE -n END, c) AS c FROM pl GROUP BY 1),
+st AS (SELECT v.area, coalesce(best.c, 'unavailable') AS c FROM (VALUES {areas}) v(area) LEFT JOIN best USING (area)),
+sg AS (SELECT area, c, CASE {strength} ELSE 'watch' END AS s FROM st)
+SELECT area, c AS latest_classification, s AS evidence_strength, CASE s WHEN 'useful' THEN 'research_only' WHEN 'unavailable' THEN 'unavailable' ELSE 'not_ready' END AS production_readiness FROM sg
+UNION ALL SELECT 'Overall production readiness', 'not_ready', 'blocking', 'not_ready'"""
 
 
-@query("evidence_rollup")
+@query("evidence_rollup", _evidence_sql())
 def evidence_rollup(spark, sf):
-    """Worst class of each evidence area over several diagnostic tables."""
-    s = settle(fx.scores(spark, sf, True))
-    reliability = settle(sc.reliability_by_regime(s))
-    gates = sc.gate_metrics(sc.gated(s, reliability))
-    areas = {"reliability": reliability, "gates": gates, "drawdown_calibration": sc.drawdown_by_regime(s), "bucket_audit": sc.bucket_audit(s)}
+    """Worst class of each evidence area over the registered diagnostic tables."""
     rows = None
-    for name, table in areas.items():
-        part = table.select(F.lit(name).alias("area"), "classification")
-        rows = part if rows is None else rows.unionByName(part)
-    priority = ["harmful", "inverted", "overextension_risk", "unstable", "miscalibrated", "mixed", "insufficient_sample", "insufficient_evidence", "useful", "reliable"]
-    return tg.evidence_rollup(rows, priority)
+    for area, names in EVIDENCE.items():
+        for name in names:
+            part = QUERIES[name](spark, sf).select(F.lit(area).alias("area"), "classification")
+            rows = part if rows is None else rows.unionByName(part)
+    return tg.evidence_rollup(settle(rows), list(EVIDENCE))

@@ -61,7 +61,7 @@ def fold_metrics(spark, sf):
 
 @query("ticker_metrics", sp.with_(sp.SCORES + "," + metrics_sql("m", "scores", "ticker", "actual_out", "probability_out"), f"SELECT {metric_select('ticker')} FROM m"))
 def ticker_metrics(spark, sf):
-    return shown(mt.binary_metrics(_scores(spark, sf), ["ticker"], "actual_out", "probability_out", slices=None).drop("positive_count"))
+    return shown(mt.binary_metrics(_scores(spark, sf), ["ticker"], "actual_out", "probability_out", calendar_bound=True).drop("positive_count"))
 
 
 @query(
@@ -183,6 +183,21 @@ def score_direction(spark, sf):
     return shown(sc.direction_summary(_scores(spark, sf)))
 
 
+@query(
+    "regime_score_direction",
+    sp.with_(
+        sp.REGIME_SCORES + f""", du AS (SELECT 'regime' AS d, regime AS v, ml_score, forward_excess_return FROM scores UNION ALL SELECT 'trend', split_part(regime, ' / ', 1), ml_score, forward_excess_return FROM scores),
+dz AS (SELECT d, v, count(*) AS n, {bands_sql('ml_score', 'forward_excess_return', 'm')} FROM du WHERE v IS NOT NULL GROUP BY 1, 2)""",
+        f"""SELECT d AS regime_dimension, v AS regime, n AS sample_size, {r('m_high', 'top_bucket_forward_return')}, {r('m_low', 'bottom_bucket_forward_return')}, {r('m_high - m_low', 'top_minus_bottom_spread')},
+  {DIRECTION.format(n='n', s='(m_high - m_low)')} AS direction FROM dz""",
+    ),
+)
+def regime_score_direction(spark, sf):
+    """Two regime columns: the regime and its trend part."""
+    s = settle(fx.scores(spark, sf, True)).withColumn("trend", F.split_part("regime", F.lit(" / "), F.lit(1)))
+    return shown(sc.regime_direction(s, ("regime", "trend")))
+
+
 @query(
     "baseline_comparison",
     sp.with_(

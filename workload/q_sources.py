@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickerloom.functions import text as tx
 from tickerloom.operators import metrics as mt
-from tickerloom.plans.storage import settle
+from tickerloom.plans.storage import checkpoint_dir, settle
 from tickerloom.sources import bars as br
 from tickerloom.sources import bundle as bd
 from workload import fixtures as fx
@@ -46,17 +48,52 @@ def date_filter(spark, sf):
     return cut.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
+@query(
+    "csv_layouts",
+    sp.with_(sp.BARS, f"SELECT ticker, date, {rs(PRICES)} FROM bars WHERE date >= DATE '1996-01-01'"),
+)
+def csv_layouts(spark, sf):
+    """Bars written as CSV under two header layouts into the shared folder and read back by name."""
+    folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    bars = settle(fx.bars(spark, sf))
+    odd = F.crc32("ticker") % 2 == 1
+    bars.filter(odd).select(F.col("ticker").alias("Ticker"), F.col("date").alias("Date"), *PRICES.split(", ")).write.option("header", True).csv(f"{folder}/a")
+    turned = ["volume", "adj_close", "close", "low", "high", "open"]
+    rest = bars.filter(~odd).select(*[F.col(c).alias(c.replace("_", " ").title()) for c in turned], F.col("date").alias(" DATE "), "ticker", F.lit("1").alias("Note"))
+    rest.write.option("header", True).csv(f"{folder}/b")
+    return shown(br.read_csv(spark, [f"{folder}/a", f"{folder}/b"], start="1996-01-01"), "ticker", "date", *PRICES.split(", "))
+
+
+@query(
+    "run_bundle",
+    sp.with_(sp.BARS, f"""SELECT 'bar_totals' AS "table", ticker, count(*) AS n, {r("sum(volume)", "volume")}, 'written' AS status FROM bars GROUP BY ticker"""),
+)
+def run_bundle(spark, sf):
+    """A result table written as a run bundle into the shared folder, with its manifest, and read back."""
+    root = f"{checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    totals = fx.bars(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    manifest = bd.write_bundle(spark, {"Bar totals": totals, "nothing": None}, root, "run1").filter("status = 'written'")
+    back = bd.read_table(spark, root, "Bar totals", "ticker string, n long, volume double", "run1")
+    return shown(back.crossJoin(F.broadcast(manifest.select("table", "status"))), "table", "ticker", "n", "volume", "status")
+
+
+_REQUEST = """SELECT concat('S', CAST(s_suppkey + 3 AS VARCHAR)) AS ticker, DATE '1995-01-02' + CAST(s_suppkey % 7 AS INT) AS "start", DATE '2001-10-20' + CAST(s_suppkey % 11 AS INT) AS "end" FROM supplier"""
+
+
 @query(
     "store_coverage",
     sp.with_(
         sp.BARS,
-        """SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS ticker, DATE '1995-02-01' AS "start", DATE '2001-09-01' AS "end" FROM supplier LEFT JOIN (SELECT ticker, min(date) AS lo, max(date) AS hi FROM bars GROUP BY 1)
-  ON ticker = concat('S', CAST(s_suppkey AS VARCHAR)) WHERE NOT coalesce(lo <= DATE '1995-02-01' AND hi >= DATE '2001-09-01', false)""",
+        f"""SELECT q.ticker, q."start", q."end" FROM ({_REQUEST}) q LEFT JOIN (SELECT ticker, min(date) AS lo, max(date) AS hi FROM bars GROUP BY 1) USING (ticker) WHERE NOT coalesce(lo <= q."start" AND hi >= q."end", false)""",
     ),
 )
 def store_coverage(spark, sf):
+    """Requests that the bars do not cover: too early, too late, or an unknown name."""
+    key = F.col("s_suppkey")
     request = fx.table(spark, sf, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.lit("1995-02-01").cast("date").alias("start"), F.lit("2001-09-01").cast("date").alias("end")
+        F.concat(F.lit("S"), (key + 3).cast("string")).alias("ticker"),
+        F.date_add(F.lit("1995-01-02").cast("date"), (key % 7).cast("int")).alias("start"),
+        F.date_add(F.lit("2001-10-20").cast("date"), (key % 11).cast("int")).alias("end"),
     )
     return br.coverage(fx.bars(spark, sf), request)
 
@@ -94,13 +131,14 @@ def earnings_normalized(spark, sf):
 
 @query(
     "symbol_lists",
-    """SELECT s_nationkey, array_to_string(list_distinct(list(upper(replace(trim(s_name), '#', '-')))), '') <> '' AS filled, count(DISTINCT s_name) AS n FROM supplier GROUP BY 1""",
+    """SELECT s_suppkey, concat_ws(' ', upper(replace(s_name, '#', '-')), 'S-' || CAST(s_nationkey AS VARCHAR), 'BRK-B') AS symbols, CAST(3 AS BIGINT) AS n FROM supplier""",
 )
 def symbol_lists(spark, sf):
-    """Every nation's supplier names as one messy text, parsed back into symbols."""
-    joined = fx.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.concat(F.lit(" "), "s_name", F.lit(" "))), ",,").alias("raw"))
-    parsed = joined.withColumn("symbols", tx.symbol_list(F.col("raw")))
-    return parsed.select("s_nationkey", (F.size("symbols") > 0).alias("filled"), F.size("symbols").cast("long").alias("n"))
+    """Every supplier's messy text of names, with blanks, repeats, slashes and odd separators, parsed into symbols."""
+    name = F.replace("s_name", F.lit("#"), F.lit("/"))
+    text = F.concat(F.lit(" , ;"), F.lower(name), F.lit(" ;\ts/"), F.col("s_nationkey").cast("string"), F.lit("\n,"), name, F.lit(",brk / b,"))
+    parsed = fx.table(spark, sf, "supplier").select("s_suppkey", tx.symbol_list(text).alias("symbols"))
+    return parsed.select("s_suppkey", F.array_join("symbols", " ").alias("symbols"), F.size("symbols").cast("long").alias("n"))
 
 
 @query(
@@ -118,8 +156,8 @@ def weight_pairs(spark, sf):
     sp.with_(
         sp.SCORES + "," + metrics_sql("a", "scores", "", "actual_out", "probability_out") + ", half AS (SELECT *, 0.5 + (probability_out - 0.5) / 2 AS p2 FROM scores)," + metrics_sql("b", "half", "", "actual_out", "p2") + """,
 u AS (SELECT 'outperform.brier_score' AS metric, a.brier AS x, b.brier AS y, 'low' AS k FROM a, b UNION ALL SELECT 'outperform.roc_auc', a.auc, b.auc, 'auc' FROM a, b UNION ALL SELECT 'outperform.calibration_gap', a.rate - a.mp, b.rate - b.mp, 'gap' FROM a, b),
-v AS (SELECT *, CASE k WHEN 'low' THEN x - y WHEN 'gap' THEN abs(x) - abs(y) ELSE y - x END AS better, CASE k WHEN 'low' THEN 0.02 WHEN 'gap' THEN 0.03 ELSE 0.005 END AS lim FROM u)""",
-        f"SELECT metric, {r('x', 'baseline')}, {r('y', 'candidate')}, {r('y - x', 'delta')}, CASE WHEN better > lim THEN 'improved' WHEN better < -lim THEN 'worse' ELSE 'same' END AS read FROM v",
+v AS (SELECT *, y - x AS d FROM u)""",
+        f"SELECT metric, {r('x', 'baseline')}, {r('y', 'candidate')}, {r('y - x', 'delta')}, CASE k WHEN 'auc' THEN CASE WHEN d > 0.005 THEN 'improved' WHEN d < -0.005 THEN 'worse' ELSE 'same' END WHEN 'low' THEN CASE WHEN d > 0.02 THEN 'worse' WHEN d < -0.02 THEN 'improved' ELSE 'same' END ELSE CASE WHEN d > 0.03 THEN 'mixed' ELSE 'same' END END AS read FROM v",
     ),
 )
 def run_compare(spark, sf):
