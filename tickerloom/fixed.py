@@ -62,41 +62,6 @@ TECHNICAL_PREFIXES = (
 # Earnings report timing vocabulary.
 REPORT_TIMING = ("before_open", "after_close", "during_market", "")
 
-# Portfolio name -> (proxy group, mapped | proxy_only).
-FACTOR_PROXIES = {
-    "AAPL": ("mega_cap_tech", "mapped"),
-    "GOOG": ("mega_cap_tech", "mapped"),
-    "MSFT": ("mega_cap_tech", "mapped"),
-    "NVDA": ("semiconductor", "mapped"),
-    "AVGO": ("semiconductor", "mapped"),
-    "TSM": ("semiconductor", "mapped"),
-    "AMAT": ("semiconductor", "mapped"),
-    "MRVL": ("semiconductor", "mapped"),
-    "ANET": ("AI_infrastructure", "mapped"),
-    "PLTR": ("software_AI", "mapped"),
-    "TSLA": ("electric_vehicle", "mapped"),
-    "KTOS": ("defense", "mapped"),
-    "ONDS": ("defense", "mapped"),
-    "RDW": ("defense", "mapped"),
-    "RKLB": ("defense", "mapped"),
-    "UUUU": ("uranium_energy", "mapped"),
-    "BRK-B": ("broad_market", "mapped"),
-    "ETN": ("AI_infrastructure", "mapped"),
-    "ABBN.SW": ("Japan_Taiwan_ETF_or_non_US", "mapped"),
-    "IART.SW": ("Japan_Taiwan_ETF_or_non_US", "mapped"),
-    "SEMI.AS": ("semiconductor", "proxy_only"),
-    "3587.TWO": ("semiconductor", "mapped"),
-    "00935.TW": ("semiconductor", "proxy_only"),
-    "SMSD.IL": ("semiconductor", "mapped"),
-    "WTAI.L": ("AI_infrastructure", "proxy_only"),
-    "200A.T": ("Japan_Taiwan_ETF_or_non_US", "proxy_only"),
-    "2854.T": ("Japan_Taiwan_ETF_or_non_US", "proxy_only"),
-    "QQQ": ("mega_cap_tech", "proxy_only"),
-    "XLK": ("mega_cap_tech", "proxy_only"),
-    "SMH": ("semiconductor", "proxy_only"),
-    "SOXX": ("semiconductor", "proxy_only"),
-    "SPY": ("broad_market", "proxy_only"),
-}
 
 # Points of the candidate ranking.
 QUALITY_POINTS = {"Promising": 3.0, "Mixed": 2.0, "Weak": 1.0, "Unusable": 0.0}

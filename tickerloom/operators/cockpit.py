@@ -148,9 +148,6 @@ def trend_health(technical: DataFrame, base: DataFrame, theme: DataFrame) -> Dat
     return rows.withColumn("state", state)
 
 
-def damaged_names(health: DataFrame) -> DataFrame:
-    return health.groupBy("state").agg(F.count(F.lit(1)).alias("names"))
-
 
 def trend_flag(benchmark: DataFrame, rows: int = 200) -> DataFrame:
     """Is the last price at or above the mean of the last ``rows`` rows; NULL with fewer."""

@@ -68,16 +68,6 @@ def fold_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return fo.walk_forward(shipping_days(spark, sf), TRAIN, TEST, None, EMBARGO)
 
 
-def index_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """One index per market segment, from the order values of its customers."""
-    daily = (
-        table(spark, sf, "orders")
-        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.col("c_mktsegment").alias("ticker"), F.to_date("o_orderdate").alias("date"))
-        .agg(F.avg("o_totalprice").alias("level"), F.sum("o_totalprice").alias("volume"), F.count(F.lit(1)).alias("n_rows"))
-    )
-    return _ohlc(_priced(daily, "ticker", 0.012), "ticker")
-
 
 def benchmarks(spark: SparkSession, sf: str) -> DataFrame:
     """SPY from daily mean order value, QQQ from daily order count."""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
+from tickerloom.operators import audits as au
 from tickerloom.operators import labels as lb
 from tickerloom.operators import metrics as mt
 from tickerloom.operators import models as md
 from tickerloom.operators import scorecards as sc
 from tickerloom.operators import targets as tg
+from tickerloom.operators import transforms as tr
 from tickerloom.plans.storage import settle
 from workload import fixtures as fx
 from workload import sqlparts as sp
@@ -44,10 +46,29 @@ def model_selection(spark, sf):
     return shown(md.selection_summary(folds))
 
 
+def _full_panel(spark, sf):
+    """Technical, Fourier and wavelet columns, regime and labels on one frame."""
+    waves = tr.wavelet(tr.fourier(fx.bars(spark, sf)))
+    waves = waves.select("ticker", "date", *[c for c in waves.columns if c.startswith(("fourier_", "wavelet_"))])
+    return settle(fx.panel(spark, sf).join(waves, ["ticker", "date"], "left"))
+
+
+def _groups(panel):
+    return {g: au.feature_columns(panel, g) for g in tg.GROUP_ORDER}
+
+
 @query("feature_group_comparison")
 def feature_group_comparison(spark, sf):
-    groups = {"momentum": COLUMNS[:2], "volatility": COLUMNS[2:], "all": COLUMNS}
-    return shown(md.compare_groups(_labelled(spark, sf), groups, "label_drawdown_risk_20d", **WINDOWS))
+    """The four feature groups, redundant transforms pruned, over the same folds."""
+    panel = _full_panel(spark, sf)
+    return shown(md.compare_groups(panel, _groups(panel), "label_drawdown_risk_20d", **WINDOWS))
+
+
+@query("ablation")
+def ablation(spark, sf):
+    """Conclusion per feature group and the rule-only row."""
+    panel = _full_panel(spark, sf)
+    return shown(md.ablation(panel, _groups(panel), "label_outperform_20d", **WINDOWS))
 
 
 @query("score_history")

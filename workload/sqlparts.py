@@ -29,13 +29,6 @@ bars_d AS MATERIALIZED (
 bars_p AS ({_priced("bars_d", "ticker", 0.025)}),
 bars AS MATERIALIZED ({_ohlc("bars_p")})"""
 
-INDEX = f"""
-idx_d AS MATERIALIZED (
-  SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS level,
-         sum(o_totalprice) AS volume, count(*) AS n_rows
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-idx_p AS ({_priced("idx_d", "ticker", 0.012)}),
-index_bars AS MATERIALIZED ({_ohlc("idx_p")})"""
 
 BENCH = f"""
 bench_d AS (
