@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -67,6 +69,13 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist()
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of consecutive runs."""
     ends = np.cumsum(lengths, dtype=np.int64)
