@@ -67,23 +67,31 @@ class Counter:
 
     def count(self, word: str) -> int:
         """Number of tokens of the best path."""
-        n = len(word)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (length, score) in self.automaton.iter(word):
-            found[end + 1].append((end + 1 - length, score))
-        best, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            start, top = -1, -math.inf
-            for s, score in sorted(found[end]):
-                if best[s] + score > top:
-                    start, top = s, best[s] + score
-            lone = not any(s == end - 1 for s, _ in found[end])
+        n, none = len(word), -math.inf
+        best, pieces, unknown = [0.0] + [none] * n, [0] * (n + 1), [False] * (n + 1)
+        end, top, start, lone = 1, none, 0, True  # of the place being decided
+
+        def decide() -> None:
             if lone and best[end - 1] + self.unknown > top:
                 best[end], unknown[end] = best[end - 1] + self.unknown, True
                 more = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else int(not unknown[end - 1])
                 pieces[end] = pieces[end - 1] + more
             else:
                 best[end], pieces[end] = top, pieces[start] + 1
+
+        for last, (length, score) in self.automaton.iter(word):
+            while end <= last:  # the matches of the places before are complete
+                decide()
+                end, top, start, lone = end + 1, none, 0, True
+            s = end - length
+            score += best[s]
+            if score > top or score == top and s < start:
+                top, start = score, s
+            if length == 1:
+                lone = False
+        while end <= n:
+            decide()
+            end, top, start, lone = end + 1, none, 0, True
         return pieces[n]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
