@@ -81,6 +81,47 @@ def test_one_large_family_in_small_blocks(spark, monkeypatch):
     assert got(N.near_dedup(df, 3, 85)) == brute(rows, 3, 85)
 
 
+def test_block_of_singletons_with_an_unlinked_pivot():
+    """True links 0-2 and 1-2 only."""
+    whole = np.arange(100, dtype=np.uint64)
+    own = [whole[12:], whole[:-12], whole, whole + np.uint64(1000)]
+    found = N.joining_links([10, 11, 12, 13], [10, 11, 12, 13], [0] * 4, own, 80)
+    assert sorted(tuple(sorted(x)) for x in found) == [(10, 12), (11, 12)]
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_blocks_give_the_components_of_all_pairs(across):
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(2, 14)
+        base = [rng.sample(range(60), 40) for _ in range(3)]
+        own = [np.array(sorted({x if rng.random() < 0.96 else 100 + rng.randrange(900) for x in rng.choice(base)}), np.uint64) for _ in range(n)]
+        half = [rng.randrange(2) if across else 0 for _ in range(n)]
+        start = [rng.randrange(n) if rng.random() < 0.3 else i for i in range(n)]
+
+        def parts(links, start=start, n=n):
+            root = list(range(n))
+            for x, y in [*enumerate(start), *links]:
+                a, b = root[x], root[y]
+                root = [b if r == a else r for r in root]
+            return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+        least = {i: min(p) for p in parts([]) for i in p}
+        split = len(set(half)) > 1
+        near = [(x, y) for x in range(n) for y in range(x) if 100 * (k := len(set(own[x]) & set(own[y]))) >= 80 * (len(own[x]) + len(own[y]) - k) and not (split and half[x] == half[y])]
+        found = N.joining_links(list(range(n)), [least[i] for i in range(n)], half, own, 80)
+        assert parts(found) == parts(near)
+        assert len(found) == len(parts([])) - len(parts(near))
+
+
+def test_digest_depends_on_the_members_only(spark):
+    rows = spark.range(50_000).selectExpr("id AS key", "explode(array(id, id + 7, id * 3 + 11)) AS id")
+    turned = rows.selectExpr("key + 50000 AS key", "id").orderBy(F.desc("id"))
+    digests = rows.unionByName(turned).groupBy("key").agg(*N.digest("id"))
+    assert digests.count() == 100_000
+    assert digests.select("who_1", "who_2").distinct().count() == 50_000
+
+
 def test_estimate_is_close_to_the_truth():
     rng = np.random.default_rng(5)
     sketch = N.Sketch()

@@ -15,8 +15,9 @@ locality-sensitive.
    registers are larger, smaller and equal; drop what is far below the threshold,
    verify the rest on the full sets, and form components.
 4. Buckets whose members are still in several components are compared in blocks of
-   bounded bytes on full sets: members outside the largest component against all
-   others.  A block reports only links that join two components.  So every pair
+   bounded bytes on full sets: members are compared with all others until those not
+   yet compared are in one component.  A block reports only links that join two
+   components.  So every pair
    that shares a bucket is decided exactly or already connected, and no list of all
    pairs is made.
 
@@ -37,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import bounded_broadcast, slices, texts_of, written
@@ -200,12 +201,15 @@ def joining_links(ids: list[int], roots: list[int], half: list[int], own: list[n
     begins = ends - np.bincount(code)
     first = np.cumsum(size) - size
     found = []
-    for y in np.argsort(np.bincount(group)[group], kind="stable"):
-        counts = np.bincount(group)
-        if counts.max() == n:
+    order = np.argsort(np.bincount(group)[group], kind="stable")
+    waiting = np.ones(n, bool)  # not compared with all others yet
+    while True:
+        # Pairs of rows that still wait are settled only when all of them are in one component.
+        other = waiting & (group != np.bincount(group[waiting]).argmax())
+        if not other.any():
             break
-        if group[y] == counts.argmax():
-            continue
+        y = order[other[order].argmax()]
+        waiting[y] = False
         mine = code[first[y] : first[y] + size[y]]
         lengths = ends[mine] - begins[mine]
         at = np.arange(lengths.sum()) + np.repeat(begins[mine] - (np.cumsum(lengths) - lengths), lengths)
@@ -220,6 +224,11 @@ def joining_links(ids: list[int], roots: list[int], half: list[int], own: list[n
     return found
 
 
+def digest(id_col: str) -> list[Column]:
+    """128 bits, as who_1 and who_2, of a group's distinct ids in any order; merges map-side, so no list of a bucket's members is made."""
+    return [F.bit_xor(F.xxhash64(F.lit(k), F.col(id_col))).alias(f"who_{k}") for k in (1, 2)]
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component: the smallest id of the component of every linked id, by alternating large and small stars."""
     turned = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -269,9 +278,9 @@ def near_dedup(
 
     own = members.filter("size > 2").join(rooted, "id", "left").withColumn("root", F.coalesce("component", "id"))
     blocks = own.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total"), F.count("*").alias("held"), F.sum(F.xxhash64("id") % (1 << 40)).alias("who")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total"), F.count("*").alias("held"), *digest("id")
     )
-    blocks = blocks.filter("low <> high").groupBy("held", "who").agg(F.min("key").alias("key"), F.first("total").alias("total"))
+    blocks = blocks.filter("low <> high").groupBy("held", "who_1", "who_2").agg(F.min("key").alias("key"), F.first("total").alias("total"))
     blocks = blocks.select("key", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int").alias("parts"))
     dealt = own.select("key", "id", "root").join(blocks, "key").withColumn("half", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
