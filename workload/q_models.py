@@ -19,40 +19,41 @@ from workload.q_features import TARGET_SQL
 from workload.q_scores import metrics_sql, rank_bucket_sql
 from workload.registry import ORACLES, QUERIES, query, r, rs, shown
 
-COLUMNS = ("return_20d", "return_60d", "volatility_20d", "volatility_60d")
-WINDOWS = {"train": 504, "test": 504, "embargo": 20}
+
+def _full_panel(spark, sf):
+    """Technical, Fourier and wavelet columns, regime and labels on one frame."""
+    waves = tr.wavelet(tr.fourier(fx.bars(spark, sf)))
+    waves = waves.select("ticker", "date", *[c for c in waves.columns if c.startswith(("fourier_", "wavelet_"))])
+    return settle(fx.panel(spark, sf).join(waves, ["ticker", "date"], "left"))
 
 
-def _labelled(spark, sf):
-    return settle(lb.forward_labels(fx.light(spark, sf), "SPY"))
+def _validated(spark, sf, *labels, **options):
+    """``validate`` of each label over all usable features, in its default windows."""
+    panel = _full_panel(spark, sf)
+    columns = au.feature_columns(panel)
+    return [md.validate(panel, columns, c, **options) for c in labels]
 
 
 @query("walk_forward_predictions")
 def walk_forward_predictions(spark, sf):
-    out, _ = md.validate(_labelled(spark, sf), COLUMNS, "label_outperform_20d", **WINDOWS)
+    [(out, _)] = _validated(spark, sf, "label_outperform_20d")
     return shown(mt.binary_metrics(out, ["fold"], "actual", "probability"))
 
 
 @query("walk_forward_importance")
 def walk_forward_importance(spark, sf):
-    return shown(md.validate(_labelled(spark, sf), COLUMNS, "label_drawdown_risk_20d", **WINDOWS)[1])
+    [(_, strengths)] = _validated(spark, sf, "label_drawdown_risk_20d")
+    return shown(strengths)
 
 
 @query("model_selection")
 def model_selection(spark, sf):
     """Per-fold choice between the four candidates in their production sizes."""
-    out, _ = md.validate(_labelled(spark, sf), COLUMNS, "label_drawdown_risk_20d", kind="auto", **WINDOWS)
+    [(out, _)] = _validated(spark, sf, "label_drawdown_risk_20d", kind="auto")
     folds = mt.binary_metrics(out, ["fold", "selected_model"], "actual", "probability").withColumn("target", F.lit("drawdown_risk"))
     return shown(md.selection_summary(folds))
 
 
-def _full_panel(spark, sf):
-    """Technical, Fourier and wavelet columns, regime and labels on one frame."""
-    waves = tr.wavelet(tr.fourier(fx.bars(spark, sf)))
-    waves = waves.select("ticker", "date", *[c for c in waves.columns if c.startswith(("fourier_", "wavelet_"))])
-    return settle(fx.panel(spark, sf).join(waves, ["ticker", "date"], "left"))
-
-
 def _groups(panel):
     return {g: au.feature_columns(panel, g) for g in tg.GROUP_ORDER}
 
@@ -61,29 +62,28 @@ def _groups(panel):
 def feature_group_comparison(spark, sf):
     """The four feature groups, redundant transforms pruned, over the same folds."""
     panel = _full_panel(spark, sf)
-    return shown(md.compare_groups(panel, _groups(panel), "label_drawdown_risk_20d", **WINDOWS))
+    return shown(md.compare_groups(panel, _groups(panel), "label_drawdown_risk_20d"))
 
 
 @query("ablation")
 def ablation(spark, sf):
     """Conclusion per feature group and the rule-only row."""
     panel = _full_panel(spark, sf)
-    return shown(md.ablation(panel, _groups(panel), "label_outperform_20d", **WINDOWS))
+    return shown(md.ablation(panel, _groups(panel), "label_outperform_20d"))
 
 
 @query("score_history")
 def score_history(spark, sf):
     """Both targets scored over history including unlabelled rows, merged and bucketed."""
-    panel = _labelled(spark, sf)
-    parts = [md.validate(panel, COLUMNS, c, open_end=True, **WINDOWS)[0] for c in ("label_outperform_20d", "label_drawdown_risk_20d")]
+    parts = [out for out, _ in _validated(spark, sf, "label_outperform_20d", "label_drawdown_risk_20d", open_end=True)]
     merged = md.merge_predictions(*parts)
     return shown(merged.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("ml_score").alias("mean_score"), F.avg("probability_risk").alias("mean_risk")))
 
 
 @query("current_scores")
 def current_scores(spark, sf):
-    panel = settle(fx.panel(spark, sf))
-    return shown(md.current_scores(panel, panel, COLUMNS))
+    panel = _full_panel(spark, sf)
+    return shown(md.current_scores(panel, panel, au.feature_columns(panel)))
 
 
 @query("robustness_grid")
@@ -339,8 +339,8 @@ def target_arena(spark, sf):
 @query("top_importance")
 def top_importance(spark, sf):
     """Largest mean importances of walk-forward fits; the strengths depend on the solver."""
-    strengths = md.validate(_labelled(spark, sf), COLUMNS, "label_drawdown_risk_20d", **WINDOWS)[1]
-    return shown(md.top_importance(strengths, 3))
+    [(_, strengths)] = _validated(spark, sf, "label_drawdown_risk_20d")
+    return shown(md.top_importance(strengths))
 
 
 # Evidence area -> the registered queries whose classes stand for it.
