@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from tickerloom import fixed
 from tickerloom.operators import audits as au
+from tickerloom.operators import challenge as ch
+from tickerloom.operators import folds as fo
 from tickerloom.operators import labels as lb
 from tickerloom.operators import metrics as mt
 from tickerloom.operators import models as md
+from tickerloom.operators import robustness as rb
 from tickerloom.operators import scorecards as sc
 from tickerloom.operators import targets as tg
 from tickerloom.operators import transforms as tr
@@ -20,11 +23,15 @@ from workload.q_scores import metrics_sql, rank_bucket_sql
 from workload.registry import ORACLES, QUERIES, query, r, rs, shown
 
 
-def _full_panel(spark, sf):
-    """Technical, Fourier and wavelet columns, regime and labels on one frame."""
+def _with_waves(spark, sf, rows):
     waves = tr.wavelet(tr.fourier(fx.bars(spark, sf)))
     waves = waves.select("ticker", "date", *[c for c in waves.columns if c.startswith(("fourier_", "wavelet_"))])
-    return settle(fx.panel(spark, sf).join(waves, ["ticker", "date"], "left"))
+    return settle(rows.join(waves, ["ticker", "date"], "left"))
+
+
+def _full_panel(spark, sf):
+    """Technical, Fourier and wavelet columns, regime and labels on one frame."""
+    return _with_waves(spark, sf, fx.panel(spark, sf))
 
 
 def _validated(spark, sf, *labels, **options):
@@ -86,15 +93,23 @@ def current_scores(spark, sf):
     return shown(md.current_scores(panel, panel, au.feature_columns(panel)))
 
 
+def _robustness(spark, sf):
+    """Every named axis with several values; the day loop's equity feedback is not part of the portfolio."""
+    features = _with_waves(spark, sf, fx.featured(spark, sf))
+    return settle(rb.grid(features, _groups(features), fx.bars(spark, sf), fx.shipping_days(spark, sf), horizons=(20, 60), trains=(252, 504)))
+
+
+@query("robustness_cases")
+def robustness_cases(spark, sf):
+    """Metrics of every case of refits over benchmark, horizon, feature group, thresholds and training window."""
+    return shown(_robustness(spark, sf))
+
+
 @query("robustness_grid")
 def robustness_grid(spark, sf):
-    """Threshold and cost axes evaluated on one prediction table, then summarized."""
-    s = settle(fx.scores(spark, sf))
-    grid = md.parameter_grid(spark, enter=[0.5, 0.6, 0.7], avoid=[0.4, 0.5], cost_bps=[0.0, 5.0, 10.0])
-    rows = s.crossJoin(F.broadcast(grid)).withColumn("on", (F.col("probability_out") >= F.col("enter")) & (F.col("probability_risk") < F.col("avoid")))
-    net = F.when(F.col("on"), F.col("forward_excess_return") - 2 * F.col("cost_bps") / 10000)
-    cases = rows.groupBy("case_id").agg((F.avg(net) / F.nullif(F.stddev_samp(net), F.lit(0.0))).alias("sharpe"))
-    return shown(md.robustness(cases, "sharpe"))
+    """The same cases, summarized by the portfolio's metric."""
+    cases = _robustness(spark, sf)
+    return shown(md.robustness(cases, rb.metric_of(cases)))
 
 
 TARGET_LABELS = {
@@ -317,6 +332,44 @@ def target_stability(spark, sf):
     return shown(tg.stability(targets, groups, tg.regime_table(_predictions(spark, sf, panel))))
 
 
+def _model_predictions(spark, sf):
+    """Out-of-sample predictions of the four feature groups' models for every target."""
+    panel = _with_waves(spark, sf, lb.target_candidates(fx.featured(spark, sf), "SPY"))
+    return settle(md.group_predictions(panel, _groups(panel), TARGET_LABELS, keep=("regime",)))
+
+
+@query("target_feature_group_models")
+def target_feature_group_models(spark, sf):
+    """``target_feature_groups`` over fitted models; that query is the checked twin over formulas."""
+    out = tg.group_comparison(_model_predictions(spark, sf))
+    return shown(out, "target_id", "feature_group", "prediction_count", "positive_rate", "roc_auc", "pr_auc", "bucket_spread")
+
+
+@query("target_stability_models")
+def target_stability_models(spark, sf):
+    """``target_stability`` over fitted models; the regime rows are those of the technical group."""
+    predictions = _model_predictions(spark, sf)
+    targets = spark.createDataFrame([(t,) for t in TARGET_LABELS], "target_id string")
+    regimes = tg.regime_table(predictions.filter("feature_group = 'technical'").drop("feature_group"))
+    return shown(tg.stability(targets, tg.group_comparison(predictions), regimes))
+
+
+@query("risk_feature_group_models")
+def risk_feature_group_models(spark, sf):
+    """``risk_feature_groups`` over the four groups' fitted models; that query is the checked twin over formulas."""
+    panel = _full_panel(spark, sf)
+    label, days = "label_drawdown_risk_20d", fx.shipping_days(spark, sf)
+    scored = settle(md.group_predictions(panel, _groups(panel), {"risk": label}, keep=("regime", "return_60d", "forward_20d_excess_return")))
+    own = settle(panel.select("ticker", "date", F.col(label).alias("label"), "regime", F.col("return_60d").alias("momentum")))
+    parts = None
+    for g in tg.GROUP_ORDER:
+        mine = scored.filter(F.col("feature_group") == g).select(
+            "fold", "date", "ticker", "regime", "actual", "probability", F.col("return_60d").alias("momentum"), F.col("forward_20d_excess_return").alias("forward_excess_return"))
+        one = ch.fold_rates(settle(mine), own, fo.walk_forward(days), days).withColumn("feature_group", F.lit(g))
+        parts = one if parts is None else parts.unionByName(one)
+    return shown(ch.risk_increment(settle(parts), ["feature_group"]))
+
+
 @query(
     "target_arena",
     sp.with_(
