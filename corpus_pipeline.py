@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickerloom.llm import exact_dedup, language, near_dedup, packing, toxicity
 from tickerloom.llm.common import written
@@ -24,9 +25,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language."""
+    """Rejects documents without a recognisable language; if nothing could be learned, those without a letter."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     names = ("_language", "_language_score")
-    marked = language.predict(docs, language.fit(docs), into=names)
+    marked = language.predict(docs, model, into=names)
     return marked.filter(f"{names[0]} <> '{language.UNDECIDED}'").select(*docs.columns)
 
 

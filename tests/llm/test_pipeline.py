@@ -46,3 +46,9 @@ def test_odd_and_empty_tables_pass_through(spark, odd, empty, tmp_path, kind):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() == 0 if kind == "empty" else out.count() > 0
+
+
+def test_language_stage_keeps_documents_when_no_row_has_a_language(spark):
+    rows = [(1, "the house and the garden", None), (2, "das Haus", None), (3, "12 34 !!", None), (4, None, None), (5, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()} == {1, 2}
