@@ -1,6 +1,5 @@
 """What the model queries pass to the operators."""
 
-import inspect
 import random
 from datetime import date, timedelta
 
@@ -14,6 +13,7 @@ from workload import q_models as qm
 
 FEATURES = ["return_20d", "volatility_20d", "fourier_cycle_clarity", "wavelet_clean_trend"]
 DEFAULTS = {"train": 252, "test": 63, "step": None, "embargo": 20, "horizon": 20}
+BOTH = ("feature_group_comparison", "ablation")
 
 
 class Passed(Exception):
@@ -29,23 +29,20 @@ def panel(spark, monkeypatch):
     return panel
 
 
-@pytest.mark.parametrize("name", ["walk_forward_predictions", "walk_forward_importance", "model_selection", "feature_group_comparison", "ablation", "score_history", "top_importance"])
+@pytest.mark.parametrize("name", ["walk_forward_predictions", "walk_forward_importance", "model_selection", *BOTH, "score_history", "top_importance"])
 def test_default_windows_and_all_features(spark, panel, monkeypatch, name):
-    real, calls = inspect.signature(md.validate), []
+    passed = []
 
-    def validate(*args, **options):
-        bound = real.bind(*args, **options)
-        bound.apply_defaults()
-        calls.append(bound.arguments)
+    def validate_many(panel, runs, *args, **options):
+        passed.extend(runs)
         raise Passed
 
-    monkeypatch.setattr(md, "validate", validate)
+    monkeypatch.setattr(md, "validate_many", validate_many)
     with pytest.raises(Passed):
         queries()[name](spark, "unused")
-    first = {k: calls[0][k] for k in DEFAULTS}
-    assert first == DEFAULTS
-    alone = name in ("feature_group_comparison", "ablation")
-    assert list(calls[0]["features"]) == (FEATURES[:2] if alone else FEATURES)
+    assert all({k: getattr(run, k) for k in DEFAULTS} == DEFAULTS for run in passed)
+    assert list(passed[0].features) == (FEATURES[:2] if name in BOTH else FEATURES)
+    assert len(passed) == (4 if name in BOTH else 1 + (name == "score_history"))
 
 
 def test_default_windows_give_all_folds(spark):
@@ -71,13 +68,13 @@ def features(spark):
 
 
 def test_robustness_refits_every_axis(spark, features, monkeypatch):
-    fits, real = [], rb.validate
+    fits, real = [], rb.validate_many
 
-    def validate(panel, columns, label, **options):
-        fits.append((tuple(columns), label, options["train"], options["horizon"]))
-        return real(panel, columns, label, **options)
+    def validate_many(panel, runs, **options):
+        fits.extend((run.features, run.label, run.train, run.horizon) for run in runs)
+        return real(panel, runs, **options)
 
-    monkeypatch.setattr(rb, "validate", validate)
+    monkeypatch.setattr(rb, "validate_many", validate_many)
     cases = rb.grid(
         features, {"technical": ["return_5"]}, features, features.select("date").distinct(), horizons=(3, 5), ml_thresholds=(0.5, 0.6), risk_thresholds=(0.6,),
         costs_bps=(0.0, 100.0), slippages_bps=(0.0,), trains=(40,), test=40, embargo=5,

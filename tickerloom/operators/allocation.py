@@ -79,7 +79,9 @@ def action(current: Column, target: Column, minimum: float = 0.01) -> Column:
 
 def _share_of(totals: DataFrame, by: Sequence[str], df: DataFrame) -> DataFrame:
     """Attach per-group totals; a group may be the whole universe of one date."""
-    return df.join(F.broadcast(totals), list(by)) if by else df.crossJoin(F.broadcast(totals))
+    if not by:
+        return df.crossJoin(F.broadcast(totals))
+    return df.join(F.broadcast(totals) if len(by) == 1 else totals, list(by))  # of one key: a row per date
 
 
 def allocate(scores: DataFrame, limits: Limits | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -121,8 +123,8 @@ def rebalance_dates(days: DataFrame, frequency: str = "weekly") -> DataFrame:
     return days.groupBy(F.date_trunc(unit, "date").alias("_p")).agg(F.max("date").alias("rebalance_date")).drop("_p")
 
 
-def latest_scores_at(scores: DataFrame, rebalances: DataFrame) -> DataFrame:
-    """Each ticker's latest score row on or before every rebalance date.
+def latest_scores_at(scores: DataFrame, rebalances: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each ticker's latest score row on or before every rebalance date, for each ``by``.
 
     Score dates are first mapped to the next rebalance (calendar-sized lookup),
     reduced to one row per ticker and rebalance, and then carried forward to the
@@ -134,18 +136,19 @@ def latest_scores_at(scores: DataFrame, rebalances: DataFrame) -> DataFrame:
         .groupBy("date")
         .agg(F.min("rebalance_date").alias("first_due"))
     )
-    payload = [c for c in scores.columns if c != "ticker"]
+    keys = [*by, "ticker"]
+    payload = [c for c in scores.columns if c not in keys]
     newest = (
         scores.join(F.broadcast(due), "date")
-        .groupBy("ticker", "first_due")
+        .groupBy(*keys, "first_due")
         .agg(F.max_by(F.struct(*payload), "date").alias("s"))
     )
-    following = F.lead("first_due").over(Window.partitionBy("ticker").orderBy("first_due"))
+    following = F.lead("first_due").over(Window.partitionBy(*keys).orderBy("first_due"))
     calendar = rebalances.agg(F.sort_array(F.collect_list("rebalance_date")).alias("_all"))
     span = F.filter(
         F.col("_all"), lambda d: (d >= F.col("first_due")) & (F.col("_next").isNull() | (d < F.col("_next")))
     )
-    flat = newest.select("ticker", "first_due", *[F.col(f"s.{c}").alias(c) for c in payload])
+    flat = newest.select(*keys, "first_due", *[F.col(f"s.{c}").alias(c) for c in payload])
     return (
         flat.withColumn("_next", following)
         .crossJoin(F.broadcast(calendar))
@@ -186,22 +189,26 @@ def is_downtrend(regime: Column, dist200: Column, ret60: Column) -> Column:
     )
 
 
-def held_weights(days: DataFrame, weights: DataFrame, lag: int = 1) -> DataFrame:
-    """Calendar of ``(date, rebalance_date)``: the rebalance in force ``lag`` dates earlier."""
-    rebalances = weights.select("rebalance_date").distinct()
-    held = (
-        days.join(F.broadcast(rebalances), F.col("rebalance_date") < F.col("date"), "left")
-        .groupBy("date")
-        .agg(F.max("rebalance_date").alias("rebalance_date"))
-    )
+def held_weights(days: DataFrame, weights: DataFrame, lag: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Calendar of ``(date, rebalance_date)``, for each ``by``: the rebalance in force ``lag`` dates earlier.
+
+    Windows hold the calendar and the rebalances of one case.
+    """
+    by = list(by)
+    rebalances = weights.select(*by, F.col("rebalance_date").alias("date")).distinct()
+    every = days.select("date").distinct()
+    every = every.crossJoin(F.broadcast(rebalances.select(*by).distinct())) if by else every
+    marks = every.withColumn("rebalance_date", F.lit(None).cast("date")).unionByName(rebalances.withColumn("rebalance_date", F.col("date").cast("date")))
+    before = Window.partitionBy(*by).orderBy("date", F.col("rebalance_date").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    held = marks.withColumn("_held", F.last("rebalance_date", ignorenulls=True).over(before)).filter("rebalance_date IS NULL")
+    held = held.select(*by, "date", F.col("_held").alias("rebalance_date"))
     if lag == 1:
         return held
-    shifted = F.lag("rebalance_date", lag - 1).over(Window.orderBy("date"))
-    return held.withColumn("rebalance_date", shifted)
+    return held.withColumn("rebalance_date", F.lag("rebalance_date", lag - 1).over(Window.partitionBy(*by).orderBy("date")))
 
 
-def positions(bars: DataFrame, days: DataFrame, weights: DataFrame, lag: int = 1) -> DataFrame:
-    """Weight in force next to each bar's return; missing weights are 0."""
+def positions(bars: DataFrame, days: DataFrame, weights: DataFrame, lag: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Weight in force next to each bar's return, for each ``by``; missing weights are 0."""
     returns = bars.select(
         "ticker",
         "date",
@@ -209,52 +216,56 @@ def positions(bars: DataFrame, days: DataFrame, weights: DataFrame, lag: int = 1
             over(F.col("adj_close"), F.lag("adj_close").over(Window.partitionBy("ticker").orderBy("date"))) - 1, F.lit(0.0)
         ).alias("r"),
     )
-    held = returns.join(F.broadcast(held_weights(days, weights, lag)), "date", "left")
-    w = weights.select("ticker", "rebalance_date", "weight")
-    return held.join(w, ["ticker", "rebalance_date"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    held = held_weights(days, weights, lag, by)
+    held = returns.join(held if by else F.broadcast(held), "date", "inner" if by else "left")
+    w = weights.select(*by, "ticker", "rebalance_date", "weight")
+    return held.join(w, [*by, "ticker", "rebalance_date"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def contribution(position_rows: DataFrame) -> DataFrame:
+def contribution(position_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     part = F.col("weight") * F.col("r")
-    return position_rows.groupBy("ticker").agg(
+    return position_rows.groupBy(*by, "ticker").agg(
         F.sum(part).alias("return_contribution"),
         F.sum(F.when(part < 0, part).otherwise(0.0)).alias("downside_contribution"),
     )
 
 
-def rebalance_stats(weights: DataFrame) -> DataFrame:
-    """Gross exposure, holdings and turnover against the previous rebalance."""
-    calendar = weights.select("rebalance_date").distinct()
+def rebalance_stats(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Gross exposure, holdings and turnover against the previous rebalance, for each ``by``."""
+    at = [*by, "rebalance_date"]
+    calendar = weights.select(*at).distinct()
     previous = calendar.select(
-        "rebalance_date", F.lag("rebalance_date").over(Window.orderBy("rebalance_date")).alias("previous")
+        *at, F.lag("rebalance_date").over(Window.partitionBy(*by).orderBy("rebalance_date")).alias("previous")
     )
-    now = weights.select("ticker", "rebalance_date", "weight")
+    now = weights.select("ticker", *at, "weight")
     following = previous.filter("previous IS NOT NULL").select(
-        F.col("previous").alias("rebalance_date"), F.col("rebalance_date").alias("next_date")
+        *by, F.col("previous").alias("rebalance_date"), F.col("rebalance_date").alias("next_date")
     )
-    carried = now.join(F.broadcast(following), "rebalance_date").select(
-        "ticker", F.col("next_date").alias("rebalance_date"), F.lit(0.0).alias("weight"), F.col("weight").alias("was")
+    carried = now.join(following if by else F.broadcast(following), at).select(
+        "ticker", *by, F.col("next_date").alias("rebalance_date"), F.lit(0.0).alias("weight"), F.col("weight").alias("was")
     )
     both = (
         now.withColumn("was", F.lit(0.0)).unionByName(carried)
-        .groupBy("ticker", "rebalance_date").agg(F.sum("weight").alias("weight"), F.sum("was").alias("was"))
+        .groupBy("ticker", *at).agg(F.sum("weight").alias("weight"), F.sum("was").alias("was"))
     )
-    return both.groupBy("rebalance_date").agg(
+    return both.groupBy(*at).agg(
         F.sum("weight").alias("gross_exposure"),
         F.count_if(F.col("weight") > 0).alias("holdings"),
         F.sum(F.abs(F.col("weight") - F.col("was"))).alias("traded"),
     )
 
 
-def portfolio_curve(bars: DataFrame, days: DataFrame, weights: DataFrame, cost_bps: float = 7.0, capital: float = 100000.0) -> DataFrame:
-    """One row per calendar date; windows run over the aggregated calendar only."""
-    held = held_weights(days, weights)
-    gains = positions(bars, days, weights).groupBy("date").agg(F.sum(F.col("weight") * F.col("r")).alias("gross_return"))
-    w = Window.orderBy("date")
+def exposure_curve(bars: DataFrame, days: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Gross return, exposure, holdings and turnover by calendar date, for each ``by``."""
+    by = list(by)
+    held = held_weights(days, weights, by=by)
+    gains = positions(bars, days, weights, by=by).groupBy(*by, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("gross_return"))
+    stats = rebalance_stats(weights, by)
+    w = Window.partitionBy(*by).orderBy("date")
     changed = ~F.col("rebalance_date").eqNullSafe(F.lag("rebalance_date").over(w))
     return (
-        held.join(F.broadcast(rebalance_stats(weights)), "rebalance_date", "left")
-        .join(F.broadcast(gains), "date", "left")
+        held.join(stats if by else F.broadcast(stats), [*by, "rebalance_date"], "left")
+        .join(gains if by else F.broadcast(gains), [*by, "date"], "left")
         .withColumns(
             {
                 "gross_return": F.coalesce("gross_return", F.lit(0.0)),
@@ -263,19 +274,29 @@ def portfolio_curve(bars: DataFrame, days: DataFrame, weights: DataFrame, cost_b
                 "turnover": F.when(changed, F.coalesce("traded", F.lit(0.0))).otherwise(0.0),
             }
         )
-        .withColumn("trading_cost", F.col("turnover") * (cost_bps / 10000.0))
+        .drop("traded")
+    )
+
+
+def net_curve(curve: DataFrame, cost_bps: float | Column, capital: float = 100000.0, by: Sequence[str] = ()) -> DataFrame:
+    """Adds costs, net return, cash and equity to an exposure curve; a window holds one case's calendar."""
+    upto = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        curve.withColumn("trading_cost", F.col("turnover") * (cost_bps / 10000.0))
         .withColumn("portfolio_return", F.col("gross_return") - F.col("trading_cost"))
         .withColumn("cash", 1 - F.col("gross_exposure"))
-        .withColumn(
-            "portfolio_equity",
-            capital * F.product(1 + F.col("portfolio_return")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        .drop("traded")
+        .withColumn("portfolio_equity", capital * F.product(1 + F.col("portfolio_return")).over(upto))
     )
 
 
-def portfolio_summary(curve: DataFrame, contributions: DataFrame) -> DataFrame:
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def portfolio_curve(bars: DataFrame, days: DataFrame, weights: DataFrame, cost_bps: float = 7.0, capital: float = 100000.0) -> DataFrame:
+    """One row per calendar date; windows run over the aggregated calendar only."""
+    return net_curve(exposure_curve(bars, days, weights), cost_bps, capital)
+
+
+def portfolio_summary(curve: DataFrame, contributions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Portfolio metrics, one row for each ``by``; contributions may be the same for several of them."""
+    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     fields = performance(F.col("portfolio_return"), F.col("_dd"))
     fields["hit_rate"] = fields.pop("win_rate")
     fields |= {
@@ -284,10 +305,12 @@ def portfolio_summary(curve: DataFrame, contributions: DataFrame) -> DataFrame:
         "average_exposure": F.avg("gross_exposure"),
         "average_holdings": F.avg("holdings"),
     }
-    top = contributions.agg(F.max_by("ticker", F.struct("return_contribution", "ticker")).alias("top_contributor"))
+    shared = [c for c in by if c in contributions.columns]
+    top = contributions.groupBy(*shared).agg(F.max_by("ticker", F.struct("return_contribution", "ticker")).alias("top_contributor"))
     return (
         curve.withColumn("_dd", F.col("portfolio_equity") / F.max("portfolio_equity").over(w) - 1)
+        .groupBy(*by)
         .agg(*[v.alias(k) for k, v in fields.items()])
         .withColumn("calmar", F.col("cagr") / F.nullif(F.abs("max_drawdown"), F.lit(0.0)))
-        .crossJoin(F.broadcast(top))
+        .transform(lambda rows: rows.join(top, shared, "left") if shared else rows.crossJoin(F.broadcast(top)))
     )

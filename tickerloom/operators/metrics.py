@@ -138,11 +138,11 @@ def quantile_bucketed(df: DataFrame, by: Sequence[str], value: str, buckets: int
     return attach_groups(known, edges, by).withColumn(output, edge_bucket(F.col(value), F.col("edges"))).drop("edges")
 
 
-def quintiles(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Outcomes by score quintile; ``df`` must be settled."""
+def quintiles(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Outcomes by score quintile, for each ``by``; ``df`` must be settled."""
     needed = [score, label, "forward_return", "forward_excess_return", "forward_drawdown"]
-    out = quantile_bucketed(df.dropna(subset=needed), [], score, 5, "_b")
-    return out.groupBy(F.concat(F.lit("Q"), (F.col("_b") + 1).cast("string")).alias("score_quintile")).agg(
+    out = quantile_bucketed(df.dropna(subset=needed), list(by), score, 5, "_b")
+    return out.groupBy(*by, F.concat(F.lit("Q"), (F.col("_b") + 1).cast("string")).alias("score_quintile")).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(score).alias("average_score"),
         F.avg(label).alias("hit_rate"),

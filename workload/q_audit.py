@@ -402,7 +402,7 @@ def _rates(spark, sf, label, actual, prob):
     s = fx.scores(spark, sf, True).select(
         "fold", "date", "ticker", "regime", F.col(actual).alias("actual"), F.col(prob).alias("probability"), F.col("return_60d").alias("momentum"), "forward_excess_return"
     )
-    return ch.fold_rates(settle(s), settle(panel), fx.fold_bounds(spark, sf), fx.shipping_days(spark, sf))
+    return ch.fold_rates(settle(s), settle(panel), fx.fold_bounds(spark, sf))
 
 
 RATE = "model, global_fold_prevalence, regime_fold_prevalence, momentum_bucket_prevalence, regime_momentum_bucket_prevalence"

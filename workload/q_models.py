@@ -34,11 +34,12 @@ def _full_panel(spark, sf):
     return _with_waves(spark, sf, fx.panel(spark, sf))
 
 
-def _validated(spark, sf, *labels, **options):
-    """``validate`` of each label over all usable features, in its default windows."""
+def _validated(spark, sf, *labels, kind="logistic_regression", **options):
+    """``(predictions, importance)`` of each label over all usable features, in the default windows, fitted together."""
     panel = _full_panel(spark, sf)
-    columns = au.feature_columns(panel)
-    return [md.validate(panel, columns, c, **options) for c in labels]
+    columns = tuple(au.feature_columns(panel))
+    out, strengths = md.validate_many(panel, [md.Run(columns, c, kind, tags=(("label", c),)) for c in labels], **options)
+    return [tuple(df.filter(F.col("label") == c).drop("label") for df in (out, strengths)) for c in labels]
 
 
 @query("walk_forward_predictions")
@@ -359,15 +360,12 @@ def risk_feature_group_models(spark, sf):
     """``risk_feature_groups`` over the four groups' fitted models; that query is the checked twin over formulas."""
     panel = _full_panel(spark, sf)
     label, days = "label_drawdown_risk_20d", fx.shipping_days(spark, sf)
-    scored = settle(md.group_predictions(panel, _groups(panel), {"risk": label}, keep=("regime", "return_60d", "forward_20d_excess_return")))
+    scored = md.group_predictions(panel, _groups(panel), {"risk": label}, keep=("regime", "return_60d", "forward_20d_excess_return"))
+    scored = scored.select(
+        "feature_group", "fold", "date", "ticker", "regime", "actual", "probability", F.col("return_60d").alias("momentum"), F.col("forward_20d_excess_return").alias("forward_excess_return")
+    )
     own = settle(panel.select("ticker", "date", F.col(label).alias("label"), "regime", F.col("return_60d").alias("momentum")))
-    parts = None
-    for g in tg.GROUP_ORDER:
-        mine = scored.filter(F.col("feature_group") == g).select(
-            "fold", "date", "ticker", "regime", "actual", "probability", F.col("return_60d").alias("momentum"), F.col("forward_20d_excess_return").alias("forward_excess_return"))
-        one = ch.fold_rates(settle(mine), own, fo.walk_forward(days), days).withColumn("feature_group", F.lit(g))
-        parts = one if parts is None else parts.unionByName(one)
-    return shown(ch.risk_increment(settle(parts), ["feature_group"]))
+    return shown(ch.risk_increment(settle(ch.fold_rates(scored, own, fo.walk_forward(days))), ["feature_group"]))
 
 
 @query(
