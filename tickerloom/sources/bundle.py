@@ -61,13 +61,13 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     (``brier``) make a run worse or improved; a negative candidate spread or more
     inversions make it worse; a larger calibration gap, more regime-sensitive
     targets, or a lower ``consistency`` or ``quality`` make it mixed at best.
-    Drawdown-risk losses can only make it worse.
+    Drawdown-risk losses can only make it worse, and drawdown-risk scores decide nothing.
     """
     b, c = baseline.select("metric", F.col("value").alias("baseline")), candidate.select("metric", F.col("value").alias("candidate"))
     out = b.join(c, "metric", "full_outer").withColumn("delta", F.col("candidate") - F.col("baseline"))
     name, delta = F.lower("metric"), F.col("delta")
     limit = {k: F.lit(v) for k, v in fixed.RUN_TOLERANCE.items()}
-    score = F.when(name.contains("auc"), limit["auc"]).when(name.contains("spread"), limit["spread"])
+    score = F.when(name.contains("auc") & ~name.contains("drawdown"), limit["auc"]).when(name.contains("spread"), limit["spread"])
     read = (
         F.when(name.contains("spread") & (F.col("candidate") < 0), "worse")
         .when(delta.isNull(), "not compared")

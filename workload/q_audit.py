@@ -14,6 +14,7 @@ from tickerloom.functions.stats import correlation
 from tickerloom.plans.storage import settle
 from workload import fixtures as fx
 from workload import sqlparts as sp
+from workload.q_features import ADVERSE_SQL, TARGET_SQL
 from workload.q_scores import metrics_sql
 from workload.registry import query, r, rs, shown
 
@@ -397,6 +398,36 @@ rates AS MATERIALIZED (SELECT s.*, g AS global_fold_prevalence, coalesce(pr, g)
   LEFT JOIN cr_m m ON s.fold = m.fold AND s.bucket = m.bucket LEFT JOIN cr_x x ON s.fold = x.fold AND s.regime = x.regime AND s.bucket = x.bucket)"""
 
 
+def rates_of_labels_sql(labels, prob: str, source: str) -> str:
+    """``rates_sql`` for several labels of a table at once; ``lid`` names the label."""
+    union = " UNION ALL ".join(f"SELECT '{c}' AS lid, ticker, date, {c} AS label, regime, return_60d AS momentum FROM {source} WHERE {c} IS NOT NULL" for c in labels)
+    enough = "HAVING count(*) >= 20 AND count(*) FILTER (label = 1) >= 5 AND count(*) FILTER (label = 0) >= 5"
+    bucket = "CASE WHEN {m} IS NOT NULL THEN ({m} > q1)::INT + ({m} > q2)::INT + ({m} > q3)::INT END AS bucket"
+    return f""",
+cr_l AS MATERIALIZED ({union}),
+cr_t AS MATERIALIZED (SELECT fold, l.* FROM cr_l l JOIN folds f ON l.date BETWEEN f.train_start AND f.train_end),
+cr_e AS (SELECT lid, fold, quantile_cont(momentum, 0.25) AS q1, quantile_cont(momentum, 0.5) AS q2, quantile_cont(momentum, 0.75) AS q3 FROM cr_t WHERE momentum IS NOT NULL GROUP BY 1, 2),
+cr_b AS MATERIALIZED (SELECT t.*, {bucket.format(m='momentum')} FROM cr_t t LEFT JOIN cr_e USING (lid, fold)),
+cr_g AS (SELECT lid, fold, avg(label) AS g FROM cr_b GROUP BY 1, 2),
+cr_r AS (SELECT lid, fold, regime, avg(label) AS pr FROM cr_b GROUP BY 1, 2, 3 {enough}),
+cr_m AS (SELECT lid, fold, bucket, avg(label) AS pm FROM cr_b WHERE bucket IS NOT NULL GROUP BY 1, 2, 3 {enough}),
+cr_x AS (SELECT lid, fold, regime, bucket, avg(label) AS px FROM cr_b WHERE bucket IS NOT NULL GROUP BY 1, 2, 3, 4 {enough}),
+cr_s AS (SELECT l.lid, s.fold, s.date, s.ticker, s.regime, l.label AS actual, {prob} AS model, forward_excess_return, {bucket.format(m='return_60d')}
+  FROM scores s JOIN cr_l l ON l.ticker = s.ticker AND l.date = s.date LEFT JOIN cr_e e ON e.lid = l.lid AND e.fold = s.fold),
+rates AS MATERIALIZED (SELECT s.*, g AS global_fold_prevalence, coalesce(pr, g) AS regime_fold_prevalence, coalesce(pm, g) AS momentum_bucket_prevalence, coalesce(px, pr, g) AS regime_momentum_bucket_prevalence,
+  pr IS NULL AS regime_fallback, pm IS NULL AS momentum_fallback, px IS NULL AS regime_momentum_fallback FROM cr_s s JOIN cr_g USING (lid, fold) LEFT JOIN cr_r r ON s.lid = r.lid AND s.fold = r.fold AND s.regime = r.regime
+  LEFT JOIN cr_m m ON s.lid = m.lid AND s.fold = m.fold AND s.bucket = m.bucket LEFT JOIN cr_x x ON s.lid = x.lid AND s.fold = x.fold AND s.regime = x.regime AND s.bucket = x.bucket)"""
+
+
+def _rates_of_labels(spark, sf, panel, labels, prob):
+    """Prevalences next to the scores for each label of a panel; one probability formula serves all of them."""
+    panel = settle(panel.select("ticker", "date", *labels, "regime", F.col("return_60d").alias("momentum")))
+    s = fx.scores(spark, sf, True).select("fold", "date", "ticker", "regime", F.col(prob).alias("probability"), F.col("return_60d").alias("momentum"), "forward_excess_return")
+    entries = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("actual")) for c in labels])
+    actual = panel.select("ticker", "date", F.inline(entries)).filter("actual IS NOT NULL")
+    return ch.fold_rates(settle(s.join(actual, ["ticker", "date"])), panel, fx.fold_bounds(spark, sf), labels)
+
+
 def _rates(spark, sf, label, actual, prob):
     panel = fx.panel(spark, sf).select("ticker", "date", F.col(label).alias("label"), "regime", F.col("return_60d").alias("momentum"))
     s = fx.scores(spark, sf, True).select(
@@ -526,34 +557,48 @@ def risk_feature_groups(spark, sf):
     return shown(ch.risk_increment(settle(rates), ["feature_group"]))
 
 
-@query("adverse_label_comparison")
+ADVERSE_LABELS = tuple(f"risk_{x}_20d" for x in ("severe_drawdown", "negative_excess", "composite_drawdown_underperform", "vol_adjusted_adverse"))
+# the derived labels over the panel that has the regime
+ADVERSE_PART = ADVERSE_SQL[len(sp.LABELLED):].replace("FROM labelled", "FROM panel")
+_KEYED = ", rk AS MATERIALIZED (SELECT {key} AS vk, * FROM rates)"
+
+
+@query(
+    "adverse_label_comparison",
+    sp.with_(
+        sp.REGIME_SCORES + ADVERSE_PART + rates_of_labels_sql(ADVERSE_LABELS, "probability_risk", "adverse") + _KEYED.format(key="lid") + _increment_sql("ri", "rk"),
+        f"""SELECT vk AS label, n AS sample_count, tc AS ticker_count, fc AS fold_count, {r('rate', 'event_prevalence')}, {r('brier', 'model_brier_score')}, {r('gap', 'model_calibration_gap')}, {r('wf', 'model_worst_fold_brier')},
+  v AS classification, bb AS best_baseline, {r('bs', 'best_baseline_brier_score')}, {r('bs - brier', 'brier_improvement')} FROM ri JOIN ri_c USING (vk) WHERE comparator = 'model'""",
+    ),
+)
 def adverse_label_comparison(spark, sf):
-    """The same comparison for each adverse-outcome label; one probability formula serves all of them."""
-    panel = settle(lb.adverse_outcomes(fx.panel(spark, sf)))
-    scores = settle(fx.scores(spark, sf, True).select("fold", "date", "ticker", "regime", F.col("probability_risk").alias("probability"), F.col("return_60d").alias("momentum"), "forward_excess_return"))
-    parts = None
-    for label in [c for c in panel.columns if c.startswith("risk_") and c.endswith("_20d")]:
-        own = panel.filter(F.col(label).isNotNull()).select("ticker", "date", F.col(label).alias("label"), "regime", F.col("return_60d").alias("momentum"))
-        actual = scores.join(own.select("ticker", "date", F.col("label").alias("actual")), ["ticker", "date"])
-        one = ch.fold_rates(settle(actual), settle(own), fx.fold_bounds(spark, sf), fx.shipping_days(spark, sf)).withColumn("label", F.lit(label))
-        parts = one if parts is None else parts.unionByName(one)
-    return shown(ch.risk_increment(settle(parts), ["label"]))
+    """The same comparison for each adverse-outcome label."""
+    panel = lb.adverse_outcomes(fx.panel(spark, sf))
+    return shown(ch.risk_increment(settle(_rates_of_labels(spark, sf, panel, ADVERSE_LABELS, "probability_risk")), ["label"]))
+
+
+OPPORTUNITY_LABELS = tuple(f"label_{x}_20d" for x in ("outperform", "stronger_excess", "top_tercile_excess", "risk_adjusted_excess", "composite_opportunity"))
 
 
 @query(
     "challenge_breakdown",
     sp.with_(
-        rates_sql(*OPP) + """, sv AS MATERIALIZED (SELECT 'all|ALL' AS vk, * FROM rates UNION ALL SELECT 'ticker|' || ticker, * FROM rates UNION ALL SELECT 'fold|' || CAST(fold AS VARCHAR), * FROM rates UNION ALL SELECT 'regime|' || regime, * FROM rates)"""
+        sp.REGIME_SCORES + TARGET_SQL[len(sp.ALIGNED):] + ADVERSE_PART + """,
+opp AS MATERIALIZED (SELECT a.ticker, a.date, a.regime, a.return_60d, a.label_outperform_20d, label_stronger_excess_20d, t.label_top_tercile_excess_20d, t.label_risk_adjusted_excess_20d, label_composite_opportunity_20d
+  FROM adverse a JOIN targets t USING (ticker, date))"""
+        + rates_of_labels_sql(OPPORTUNITY_LABELS, "probability_out", "opp")
+        + ", sv AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT lid || '|{g}|' || {x} AS vk, * FROM rates" for g, x in (("all", "'ALL'"), ("ticker", "ticker"), ("fold", "CAST(fold AS VARCHAR)"), ("regime", "regime"))) + ")"
         + challenge_by_sql("cb", "sv"),
-        "SELECT split_part(vk, '|', 1) AS breakdown, split_part(vk, '|', 2) AS segment, "
+        "SELECT split_part(vk, '|', 1) AS label, split_part(vk, '|', 2) AS breakdown, split_part(vk, '|', 3) AS segment, "
         + ", ".join(["comparator, n AS sample_count, ticker_count, fold_count, fallback_count", *(r(x, y, 4) for x, y in _METRICS), "worst_regime, worst_fold, worst_ticker"])
         + ", classification FROM cb",
     ),
 )
 def challenge_breakdown(spark, sf):
-    """The challenge repeated for ALL and for every ticker, fold and regime."""
-    rates = ch.scoped(settle(_rates(spark, sf, *OPP)))
-    by = ["breakdown", "segment"]
+    """The challenge for five labels, repeated for ALL and for every ticker, fold and regime."""
+    panel = lb.opportunity_variants(lb.target_candidates(fx.featured(spark, sf), "SPY"))
+    rates = ch.scoped(settle(_rates_of_labels(spark, sf, panel, OPPORTUNITY_LABELS, "probability_out")))
+    by = ["label", "breakdown", "segment"]
     return shown(ch.challenge(settle(ch.comparator_metrics(settle(rates), ch.COMPARATORS, by)), by), *by, *CH_COLUMNS, digits=4)
 
 

@@ -154,17 +154,21 @@ def weight_pairs(spark, sf):
 @query(
     "run_compare",
     sp.with_(
-        sp.SCORES + "," + metrics_sql("a", "scores", "", "actual_out", "probability_out") + ", half AS (SELECT *, 0.5 + (probability_out - 0.5) / 2 AS p2 FROM scores)," + metrics_sql("b", "half", "", "actual_out", "p2") + """,
-u AS (SELECT 'outperform.brier_score' AS metric, a.brier AS x, b.brier AS y, 'low' AS k FROM a, b UNION ALL SELECT 'outperform.roc_auc', a.auc, b.auc, 'auc' FROM a, b UNION ALL SELECT 'outperform.calibration_gap', a.rate - a.mp, b.rate - b.mp, 'gap' FROM a, b),
+        sp.SCORES + "," + metrics_sql("a", "scores", "", "actual_out", "probability_out") + "," + metrics_sql("c", "scores", "", "actual_risk", "probability_risk")
+        + ", half AS (SELECT *, 0.5 + (probability_out - 0.5) / 2 AS p2, 1 - probability_risk AS r2 FROM scores)," + metrics_sql("b", "half", "", "actual_out", "p2") + "," + metrics_sql("d", "half", "", "actual_risk", "r2") + """,
+u AS (SELECT 'outperform.brier_score' AS metric, a.brier AS x, b.brier AS y, 'low' AS k FROM a, b UNION ALL SELECT 'outperform.roc_auc', a.auc, b.auc, 'auc' FROM a, b UNION ALL SELECT 'outperform.calibration_gap', a.rate - a.mp, b.rate - b.mp, 'gap' FROM a, b
+  UNION ALL SELECT 'drawdown_risk.brier_score', c.brier, d.brier, 'risk' FROM c, d UNION ALL SELECT 'drawdown_risk.roc_auc', c.auc, d.auc, 'none' FROM c, d UNION ALL SELECT 'drawdown_risk.calibration_gap', c.rate - c.mp, d.rate - d.mp, 'gap' FROM c, d),
 v AS (SELECT *, y - x AS d FROM u)""",
-        f"SELECT metric, {r('x', 'baseline')}, {r('y', 'candidate')}, {r('y - x', 'delta')}, CASE k WHEN 'auc' THEN CASE WHEN d > 0.005 THEN 'improved' WHEN d < -0.005 THEN 'worse' ELSE 'same' END WHEN 'low' THEN CASE WHEN d > 0.02 THEN 'worse' WHEN d < -0.02 THEN 'improved' ELSE 'same' END ELSE CASE WHEN d > 0.03 THEN 'mixed' ELSE 'same' END END AS read FROM v",
+        f"""SELECT metric, {r('x', 'baseline')}, {r('y', 'candidate')}, {r('y - x', 'delta')}, CASE k WHEN 'auc' THEN CASE WHEN d > 0.005 THEN 'improved' WHEN d < -0.005 THEN 'worse' ELSE 'same' END
+  WHEN 'low' THEN CASE WHEN d > 0.02 THEN 'worse' WHEN d < -0.02 THEN 'improved' ELSE 'same' END WHEN 'risk' THEN CASE WHEN d > 0.02 THEN 'worse' ELSE 'same' END WHEN 'gap' THEN CASE WHEN d > 0.03 THEN 'mixed' ELSE 'same' END ELSE 'not compared' END AS read FROM v""",
     ),
 )
 def run_compare(spark, sf):
-    """The score panel against a run whose probabilities are pulled halfway to 0.5."""
-    s = settle(fx.scores(spark, sf)).withColumn("p2", 0.5 + (F.col("probability_out") - 0.5) / 2)
-    runs = [
-        bd.metric_rows(mt.binary_metrics(s, [], "actual_out", p).select(F.lit("outperform").alias("target_id"), "brier_score", "roc_auc", "calibration_gap"))
-        for p in ("probability_out", "p2")
-    ]
+    """The score panel against a run whose probabilities are pulled halfway to 0.5, and whose risks are turned around."""
+    s = settle(fx.scores(spark, sf)).withColumns({"p2": 0.5 + (F.col("probability_out") - 0.5) / 2, "r2": 1 - F.col("probability_risk")})
+
+    def rows(target, actual, p):
+        return bd.metric_rows(mt.binary_metrics(s, [], actual, p).select(F.lit(target).alias("target_id"), "brier_score", "roc_auc", "calibration_gap"))
+
+    runs = [rows("outperform", "actual_out", p).unionByName(rows("drawdown_risk", "actual_risk", q)) for p, q in (("probability_out", "probability_risk"), ("p2", "r2"))]
     return shown(bd.compare_runs(*runs))
