@@ -52,3 +52,41 @@ def test_language_stage_keeps_documents_when_no_row_has_a_language(spark):
     rows = [(1, "the house and the garden", None), (2, "das Haus", None), (3, "12 34 !!", None), (4, None, None), (5, " ", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()} == {1, 2}
+
+
+CLASHING = ("_id", "_now", "_size", "_digest", "_one", "_language", "_language_score", "_toxicity_predicted", "toxicity_predicted", "kept_id", "kept_row", "predicted_language", "Posterior", "row", "digest", "id")
+
+
+def test_columns_of_any_name_are_kept(spark, odd, tmp_path):
+    """Every stage but the last returns the rows it keeps as they came, also those of repeated and null ids."""
+    third = [(None if i % 3 else i, f"text of document {i % 200} with some words and {i % 7} more", "en") for i in range(600)]
+    rows = odd.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(third, "doc_id bigint, text string, lang string"))
+    rows = rows.withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit("-"))) for c in CLASHING})
+    spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, str(tmp_path)).cache()
+        assert out.columns == rows.columns
+        assert out.exceptAll(rows).count() == 0 and out.count() > 0
+
+
+def test_repeated_and_null_ids_keep_one_row_of_each_text(spark):
+    from tickerloom.llm import exact_dedup
+
+    rows = [(None if i % 2 else 7, "a b" if i % 5 == 0 else f"text {i % 40}" + " " * (i % 3), i) for i in range(400)] + [(1, "alone", -1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _now int").repartition(5)
+    kept = exact_dedup.drop_copies(docs).collect()
+    best = {}
+    for doc_id, text, _ in rows:
+        order = (-len(text), doc_id is None, doc_id or 0)
+        digest = text.replace(" ", "")
+        best[digest] = min(best.get(digest, order), order)
+    assert sorted((r.text.replace(" ", ""), -len(r.text), r.doc_id is None) for r in kept) == sorted((d, n, null) for d, (n, null, _) in best.items())
+
+
+def test_language_stage_goes_by_the_posterior(spark, monkeypatch):
+    en, de = "the house and the garden of the old man", "das alte Haus und der Garten von dem Mann"
+    docs = spark.createDataFrame([(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(40)] + [(100, "zz", None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()} >= set(range(40))
+    monkeypatch.setattr(corpus_pipeline, "LEAST_POSTERIOR", 0.9)
+    left = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()}
+    assert left == set(range(40))

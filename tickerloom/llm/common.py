@@ -25,6 +25,17 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """For each stem a name that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name inside the checkpoint folder that all executors share."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -21,10 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.llm.common import bounded_broadcast, free_names
 from tickerloom.plans.storage import settle
 
 WHITE = r"[\x20\x09-\x0D]"
 SUPPORT = 0.002
+#: Repeated ids that are broadcast.
+FEW_IDS = 100_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,25 +72,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    A row that stays is found again by its id.  Only where one id occurs on
-    several rows are its equal texts compared once more.
+    A row that stays is found again by its id.  Rows of an id that occurs several
+    times are found by id and digest, so neither a repeated nor a null id gathers
+    in one task; of repeated rows the longest original stays.
     """
     marked = settle(exact_dedup(docs, id_col, text_col, support))
-    per_id = settle(
-        marked.groupBy("doc_id").agg(
-            F.count(F.lit(1)).alias("rows"), F.collect_set(F.when(F.col("kept"), F.col("text_sha256"))).alias("stay")
-        )
-    )
-    single = per_id.filter((F.col("rows") == 1) & (F.size("stay") == 1)).select(F.col("doc_id").alias("_id"))
-    out = docs.join(single, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    several = per_id.filter((F.col("rows") > 1) & (F.size("stay") > 0))
+    per_id = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
+    per_id = settle(per_id.filter("stay > 0"))
+    key, digest, size, one = free_names(docs, "kept_id", "kept_digest", "kept_size", "kept_row")
+    single = per_id.filter("rows = 1").select(F.col("doc_id").alias(key))
+    out = docs.join(single, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    several = per_id.filter("rows > 1").select(F.col("doc_id").alias(key))
     if several.isEmpty():
         return out
-    several = several.select(F.col("doc_id").alias("_id"), F.explode("stay").alias("_digest"))
+    several = bounded_broadcast(several, FEW_IDS)
+    stay = marked.filter("kept").select("doc_id", F.col("text_sha256").alias(digest))
+    stay = stay.join(several, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").withColumnRenamed("doc_id", key)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    again = docs.withColumn("_now", F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256)).withColumn("_size", -F.length(text))
-    again = again.join(several, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_now") == F.col("_digest")))
-    first = again.groupBy("_id", "_digest").agg(F.min_by(F.struct(*docs.columns), "_size").alias("_one"))
-    return out.unionByName(first.select("_one.*"))
+    again = docs.join(several, F.col(id_col).eqNullSafe(F.col(key)), "left_semi").select(
+        F.struct("*").alias(one), F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256).alias(digest), (-F.length(text)).alias(size), F.col(id_col).alias(key)
+    )
+    other = stay.select(F.col(key).alias("id"), F.col(digest).alias("digest"))
+    again = again.join(other, F.col(key).eqNullSafe(F.col("id")) & (F.col(digest) == F.col("digest")), "left_semi")
+    first = again.groupBy(key, digest).agg(F.min_by(one, size).alias(one))
+    return out.unionByName(first.select(f"{one}.*"))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import bounded_broadcast, slices, texts_of, written
+from tickerloom.llm.common import bounded_broadcast, free_names, slices, texts_of, written
 from tickerloom.plans.storage import settle
 
 #: Ids of candidate documents are broadcast up to this number (16 MB), else joined by a shuffle.
@@ -310,5 +310,6 @@ def near_dedup(
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stays: one id of each component, and rows with a null id."""
-    kept = settle(near_dedup(docs, words, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id")))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    (name,) = free_names(docs, "kept_id")
+    kept = settle(near_dedup(docs, words, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias(name)))
+    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
