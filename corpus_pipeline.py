@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``docs``.  Rows with null texts or ids pass through by the
 rules of each operator: a null text is empty, has no language and so goes at the
-language stage.
+language stage.  Repeated rows and ids are single rows to the classifiers and equal
+texts to the deduplication.  Extra columns are kept, whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,25 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm import exact_dedup, language, near_dedup, packing, toxicity
-from tickerloom.llm.common import written
+from tickerloom.llm.common import free_names, written
+
+#: Posterior that a predicted language needs.
+LEAST_POSTERIOR = 0.5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier, fitted on all labelled documents, calls toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    marked = toxicity.score(docs, model, docs.columns, into="_toxicity_")
-    return marked.filter("_toxicity_predicted = 0").select(*docs.columns)
+    into = "toxicity_"
+    while any(c.lower().startswith(into) for c in docs.columns):
+        into += "_"
+    marked = toxicity.score(docs, model, docs.columns, into=into)
+    return marked.filter(f"{into}predicted = 0").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language; if nothing could be learned, those without a letter."""
+    """Rejects documents without a recognisable language: without a letter, or where the predicted language
+    is less likely than all others together.  If nothing could be learned, those without a letter."""
     model = language.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    names = ("_language", "_language_score")
-    marked = language.predict(docs, model, into=names)
-    return marked.filter(f"{names[0]} <> '{language.UNDECIDED}'").select(*docs.columns)
+    name, posterior = free_names(docs, "predicted_language", "posterior")
+    marked = language.predict(docs, model, into=(name, posterior))
+    recognised = (F.col(name) != language.UNDECIDED) & (F.col(posterior) >= LEAST_POSTERIOR)
+    return marked.filter(recognised).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
