@@ -44,6 +44,17 @@ def test_csv_and_store_round_trip(spark):
     assert short.count() == 2
 
 
+def test_a_heavy_bucket_is_split(spark):
+    """One bucket holds all rows, yet files are bounded and every row comes back."""
+    root = tempfile.mkdtemp(prefix="spark-src-", dir="/tmp")
+    bars = spark.range(3000).selectExpr("'ABC' AS ticker", "date_add(DATE'2015-01-01', CAST(id AS INT)) AS date", "CAST(id AS double) AS close")
+    br.write_bars(bars, f"{root}/store", buckets=1, file_rows=700)
+    back = spark.read.parquet(f"{root}/store")
+    sizes = [r.n for r in back.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 700
+    assert back.select("ticker", "date", "close").exceptAll(bars).count() == 0
+
+
 def test_events_status(spark):
     root = tempfile.mkdtemp(prefix="spark-src-", dir="/tmp")
     assert br.read_events(spark, f"{root}/none.csv")[1] == "missing"

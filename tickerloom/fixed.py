@@ -92,3 +92,8 @@ EVIDENCE_STRENGTH = {
 
 # What may change between two runs without being material.
 RUN_TOLERANCE = {"auc": 0.005, "brier": 0.02, "gap": 0.03, "spread": 0.005}
+
+# Candidates of a role, in the order in which an available one is taken.
+REGIME_COLUMNS = ("market_regime", "regime", "trend_regime", "risk_regime", "volatility_regime", "drawdown_regime")
+MOMENTUM_COLUMNS = ("momentum_60d", "rs_qqq_60d", "rs_spy_60d", "momentum_20d", "rs_qqq_120d", "rs_spy_120d")
+OUTCOME_COLUMNS = ("forward_20d_excess_return", "forward_20d_return")

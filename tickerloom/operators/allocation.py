@@ -50,6 +50,10 @@ def score_multiplier(score: Column) -> Column:
     )
 
 
+def volatility_scale(volatility: Column, target: float) -> Column:
+    return F.least(F.lit(1.0), over(F.lit(target), volatility))
+
+
 def raw_weight(score: Column, risk: Column, regime: Column, limits: Limits, volatility: Column | None = None) -> Column:
     """Target before the exposure cap.
 
@@ -60,8 +64,7 @@ def raw_weight(score: Column, risk: Column, regime: Column, limits: Limits, vola
     m = F.when(p >= limits.high_risk, 0.0).when(p >= limits.moderate_risk, m * 0.5).otherwise(m)
     m = m * mapped(regime, fixed.REGIME_MULTIPLIER, fixed.UNKNOWN_REGIME_MULTIPLIER)
     if limits.volatility_target and volatility is not None:
-        scale = F.least(F.lit(1.0), over(F.lit(limits.volatility_target), volatility))
-        m = m * F.when(volatility > 0, scale).otherwise(1.0)
+        m = m * F.when(volatility > 0, volatility_scale(volatility, limits.volatility_target)).otherwise(1.0)
     target = F.lit(limits.max_position) * m
     return F.when((target > 0) & (target < limits.min_position), 0.0).otherwise(target)
 
@@ -110,6 +113,7 @@ def allocate(scores: DataFrame, limits: Limits | None = None, by: Sequence[str]
         F.concat(F.lit("score "), F.round(F.coalesce("ml_score", F.lit(0.0))).cast("long").cast("string")),
         F.when(risk >= limits.high_risk, "high drawdown risk").when(risk >= limits.moderate_risk, "moderate drawdown risk"),
         F.concat(F.lit("regime multiplier "), F.format_string("%.2f", multiplier)),
+        *([] if vol is None or not limits.volatility_target else [F.when(vol > 0, F.format_string("volatility adjustment %.2f", volatility_scale(vol, limits.volatility_target)))]),
         F.when(F.col("_scale") < 1, F.format_string("scaled to exposure cap %d%%", F.lit(round(limits.cap * 100)))),
     ]
     return out.withColumn(

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
 from tickerloom.functions.stats import correlation
 from tickerloom.operators.metrics import concentration, quantile_bucketed
+from tickerloom.plans.blocks import PARTIAL, summed
 from tickerloom.plans.ranking import with_positions
 
 LEAKY = re.compile(r"^(label_|forward_|benchmark_forward_)")
@@ -129,12 +132,50 @@ def feature_columns(panel: DataFrame, group: str = "all", prune: bool = True) ->
     return wanted
 
 
+def correlation_matrix(panel: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pairwise-complete correlations of all column pairs; NaN with a constant side or less than two rows.
+
+    A masked Gram matrix: tasks multiply values and masks of known values, centered by
+    the columns' means, and the products are added up over a tree of shuffles.  The
+    result grows with the square of the columns, not with the rows.
+    """
+    columns, width = list(columns), len(columns)
+    means = panel.agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]).first()
+    center = np.array([float(means[c] or 0.0) for c in columns])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - center
+            known = np.isfinite(x).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["key", "data"])
+
+    rows = panel.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    parts = rows.rdd.getNumPartitions()
+    found = summed(rows.mapInArrow(partial, PARTIAL), parts, lambda key, total: (key, total.tobytes()), PARTIAL).first()
+    if found is None:
+        return np.full((width, width), np.nan)
+    n, s, q, xy = np.frombuffer(found.data, float).reshape(4, width, width)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q / n - (s / n) ** 2
+        spread = np.where(spread > 1e-12 * (q / n), spread, np.nan)
+        return np.where(n > 1, (xy / n - (s / n) * (s.T / n)) / np.sqrt(spread * spread.T), np.nan)
+
+
 def correlation_pairs(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete |correlation| of column pairs: one row, one pass, then unfolded."""
-    pairs = list(combinations(columns, 2))
-    one = panel.agg(*[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.abs(F.col(f"c{i}")).alias("abs_correlation")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*rows))).filter("abs_correlation IS NOT NULL")
+    """|correlation| of each column pair that has one."""
+    matrix = np.abs(correlation_matrix(panel, columns))
+    rows = [(a, b, float(matrix[i, j])) for (i, a), (j, b) in combinations(enumerate(columns), 2) if not np.isnan(matrix[i, j])]
+    return panel.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, abs_correlation double")
+
+
+def first_available(panel: DataFrame, *candidates: Sequence[str]) -> list[str | None]:
+    """For each list of names, the first column that exists and has a known value; one pass for all lists."""
+    names = {c for group in candidates for c in group if c in panel.columns}
+    filled = panel.agg(*[F.bool_or(F.col(c).isNotNull()).alias(c) for c in sorted(names)]).first() if names else {}
+    return [next((c for c in group if c in names and filled[c]), None) for group in candidates]
 
 
 def ranked_pairs(panel: DataFrame, columns: Sequence[str], threshold: float = 0.98) -> DataFrame:

@@ -102,21 +102,28 @@ class Blocks:
             for key, array in work(blocks).items():
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([array.tobytes()], pa.binary())], ["key", "data"])
 
-        kind = "key bigint, data binary"
-        sums = self.map(partial, kind, days)
-        if self.parts > BRANCHES:
-            sums = sums.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(self.parts // BRANCHES + 1)))
-            sums = sums.repartition("key", "branch").drop("branch").sortWithinPartitions("key").mapInArrow(_added, kind)
-        sums = sums.repartition("key").sortWithinPartitions("key")
+        return summed(self.map(partial, PARTIAL, days), self.parts, finish, schema)
 
-        names, types = zip(*(f.split() for f in schema.split(", ")))
-        arrow = [{"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[t] for t in types]
 
-        def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, total in _sums(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(finish(key, total), arrow)], list(names))
+#: What ``summed`` adds up: arrays of doubles by key.
+PARTIAL = "key bigint, data binary"
 
-        return sums.mapInArrow(done, schema)
+
+def summed(partials: DataFrame, parts: int, finish: Callable[[int, np.ndarray], tuple], schema: str) -> DataFrame:
+    """``finish(key, total)`` for each key of ``partials``, which ``parts`` tasks made."""
+    if parts > BRANCHES:
+        partials = partials.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(parts // BRANCHES + 1)))
+        partials = partials.repartition("key", "branch").drop("branch").sortWithinPartitions("key").mapInArrow(_added, PARTIAL)
+    partials = partials.repartition("key").sortWithinPartitions("key")
+
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    arrow = [{"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[t] for t in types]
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, total in _sums(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(finish(key, total), arrow)], list(names))
+
+    return partials.mapInArrow(done, schema)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:

@@ -125,6 +125,23 @@ def feature_warnings(spark, sf):
     return au.feature_warnings(profile, au.feature_inventory(profile, rows, len(FEATURES)))
 
 
+ROLES = {"regime": fixed.REGIME_COLUMNS, "momentum": fixed.MOMENTUM_COLUMNS, "outcome": fixed.OUTCOME_COLUMNS, "none": ("market_regime", "momentum_60d")}
+
+
+def _available_sql() -> str:
+    """Names that the panel does not have are left out by hand: SQL can't ask for them."""
+    there = {"regime": ("regime",), "momentum": ("rs_qqq_60d", "rs_spy_60d", "rs_qqq_120d", "rs_spy_120d"), "outcome": fixed.OUTCOME_COLUMNS, "none": ()}
+    picks = [f"SELECT '{role}' AS role, CAST({'CASE ' + ' '.join(f'WHEN count({c}) > 0 THEN {chr(39)}{c}{chr(39)}' for c in names) + ' END' if names else 'NULL'} AS VARCHAR) AS picked FROM panel" for role, names in there.items()]
+    return " UNION ALL ".join(picks[:3] + ["SELECT 'none', CAST(NULL AS VARCHAR)"])
+
+
+@query("available_columns", sp.with_(sp.PANEL, _available_sql()))
+def available_columns(spark, sf):
+    """The first available candidate of each role."""
+    picked = au.first_available(fx.panel(spark, sf), *ROLES.values())
+    return spark.createDataFrame(list(zip(ROLES, picked)), "role string, picked string")
+
+
 _PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 
 

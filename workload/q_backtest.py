@@ -228,6 +228,28 @@ def allocation(spark, sf):
     return shown(out, digits=9)
 
 
+_MULTIPLIER = "CASE regime " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.REGIME_MULTIPLIER.items()) + f" ELSE {fixed.UNKNOWN_REGIME_MULTIPLIER} END"
+
+
+@query(
+    "volatility_allocation",
+    sp.with_(
+        sp.REGIME_SCORES + f""",
+va_a AS (SELECT *, {sp.raw_weight('ml_score', 'probability_risk', 'regime')} AS x, CASE WHEN volatility_20d > 0 THEN least(1.0, 0.25 / volatility_20d) END AS adj FROM scores),
+va_b AS (SELECT *, CASE WHEN x * coalesce(adj, 1.0) < 0.01 THEN 0.0 ELSE x * coalesce(adj, 1.0) END AS raw FROM va_a),
+va_c AS (SELECT *, sum(raw) OVER (PARTITION BY date) AS gross FROM va_b)""",
+        f"""SELECT ticker, date, {r('raw', 'raw_target_weight', 9)}, {r('raw * CASE WHEN gross > 0.9 THEN 0.9 / gross ELSE 1.0 END', 'target_weight', 9)}, concat(ticker, ': score ', CAST(CAST(round(ml_score) AS BIGINT) AS VARCHAR),
+  CASE WHEN probability_risk >= 0.6 THEN '; high drawdown risk' WHEN probability_risk >= 0.4 THEN '; moderate drawdown risk' ELSE '' END, '; regime multiplier ', printf('%.2f', {_MULTIPLIER}),
+  CASE WHEN adj IS NOT NULL THEN '; volatility adjustment ' || printf('%.2f', adj) ELSE '' END, CASE WHEN gross > 0.9 THEN '; scaled to exposure cap 90%' ELSE '' END) AS allocation_explanation FROM va_c""",
+    ),
+)
+def volatility_allocation(spark, sf):
+    """Targets under a volatility target of 25 %, with their explanation."""
+    scores = fx.scores(spark, sf, regimes=True).drop("volatility_60d").withColumnRenamed("volatility_20d", "volatility_60d")
+    out = al.allocate(settle(scores), al.Limits(volatility_target=0.25), by=["date"])
+    return shown(out, "ticker", "date", "raw_target_weight", "target_weight", "allocation_explanation", digits=9)
+
+
 PORTFOLIO_SQL = REBALANCE_SQL + f""",
 held AS MATERIALIZED (SELECT d.date, max(r.rebalance_date) AS rebalance_date FROM days d LEFT JOIN (SELECT DISTINCT rebalance_date FROM weights) r ON r.rebalance_date < d.date GROUP BY 1),
 held2 AS MATERIALIZED (SELECT date, lag(rebalance_date) OVER (ORDER BY date) AS rebalance_date FROM held),
