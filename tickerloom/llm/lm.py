@@ -24,7 +24,9 @@ join with their counts.
 
 Words are compared by 64-bit hashes.  Defined cases: a null text is empty and has
 one token, its end; without training texts every probability of the base is 1 and
-the score equals it; rows that repeat an id are scored separately.
+the score equals it; rows that repeat an id are scored separately; a very long text
+is one row, held with some fifty bytes a word; an empty table gives an empty result.
+Other columns are carried only if named.
 """
 
 from __future__ import annotations

@@ -26,7 +26,9 @@ shares no bucket with a probability under ``miss``.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with
 nothing; a text with fewer words than a shingle is one shingle; a row with a null
-id is linked with nothing and kept; rows that repeat an id are one node.
+id is linked with nothing and kept; rows that repeat an id are one node; a very long
+text is one row; an empty table gives an empty result.  Columns other than id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations

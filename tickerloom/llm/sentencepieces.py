@@ -8,7 +8,8 @@ segmented once and the ids are joined back by position.  A model with crossing
 pieces is encoded text by text.
 
 Defined cases: a null text is empty; an empty text has only the begin and end
-ids.  Results never depend on other rows or columns.
+ids; repeated rows and ids give equal rows; a very long text is one row; an empty
+table gives an empty result.  Results never depend on other rows or columns.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Words are cut at white-space markers as the tokenizer does before its search, so
 each distinct word is counted once per worker and table.
 
 Defined cases: a null text is empty and has no token; results depend on the text
-alone.
+alone, so repeated rows and ids give equal rows; a very long text is one row whose
+matches are streamed; an empty table gives an empty result.  Columns other than id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
