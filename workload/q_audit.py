@@ -66,7 +66,11 @@ def label_overlap(spark, sf):
     return shown(au.label_overlap(lb.forward_labels(fx.light(spark, sf), "SPY")))
 
 
-FEATURES = ("return_20d", "return_60d", "volatility_20d", "volatility_60d", "max_drawdown_60d", "dist_ma_50d", "dist_ma_200d", "volume_z_20d", "rsi_14d", "rs_spy_60d", "rs_qqq_60d")
+# All usable technical features.
+FEATURES = (
+    "return_20d", "return_60d", "volatility_20d", "volatility_60d", "max_drawdown_60d", "max_drawdown_120d", "dist_ma_50d", "dist_ma_200d", "volume_z_20d", "volume_z_60d", "rsi_14d",
+    "rs_spy_60d", "rs_qqq_60d",
+)
 FAMILY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(feature), '{'|'.join(w)}') THEN '{n}'" for n, w in au.FAMILIES) + " ELSE 'unknown / other' END"
 _FU = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM technical" for c in FEATURES)
 PROFILE_SQL = sp.TECHNICAL + f""", fu AS MATERIALIZED ({_FU}),
