@@ -61,7 +61,11 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about ``limit`` bytes of text (one row at least)."""
+    """Cut batches so that a slice holds about ``limit`` bytes of text (one row at least).
+
+    After the last one, memory that the task no longer uses goes back to the system:
+    workers live on, and other tasks and the executor need it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
