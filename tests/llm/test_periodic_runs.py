@@ -75,7 +75,10 @@ def test_a_long_text_is_read_in_pieces(monkeypatch):
     whole = periodic_runs.Words().numbers(text)
     monkeypatch.setattr(periodic_runs, "PIECE_BYTES", 7)
     monkeypatch.setattr(periodic_runs, "BLOCK", 50)
-    assert periodic_runs.Words().numbers(text).tolist() == whole.tolist()
+    words = periodic_runs.Words()
+    known = words.numbers(text)
+    assert [words.list()[k] for k in known] == text.split()
+    assert len(set(zip(known.tolist(), whole.tolist()))) == len(set(known.tolist())) == len(set(whole.tolist()))
     found = periodic_runs.find([whole])
     assert (found.start.tolist(), found.length.tolist(), found.period.tolist()) == ([0], [6000], [3])
 

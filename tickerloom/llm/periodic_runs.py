@@ -55,7 +55,7 @@ class Words:
         self._numbers: dict[bytes, int] = {}
 
     def numbers(self, text: bytes) -> np.ndarray:
-        """Word numbers of a text, from 0 in order of first use."""
+        """Word numbers of a text; equal words have equal numbers, which say nothing else."""
         get, parts, start = self._numbers, [], 0
         while start < len(text):
             cut = _WHITE.search(text, start + PIECE_BYTES)
