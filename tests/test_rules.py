@@ -47,6 +47,16 @@ def test_allocation_scales_to_the_cap(spark):
     assert {r.suggested_action for r in out} == {"Add"}
 
 
+def test_targets_at_the_cap_are_no_excess(spark):
+    parts = [(day, 0.9 / day) for day in range(1, 200) for _ in range(day)]
+    over = [(1000, 0.1)] * 10
+    df = spark.createDataFrame(parts + over, "rebalance_date long, target_weight double")
+    out = al.guardrails(df, F.lit(False), F.lit(0.0))
+    flagged = [r.rebalance_date for r in out.filter("risk_control_flags <> ''").select("rebalance_date").distinct().collect()]
+    assert flagged == [1000]
+    assert all(abs(r.w - 0.9) < 1e-12 for r in out.groupBy("rebalance_date").agg(F.sum("adjusted_weight").alias("w")).collect())
+
+
 def test_actions(spark):
     got = [one(spark, al.action(F.lit(a), F.lit(b))) for a, b in ((0.1, 0.0), (0.0, 0.0), (0.0, 0.05), (0.05, 0.1), (0.1, 0.05), (0.1, 0.105))]
     assert got == ["Exit", "Watch", "Add", "Add", "Trim", "Hold"]
