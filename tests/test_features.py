@@ -77,6 +77,26 @@ def test_median_of_even_and_odd_windows(spark):
     assert got == [None, 3.0, 2.0, 3.5, 4.0]
 
 
+def test_collected_median_equals_the_sorted_frame(spark):
+    from tickerloom.functions.frames import rolled_median, with_rolled_median
+
+    prices = [None if i % 11 == 3 else (i * 37 % 101) / 7 for i in range(150)] + [None] * 9
+    df = bars(spark, range(159)).withColumn("x", F.element_at(F.array(*[F.lit(p).cast("double") for p in prices]), (F.col("adj_close") + 1).cast("int")))
+    got = with_rolled_median(df, "x", 8, 3, "m").withColumn("framed", rolled_median("x", 8, 3))
+    assert values(got, "m") == values(got, "framed")
+
+
+def test_technical_keeps_its_column_order(spark):
+    names = ft.technical(bars(spark, wave(5))).columns
+    assert names[-2:] == ["max_drawdown_60d", "max_drawdown_120d"] and names.index("return_5d") < names.index("rsi_14d")
+
+
+def test_technical_runs_few_windows(spark):
+    """Each window operator copies its whole row: the chain must stay short."""
+    plan = ft.technical(bars(spark, wave(5)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 9
+
+
 def test_benchmark_is_carried_on_own_dates_only(spark):
     own = bars(spark, [1, 2, 3, 4])
     bench = spark.createDataFrame(
