@@ -82,3 +82,20 @@ def test_null_groups_are_groups(spark):
     df = settle(spark.createDataFrame([(None, "a", 2.0), (None, "b", 1.0), ("x", "c", 5.0)], "g string, t string, v double"))
     got = {(r.g, r.t): (r.pos, r.min_rank, r.group_size) for r in with_positions(df, "g", "v", ["t"], ranks=True).collect()}
     assert got == {(None, "a"): (2, 2, 2), (None, "b"): (1, 1, 2), ("x", "c"): (1, 1, 1)}
+
+
+def test_stored_rows_are_compressed_columns(spark):
+    from pathlib import Path
+
+    from tickerloom.plans.storage import checkpoint_dir, stored
+
+    def size():
+        return sum(f.stat().st_size for f in Path(checkpoint_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+    df = frame(spark).withColumn("s", F.struct("v", F.lit(None).cast("double").alias("none")))
+    start = size()
+    out = stored(df)
+    columns = size()
+    assert out.schema.simpleString() == df.schema.simpleString() and sorted(out.collect(), key=str) == sorted(df.collect(), key=str)
+    settle(df)
+    assert (columns - start) * 2 < size() - columns

@@ -108,3 +108,15 @@ def test_overlapping_folds_stay_one_row(spark):
     a = spark.createDataFrame([(1, "2024-01-01", "A", 1.0, 0.4), (2, "2024-01-01", "A", 1.0, 0.6)], "fold int, date string, ticker string, actual double, probability double")
     assert md.merge_predictions(a, a).count() == 2
     assert md.merge_predictions(a.drop("fold"), a).count() == 1
+
+
+def test_targets_keep_only_what_is_named(spark, sf):
+    from tickerloom.operators import labels as lb
+    from workload import fixtures as fx
+
+    light = fx.light(spark, sf)
+    names = ["return_20d", "label_top_tercile_excess_20d", "label_outperform_60d"]
+    narrow = lb.target_candidates(light, "SPY", keep=names)
+    assert narrow.columns == ["ticker", "date", *names]
+    whole = lb.target_candidates(light, "SPY").select(narrow.columns)
+    assert narrow.exceptAll(whole).isEmpty() and whole.exceptAll(narrow).isEmpty()

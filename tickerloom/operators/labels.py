@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tickerloom import fixed
 from tickerloom.functions import frames as fr
 from tickerloom.functions.stats import over
 from tickerloom.plans.ranking import with_positions
-from tickerloom.plans.storage import settle
+from tickerloom.plans.storage import stored
 
 VOLATILITY_FLOOR = 1e-6
 
@@ -95,8 +97,11 @@ def top_third_of_date(df: DataFrame, value: str, output: str, minimum: int = 3)
     return df.join(flags, ["ticker", "date"], "left")
 
 
-def target_candidates(features: DataFrame, benchmark: str, h: int = 20) -> DataFrame:
-    """Add the alternative targets; needs ``volatility_<h>d`` and ``px_<benchmark>``."""
+def target_candidates(features: DataFrame, benchmark: str, h: int = 20, keep: Sequence[str] | None = None) -> DataFrame:
+    """Add the alternative targets; needs ``volatility_<h>d`` and ``px_<benchmark>``.
+
+    With ``keep`` only these columns and the key are stored and returned.
+    """
     base = forward_labels(forward_labels(features, benchmark, h), benchmark, 60)
     excess, drop = F.col(f"forward_{h}d_excess_return"), F.col(f"forward_{h}d_drawdown")
     vol = F.when(F.abs(F.col(f"volatility_{h}d")) > VOLATILITY_FLOOR, F.col(f"volatility_{h}d"))
@@ -121,7 +126,12 @@ def target_candidates(features: DataFrame, benchmark: str, h: int = 20) -> DataF
             ),
         }
     )
-    return top_third_of_date(settle(out), f"forward_{h}d_excess_return", "label_top_tercile_excess_20d")
+    excess, tercile = f"forward_{h}d_excess_return", "label_top_tercile_excess_20d"
+    if keep is None:
+        return top_third_of_date(stored(out), excess, tercile)
+    needed = list(dict.fromkeys(["ticker", "date", *keep, excess]))
+    narrow = stored(out.select(*[c for c in needed if c != tercile]))
+    return top_third_of_date(narrow, excess, tercile).select(*list(dict.fromkeys(["ticker", "date", *keep])))
 
 
 def opportunity_variants(labelled: DataFrame, h: int = 20) -> DataFrame:

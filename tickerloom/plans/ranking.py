@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.plans.storage import settle
+from tickerloom.plans.storage import settle, stored
 
 BEFORE = (Window.unboundedPreceding, -1)
 #: A one-row-per-group table is broadcast up to this many rows.
@@ -51,7 +51,7 @@ def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` sorted over all partitions, with ``_part`` and ``_row``, the place inside the partition."""
     at = F.col("_at")
     out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return settle(out).withColumns({"_part": F.shiftright(at, _ROW_BITS).cast("int"), "_row": at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_at")
+    return stored(out).withColumns({"_part": F.shiftright(at, _ROW_BITS).cast("int"), "_row": at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_at")
 
 
 def _joined(df: DataFrame, small: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from tickerloom.operators import robustness as rb
 from tickerloom.operators import scorecards as sc
 from tickerloom.operators import targets as tg
 from tickerloom.operators import transforms as tr
-from tickerloom.plans.storage import settle
+from tickerloom.plans.storage import settle, stored
 from workload import fixtures as fx
 from workload import sqlparts as sp
 from workload.q_features import TARGET_SQL
@@ -141,7 +141,9 @@ def _bucket_sql(name: str, by: str) -> str:
 
 
 def _targets(spark, sf):
-    return settle(lb.target_candidates(fx.featured(spark, sf), "SPY"))
+    """What the target tables read of the panel; the features stay out of the stored rows."""
+    keep = ["regime", "return_20d", "return_60d", "forward_20d_excess_return", "forward_20d_drawdown", *TARGET_LABELS.values()]
+    return stored(lb.target_candidates(fx.featured(spark, sf), "SPY", keep=keep))
 
 
 # Feature group -> the formula that stands for its model in the tables without random streams.
@@ -155,7 +157,7 @@ def _group_predictions(spark, sf, panel):
     entries = F.array(*[F.struct(F.lit(t).alias("target_id"), F.col(c).alias("actual")) for t, c in TARGET_LABELS.items()])
     groups = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.round(1 / (1 + F.exp(F.expr(x))), 12).alias("probability")) for g, x in GROUP_FORMULAS.items()])
     rows = tested.select("fold", "date", "ticker", F.inline(groups), "*").select("fold", "date", "ticker", "feature_group", "probability", F.inline(entries))
-    return settle(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
+    return stored(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
 
 
 def _predictions(spark, sf, panel):
@@ -165,7 +167,7 @@ def _predictions(spark, sf, panel):
     p = F.round(1 / (1 + F.exp(-20 * F.col("return_20d"))), 12)
     entries = F.array(*[F.struct(F.lit(t).alias("target_id"), F.col(c).alias("actual")) for t, c in TARGET_LABELS.items()])
     rows = tested.select("fold", "date", "ticker", "regime", p.alias("probability"), F.inline(entries))
-    return settle(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
+    return stored(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
 
 
 @query(
