@@ -75,3 +75,16 @@ def test_first_available(spark):
     assert au.first_available(df, ("missing", "nothing", "b", "a"), ("nothing",), ()) == ["b", None, None]
     assert au.first_available(df, ("missing",)) == [None]
     assert au.first_available(df.limit(0), ("a",)) == [None]
+
+
+def test_label_ranks_go_by_distinct_values(spark):
+    rng = random.Random(8)
+    data = [(f, float(rng.randrange(9)), float(rng.random() < 0.4) if rng.random() < 0.8 else None, 1.0 if f == "a" else None, i) for f in "ab" for i in range(300)]
+    rows = spark.createDataFrame(data, "feature string, v double, up double, down double, i int").repartition(5)
+    got = {r.feature: r for r in au._label_spearman(rows, ["up", "down"]).collect()}
+    for f in "ab":
+        known = [(v, u) for g, v, u, _, _ in data if g == f and u is not None]
+        values = np.array([v for v, _ in known])
+        ranks = np.array([(values < v).sum() + ((values == v).sum() + 1) / 2 for v in values])
+        assert math.isclose(got[f].r_up, np.corrcoef(ranks, [u for _, u in known])[0, 1], rel_tol=1e-9)
+        assert got[f].r_down is None

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
-from tickerloom.functions.stats import correlation
+from tickerloom.functions.buckets import edge_bucket
+from tickerloom.functions.stats import correlation, over
 from tickerloom.operators.metrics import concentration, quantile_bucketed
 from tickerloom.plans.blocks import PARTIAL, summed
-from tickerloom.plans.ranking import with_positions
+from tickerloom.plans.ranking import attach_groups, quantile_points, with_positions, with_running_totals
+from tickerloom.plans.storage import stored
 
 LEAKY = re.compile(r"^(label_|forward_|benchmark_forward_)")
 
@@ -263,6 +265,27 @@ def feature_warnings(profile: DataFrame, inventory: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows))).filter("feature_count > 0")
 
 
+def _label_spearman(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """``r_<label>`` per feature: correlation of the average rank of ``v`` among rows that know the 0/1 label with it.
+
+    Rows of one value share their rank, so one ordering of the distinct values with
+    their counts serves all labels.
+    """
+    counts = [F.count(c).alias(f"n_{c}") for c in labels] + [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in labels]
+    ranked = with_running_totals(rows.groupBy("feature", "v").agg(*counts), ["feature"], "v", [f"n_{c}" for c in labels])
+    moments = []
+    for c in labels:
+        n, rank = F.col(f"n_{c}"), F.col(f"below_n_{c}") + (F.col(f"n_{c}") + 1) / 2.0
+        moments += [F.sum(n).alias(f"_n_{c}"), F.sum(f"s_{c}").alias(f"_s_{c}"), F.sum(n * rank * rank).alias(f"_q_{c}"), F.sum(F.col(f"s_{c}") * rank).alias(f"_p_{c}")]
+    found = []
+    for c in labels:
+        n, s, q, p = (F.col(f"_{x}_{c}") for x in "nsqp")
+        mean = (n + 1) / 2.0
+        spread = (q - n * mean * mean) * (s - over(s * s, n))
+        found.append(over(p - s * mean, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias(f"r_{c}"))
+    return ranked.groupBy("feature").agg(*moments).select("feature", *found)
+
+
 def feature_signal(panel: DataFrame, features: Sequence[str], h: int = 20, minimum: int = 20) -> DataFrame:
     """Univariate rank correlation and quintile spread of every feature; settled input.
 
@@ -273,24 +296,20 @@ def feature_signal(panel: DataFrame, features: Sequence[str], h: int = 20, minim
     shape = rows.groupBy("feature").agg(F.count_distinct("v").alias("unique_value_count"))
     total = panel.agg(F.count(F.lit(1)).alias("_rows"))
 
-    def spearman(frame: DataFrame, other: str, rank_other: bool) -> DataFrame:
-        known = frame.filter(F.col(other).isNotNull())
-        a = with_positions(known, ["feature"], "v", ["date", "ticker"], ranks=True).withColumnRenamed("avg_rank", "_a").drop("pos", "min_rank", "group_size")
-        b = "_b"
-        if rank_other:
-            a = with_positions(a, ["feature"], other, ["date", "ticker"], ranks=True).withColumnRenamed("avg_rank", "_b")
-        else:
-            b = other
-        return a.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_a"), F.col(b)).alias("r"))
-
-    base = spearman(rows, target, True).select("feature", F.col("n").alias("valid_sample_count"), F.col("r").alias("spearman_to_return_target"))
-    ret = spearman(rows, up, False).select("feature", F.abs("r").alias("abs_spearman_to_return_label"))
-    risk = spearman(rows, down, False).select("feature", F.abs("r").alias("abs_spearman_to_drawdown_label"))
-    cut = quantile_bucketed(rows.filter(F.col(target).isNotNull()), ["feature"], "v", 5, "_q")
+    known = rows.filter(F.col(target).isNotNull()).select("feature", "v", target, "date", "ticker")
+    placed = with_positions(known, ["feature"], "v", ["date", "ticker"], ranks=True)
+    placed = stored(placed.select("feature", "v", target, "date", "ticker", "pos", "group_size", F.col("avg_rank").alias("_a")))
+    both = with_positions(placed.select("feature", "_a", target, "date", "ticker"), ["feature"], target, ["date", "ticker"], ranks=True)
+    base = both.groupBy("feature").agg(F.count(F.lit(1)).alias("valid_sample_count"), correlation(F.col("_a"), F.col("avg_rank")).alias("spearman_to_return_target"))
+    labels = _label_spearman(rows, [up, down])
+    labels = labels.select("feature", F.abs(f"r_{up}").alias("abs_spearman_to_return_label"), F.abs(f"r_{down}").alias("abs_spearman_to_drawdown_label"))
+    # The quintile edges are read off the same ordering.
+    edges = quantile_points(placed, ["feature"], "v", [i / 5 for i in range(6)])
+    cut = attach_groups(placed.select("feature", "v", target), edges, ["feature"]).withColumn("_q", edge_bucket(F.col("v"), F.col("edges")))
     ends = cut.groupBy("feature", "_q").agg(F.avg(target).alias("m")).groupBy("feature").agg(
         F.min_by("m", "_q").alias("bottom_quantile_target_mean"), F.max_by("m", "_q").alias("top_quantile_target_mean")
     )
-    out = base.join(shape, "feature").join(ret, "feature", "left").join(risk, "feature", "left").join(ends, "feature", "left").crossJoin(F.broadcast(total))
+    out = base.join(shape, "feature").join(labels, "feature", "left").join(ends, "feature", "left").crossJoin(F.broadcast(total))
     enough = (F.col("valid_sample_count") >= minimum) & (F.col("unique_value_count") >= 3)
     r = F.when(enough, F.col("spearman_to_return_target"))
     strength = F.greatest(F.abs(r), "abs_spearman_to_return_label", "abs_spearman_to_drawdown_label")
