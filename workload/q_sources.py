@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import text as tx
 from tickerloom.operators import metrics as mt
-from tickerloom.plans.storage import checkpoint_dir, settle
+from tickerloom.plans.storage import checkpoint_dir, settle, stored
 from tickerloom.sources import bars as br
 from tickerloom.sources import bundle as bd
 from workload import fixtures as fx
@@ -165,7 +165,7 @@ v AS (SELECT *, y - x AS d FROM u)""",
 )
 def run_compare(spark, sf):
     """The score panel against a run whose probabilities are pulled halfway to 0.5, and whose risks are turned around."""
-    s = settle(fx.scores(spark, sf)).withColumns({"p2": 0.5 + (F.col("probability_out") - 0.5) / 2, "r2": 1 - F.col("probability_risk")})
+    s = stored(fx.scores(spark, sf)).withColumns({"p2": 0.5 + (F.col("probability_out") - 0.5) / 2, "r2": 1 - F.col("probability_risk")})
 
     def rows(target, actual, p):
         return bd.metric_rows(mt.binary_metrics(s, [], actual, p).select(F.lit(target).alias("target_id"), "brier_score", "roc_auc", "calibration_gap"))
