@@ -63,3 +63,35 @@ def test_odd_rows_and_missing_labels(spark, odd, empty):
     assert toxicity.score(empty, model, ["doc_id"]).count() == 0
     nothing = toxicity.fit(odd, labels.filter("false"))
     assert {r.score for r in toxicity.score(odd, nothing, ["doc_id"]).collect()} == {0.0}
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    rows = [(i, "plain words here" + (f" rare{i // 100}" if i % 2 else ""), "en", i % 2) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    path, groups = toxicity.labelled(table.drop("toxic"), table.select("doc_id", "toxic"), group_rows=100)
+    assert groups == 10 and spark.read.parquet(path).count() == 1000
+    counts, words = toxicity._tallied(spark, path, groups, ["en"])
+    held = spark.read.parquet(path).filter("held").count()
+    plain, rare = (toxicity.tokens([x])[0] for x in ("plain", "rare0 rare1 rare2 rare3 rare4 rare5 rare6 rare7 rare8 rare9"))
+    assert 100 < held < 300 and counts[:, plain[0] // toxicity.BUCKETS].sum() == 1000 - held
+    assert words[rare // toxicity.BUCKETS, 0].min() >= 50 and words.sum() == 2 * 3500
+    model = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"), group_rows=100)
+    out = toxicity.score(table, model, ["toxic"]).toPandas()
+    assert (out.predicted == out.toxic).mean() > 0.95
+
+
+def test_mean_of_the_networks_of_groups_is_by_their_rows(spark):
+    table = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} c", "en", i % 2) for i in range(300)], "doc_id bigint, text string, lang string, toxic int")
+    path, groups = toxicity.labelled(table, table.select("doc_id", "toxic"), group_rows=100)
+    counts, _ = toxicity._tallied(spark, path, groups, ["en"])
+    begun = toxicity._begun(counts, 120, 240, 5)
+    total, rows = 0.0, 0
+    for g in range(groups):
+        own, n = begun.unpacked(begun.packed()), 0
+        for part in toxicity._rows_of(path, g, ["en"]):
+            for texts, y in toxicity._batched(*part.fitted()):
+                own.step(texts, y, 0.05)
+                n += len(texts)
+        total, rows = total + n * own.packed().astype(float), rows + n
+    got = toxicity._epoch(spark, path, groups, ["en"], begun, 0.05)
+    assert np.allclose(got.packed(), total / rows, atol=1e-6) and not np.allclose(got.packed(), begun.packed(), atol=1e-3)
