@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickerloom.plans.ranking import _placed, quantile_points, with_positions, with_running_totals
+from tickerloom.plans.ranking import _placed, end_thirds, quantile_points, with_positions, with_running_totals
 from tickerloom.plans.storage import settle
 
 
@@ -99,3 +99,22 @@ def test_stored_rows_are_compressed_columns(spark):
     assert out.schema.simpleString() == df.schema.simpleString() and sorted(out.collect(), key=str) == sorted(df.collect(), key=str)
     settle(df)
     assert (columns - start) * 2 < size() - columns
+
+
+def test_thirds_match_plain_windows_and_order_few_rows(spark, monkeypatch):
+    from tickerloom.functions.buckets import rank_bucket
+    from tickerloom.plans import ranking
+
+    df = frame(spark).withColumn("y", (F.crc32(F.col("ticker").cast("binary")) % 2).cast("int"))
+    df = df.unionByName(df.limit(0)).unionByName(spark.createDataFrame([(None, "a", 1, 1.0, None, 1), (None, "b", 1, 0.0, None, 0)], df.schema))
+    ordered = []
+    monkeypatch.setattr(ranking, "with_positions", lambda d, *a, **k: ordered.append(d.count()) or with_positions(d, *a, **k))
+    ours = end_thirds(df, "g", "v", ["date", "ticker"], "y")
+    w = Window.partitionBy("g")
+    plain = df.withColumn("b", rank_bucket(F.row_number().over(w.orderBy("v", "date", "ticker")), F.count(F.lit(1)).over(w), 3))
+    top, bottom = F.col("b") == 2, F.col("b") == 0
+    plain = plain.groupBy("g").agg(
+        F.count_if(bottom).alias("bottom_n"), F.sum(F.when(bottom, F.col("y"))).alias("bottom_total"), F.count_if(top).alias("top_n"), F.sum(F.when(top, F.col("y"))).alias("top_total"),
+    )
+    assert set(ours.select(*plain.columns).collect()) == set(plain.collect()) and plain.count() == 4
+    assert sum(ordered) < 0.5 * df.count()
