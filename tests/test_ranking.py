@@ -118,3 +118,30 @@ def test_thirds_match_plain_windows_and_order_few_rows(spark, monkeypatch):
     )
     assert set(ours.select(*plain.columns).collect()) == set(plain.collect()) and plain.count() == 4
     assert sum(ordered) < 0.5 * df.count()
+
+
+def test_shared_probabilities_give_the_same_metrics(spark):
+    from tickerloom.operators.metrics import binary_metrics
+
+    df = frame(spark).filter("g <> 'single' OR day > 0")
+    rows_of = [F.struct(F.lit(t).alias("t"), F.when(F.crc32(F.concat("ticker", F.lit(t)).cast("binary")) % k > 0, 1.0).otherwise(0.0).alias("y")) for t, k in (("a", 2), ("b", 3), ("c", 1))]
+    long = settle(df.select("g", "ticker", "v", F.inline(F.array(*rows_of))).filter("t <> 'b' OR g <> 'small'"))
+    for by in (["t"], ["t", "g"]):
+        plain, shared = (binary_metrics(long, by, "y", "v", shared=s) for s in (None, "t"))
+        rounded = [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.select(plain.columns).fillna(-1).collect()) for out in (plain, shared)]
+        assert rounded[0] == rounded[1] and len(rounded[0]) == (3 if by == ["t"] else 8)
+    assert binary_metrics(long.limit(0), ["t"], "y", "v", shared="t").count() == 0
+
+
+def test_top_third_of_a_date_matches_a_plain_window_without_a_join_by_ticker(spark):
+    from tickerloom.operators.labels import top_third_of_date
+
+    df = frame(spark).filter("g <> 'single'").select("ticker", "date", F.when(F.col("v") < 0.95, F.col("v")).alias("x"), "g")
+    df = settle(df.unionByName(spark.createDataFrame([("p", None, "q"), ("r", None, "q"), ("s", 1.0, "q")], "ticker string, x double, g string").withColumn("date", F.lit("1970-01-01").cast("date"))))
+    out = top_third_of_date(df, "x", "y")
+    w = Window.partitionBy("date")
+    plain = df.filter("x IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("p", F.row_number().over(w.orderBy("x", "ticker")))
+    plain = plain.select("ticker", F.when(F.col("n") >= 3, (F.col("p") / F.col("n") > 2 / 3).cast("double")).alias("y"))
+    assert dict(out.select("ticker", "y").collect()) == {r.ticker: None for r in df.collect()} | dict(plain.collect())
+    assert out.columns == ["ticker", "date", "x", "g", "y"]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,7 @@ from tickerloom import fixed
 from tickerloom.functions import frames as fr
 from tickerloom.functions.stats import over
 from tickerloom.plans.ranking import with_positions
-from tickerloom.plans.storage import stored
+from tickerloom.plans.storage import settle, stored
 
 VOLATILITY_FLOOR = 1e-6
 
@@ -86,15 +86,11 @@ def top_third_of_date(df: DataFrame, value: str, output: str, minimum: int = 3)
     """
     known = df.filter(F.col(value).isNotNull()).select("ticker", "date", value)
     ranked = with_positions(known, "date", value, ["ticker"])
-    flags = ranked.select(
-        "ticker",
-        "date",
-        F.when(
-            F.col("group_size") >= minimum,
-            (F.col("pos") / F.col("group_size") > 2.0 / 3.0).cast("double"),
-        ).alias(output),
-    )
-    return df.join(flags, ["ticker", "date"], "left")
+    first = F.min(F.when(F.col("pos") / F.col("group_size") > 2.0 / 3.0, F.struct(F.col(value).alias("v"), F.col("ticker").alias("t"))))
+    cuts = ranked.groupBy("date").agg(F.max("group_size").alias("_size"), first.alias("_first"))
+    own = F.struct(F.col(value).alias("v"), F.col("ticker").alias("t"))
+    flag = F.when(F.col(value).isNotNull() & (F.col("_size") >= minimum), (own >= F.col("_first")).cast("double"))
+    return df.join(F.broadcast(settle(cuts)), "date", "left").select("ticker", "date", *[c for c in df.columns if c not in ("ticker", "date")], flag.alias(output))
 
 
 def target_candidates(features: DataFrame, benchmark: str, h: int = 20, keep: Sequence[str] | None = None) -> DataFrame:

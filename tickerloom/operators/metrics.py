@@ -27,21 +27,43 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
+def _curve(known: DataFrame, by: list[str], label: str, probability: str, calendar_bound: bool) -> DataFrame:
+    """Positive and all rows (``_tp``, ``_n``) of every group and probability ``_p``, and those of smaller ones."""
+    values = known.groupBy(*by, F.col(probability).alias("_p")).agg(F.sum(label).alias("_tp"), F.count(F.lit(1)).alias("_n"))
+    return with_running_totals(values, by, "_p", ["_tp", "_n"], calendar_bound)
+
+
+def _shared_curve(known: DataFrame, by: list[str], label: str, probability: str, calendar_bound: bool, shared: str) -> DataFrame:
+    """``_curve``, with the few values of ``shared`` side by side while the probabilities are ordered."""
+    names = sorted(r[0] for r in known.select(shared).distinct().collect())
+    rest = [b for b in by if b != shared]
+    columns = [c for i in range(len(names)) for c in (f"_tp{i}", f"_n{i}")]
+    sums = []
+    for i, name in enumerate(names):
+        own = F.col(shared) == name
+        sums += [F.coalesce(F.sum(F.when(own, F.col(label))), F.lit(0)).alias(f"_tp{i}"), F.count_if(own).alias(f"_n{i}")]
+    wide = with_running_totals(known.groupBy(*rest, F.col(probability).alias("_p")).agg(*sums), rest, "_p", columns, calendar_bound)
+    entries = [
+        F.struct(F.lit(name).alias(shared), *(F.col(f"{c}{i}").alias(c) for c in ("_tp", "_n", "below__tp", "below__n"))) for i, name in enumerate(names)
+    ]
+    return wide.select(*rest, "_p", F.inline(F.array(*entries))).filter("_n > 0")
+
+
 def binary_metrics(
-    df: DataFrame, by: Sequence[str], label: str, probability: str, threshold: float = 0.5, calendar_bound: bool = False
+    df: DataFrame, by: Sequence[str], label: str, probability: str, threshold: float = 0.5, calendar_bound: bool = False, shared: str | None = None
 ) -> DataFrame:
     """Counts, rates, Brier, ROC-AUC and average precision per group.
 
     ``calendar_bound`` when a group has at most a row per date (ticker, fold and ticker).
+    ``shared`` names a key with few values, none null, whose rows have their probabilities in common: they are ordered once for all.
     """
     by = list(by)
-    values = (
-        df.filter(F.col(label).isNotNull() & F.col(probability).isNotNull())
-        .groupBy(*by, F.col(probability).alias("_p"))
-        .agg(F.sum(label).alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    )
-    curve = with_running_totals(values, by, "_p", ["_tp", "_n"], calendar_bound)
-    totals = values.groupBy(*by).agg(F.sum("_tp").alias("_all_pos"), F.sum("_n").alias("_all_n"))
+    known = df.filter(F.col(label).isNotNull() & F.col(probability).isNotNull())
+    if shared and not known.isEmpty():
+        curve = _shared_curve(known, by, label, probability, calendar_bound, shared)
+    else:
+        curve = _curve(known, by, label, probability, calendar_bound)
+    totals = curve.groupBy(*by).agg(F.sum("_tp").alias("_all_pos"), F.sum("_n").alias("_all_n"))  # from the stored order
     joined = attach_groups(curve, totals, by)
     tp, n, p = F.col("_tp"), F.col("_n"), F.col("_p")
     pos, total = F.col("_all_pos"), F.col("_all_n")

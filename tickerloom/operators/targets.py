@@ -70,9 +70,9 @@ def bucket_rates(predictions: DataFrame, by: Sequence[str], minimum: int = 5) ->
 def walk_forward_table(predictions: DataFrame, by: Sequence[str] = ("target_id",)) -> DataFrame:
     """Metrics, bucket separation and worst fold / ticker per target (and group)."""
     by = list(by)
-    base = binary_metrics(predictions, by, "actual", "probability").withColumnRenamed("sample_count", "prediction_count")
+    base = binary_metrics(predictions, by, "actual", "probability", shared="target_id").withColumnRenamed("sample_count", "prediction_count")
     folds = predictions.groupBy(*by).agg(F.count_distinct("fold").alias("folds"))
-    per_fold = binary_metrics(predictions, [*by, "fold"], "actual", "probability").filter("roc_auc IS NOT NULL")
+    per_fold = binary_metrics(predictions, [*by, "fold"], "actual", "probability", shared="target_id").filter("roc_auc IS NOT NULL")
     worst_fold = per_fold.groupBy(*by).agg(F.min(F.struct(F.round("roc_auc", 12).alias("a"), "fold")).alias("_w")).select(
         *by, F.col("_w.fold").alias("worst_fold"), F.col("_w.a").alias("worst_fold_roc_auc")
     )
@@ -99,7 +99,7 @@ def fold_calibration(predictions: DataFrame) -> DataFrame:
 
 def regime_table(predictions: DataFrame, samples: int = 20) -> DataFrame:
     keys = ["target_id", "regime"]
-    out = binary_metrics(predictions, keys, "actual", "probability").join(bucket_rates(predictions, keys), keys, "left")
+    out = binary_metrics(predictions, keys, "actual", "probability", shared="target_id").join(bucket_rates(predictions, keys), keys, "left")
     s = F.col("bucket_spread")
     return out.withColumn(
         "direction",
