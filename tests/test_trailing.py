@@ -59,3 +59,10 @@ def test_regimes_take_one_pass_over_few_windows(spark, sf):
     bars = fx.bars(spark, sf)
     extra = set(rg.classify(ft.technical(bars, medians=True)).columns) - set(ft.technical(bars).columns)
     assert extra == {"regime", "regime_rationale", "risk_flags"}
+
+
+def test_books_of_a_grid_do_not_multiply_rows(spark, sf):
+    from workload import QUERIES
+
+    plan = QUERIES["strategy_grid"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # from the top: rows are made from the summaries
