@@ -66,3 +66,10 @@ def test_books_of_a_grid_do_not_multiply_rows(spark, sf):
 
     plan = QUERIES["strategy_grid"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # from the top: rows are made from the summaries
+
+
+def test_an_inventory_builds_the_features_once(spark, sf):
+    from workload import QUERIES
+
+    plan = QUERIES["feature_inventory"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
