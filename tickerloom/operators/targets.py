@@ -362,6 +362,11 @@ def stop_rule(quality_rows: DataFrame, baseline: str = "outperform_20d") -> Data
     return out.drop("_reasons", "_causes", *[f"_b_{c}" for c in columns])
 
 
+def class_counts(rows: DataFrame) -> DataFrame:
+    """area, c, n: how often each known classification occurs in ``rows`` of (area, classification)."""
+    return rows.filter("classification IS NOT NULL").groupBy("area", F.lower("classification").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def evidence_rollup(rows: DataFrame, areas: Sequence[str]) -> DataFrame:
     """Worst classification per area, its strength and readiness, and the overall row.
 
@@ -369,9 +374,13 @@ def evidence_rollup(rows: DataFrame, areas: Sequence[str]) -> DataFrame:
     The first label of the fixed priority list that an area has stands for it; with
     none of them, its most frequent one (of equally frequent ones the first by name).
     """
-    spark = rows.sparkSession
-    label = F.lower("classification")
-    counts = rows.filter("classification IS NOT NULL").groupBy("area", label.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return evidence_of(class_counts(rows), areas)
+
+
+def evidence_of(parts: DataFrame, areas: Sequence[str]) -> DataFrame:
+    """``evidence_rollup`` of ``class_counts``, which may come in several rows of a class."""
+    spark = parts.sparkSession
+    counts = parts.groupBy("area", "c").agg(F.sum("n").alias("n"))
     place = F.array_position(F.array(*[F.lit(p) for p in fixed.EVIDENCE_PRIORITY]), F.col("c"))
     order = F.struct(F.when(place > 0, place).otherwise(len(fixed.EVIDENCE_PRIORITY) + 1), F.when(place > 0, 0).otherwise(-F.col("n")), "c")
     worst = counts.groupBy("area").agg(F.min_by("c", order).alias("latest_classification"))

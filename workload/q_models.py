@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
@@ -15,7 +18,7 @@ from tickerloom.operators import robustness as rb
 from tickerloom.operators import scorecards as sc
 from tickerloom.operators import targets as tg
 from tickerloom.operators import transforms as tr
-from tickerloom.plans.storage import settle, stored
+from tickerloom.plans.storage import passing, settle, stored
 from workload import fixtures as fx
 from workload import sqlparts as sp
 from workload.q_features import TARGET_SQL
@@ -425,9 +428,9 @@ UNION ALL SELECT 'Overall production readiness', 'not_ready', 'blocking', 'not_r
 @query("evidence_rollup", _evidence_sql())
 def evidence_rollup(spark, sf):
     """Worst class of each evidence area over the registered diagnostic tables."""
-    rows = None
+    parts = []  # one after the other: of each only the counts stay on disk
     for area, names in EVIDENCE.items():
         for name in names:
-            part = QUERIES[name](spark, sf).select(F.lit(area).alias("area"), "classification")
-            rows = part if rows is None else rows.unionByName(part)
-    return tg.evidence_rollup(settle(rows), list(EVIDENCE))
+            with passing(spark):
+                parts.append(settle(tg.class_counts(QUERIES[name](spark, sf).select(F.lit(area).alias("area"), "classification"))))
+    return tg.evidence_of(reduce(DataFrame.unionByName, parts), list(EVIDENCE))
