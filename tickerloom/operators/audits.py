@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tickerloom import fixed
 from tickerloom.functions.buckets import edge_bucket
-from tickerloom.functions.stats import correlation, over
+from tickerloom.functions.stats import correlation
 from tickerloom.operators.metrics import concentration, quantile_bucketed
 from tickerloom.plans.blocks import PARTIAL, summed
-from tickerloom.plans.ranking import attach_groups, quantile_points, with_positions, with_running_totals
-from tickerloom.plans.storage import stored
+from tickerloom.plans.ranking import with_mask_ranks
+from tickerloom.plans.storage import passing
 
 LEAKY = re.compile(r"^(label_|forward_|benchmark_forward_)")
 
@@ -270,51 +270,68 @@ def feature_warnings(profile: DataFrame, inventory: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows))).filter("feature_count > 0")
 
 
-def _label_spearman(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """``r_<label>`` per feature: correlation of the average rank of ``v`` among rows that know the 0/1 label with it.
+def _rank_link(rank: str, x: Column, where: Column) -> Column:
+    """Correlation of a rank with ``x`` over some rows; NULL when a side is constant."""
+    return correlation(F.when(where, F.col(rank)), x)
 
-    Rows of one value share their rank, so one ordering of the distinct values with
-    their counts serves all labels.
+
+def _signal_of(panel: DataFrame, feature: str, target: str, labels: Sequence[str]) -> DataFrame | None:
+    """One row for a feature (a column ``v``), or none: counts, rank correlations and outer quintile means.
+
+    ``panel`` has the rank of the target among rows that know the feature in ``_t``.  One ordering of the feature's values
+    gives its ranks among the rows that know the target or a label, and the quintile edges.
     """
-    counts = [F.count(c).alias(f"n_{c}") for c in labels] + [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in labels]
-    ranked = with_running_totals(rows.groupBy("feature", "v").agg(*counts), ["feature"], "v", [f"n_{c}" for c in labels])
-    moments = []
-    for c in labels:
-        n, rank = F.col(f"n_{c}"), F.col(f"below_n_{c}") + (F.col(f"n_{c}") + 1) / 2.0
-        moments += [F.sum(n).alias(f"_n_{c}"), F.sum(f"s_{c}").alias(f"_s_{c}"), F.sum(n * rank * rank).alias(f"_q_{c}"), F.sum(F.col(f"s_{c}") * rank).alias(f"_p_{c}")]
-    found = []
-    for c in labels:
-        n, s, q, p = (F.col(f"_{x}_{c}") for x in "nsqp")
-        mean = (n + 1) / 2.0
-        spread = (q - n * mean * mean) * (s - over(s * s, n))
-        found.append(over(p - s * mean, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias(f"r_{c}"))
-    return ranked.groupBy("feature").agg(*moments).select("feature", *found)
+    known = [F.col(c).isNotNull().alias(f"_k{k}") for k, c in enumerate((target, *labels))]
+    masks = ["_all", *(f"_k{k}" for k in range(1 + len(labels)))]
+    rows = with_mask_ranks(panel.filter("v IS NOT NULL").select("v", target, "_t", *labels, F.lit(True).alias("_all"), *known), "v", masks)
+    shape = rows.agg(
+        F.count(target).alias("n"), F.round(F.sum(1 / F.col("same__all"))).cast("long").alias("values"), _rank_link("rank__k0", F.col("_t"), F.col("_k0")).alias("r"),
+        *[F.abs(_rank_link(f"rank__k{k}", F.col(c), F.col(f"_k{k}"))).alias(f"r{k}") for k, c in enumerate(labels, 1)],
+    ).first()
+    if not shape["n"]:
+        return None
+    places = [(shape["n"] - 1) * float(i / 5) for i in range(6)]
+    upto = F.col("rank__k0") + (F.col("same__k0") - 1) / 2.0  # place of the last row with the value
+    wanted = sorted({int(p) + d for p in places for d in (1, 2) if int(p) + d <= shape["n"]})
+    found = rows.filter("_k0").agg(*[F.min(F.when(upto >= k, F.col("v"))).alias(str(k)) for k in wanted]).first().asDict()
+    points = []
+    for p in places:
+        low = found[str(int(p) + 1)]
+        points.append(low + (found[str(min(int(p) + 2, shape["n"]))] - low) * (p - int(p)))
+    cut = rows.filter("_k0").select("v", target).withColumn("_q", edge_bucket(F.col("v"), F.array(*[F.lit(x) for x in points])))
+    ends = cut.groupBy("_q").agg(F.avg(target).alias("m")).agg(F.min_by("m", "_q").alias("bottom_quantile_target_mean"), F.max_by("m", "_q").alias("top_quantile_target_mean"))
+    facts = [F.lit(shape[c]).cast(t) for c, t in (("n", "long"), ("r", "double"), ("values", "long"), *((f"r{k}", "double") for k in range(1, 1 + len(labels))))]
+    return ends.select(F.lit(feature), *facts, "bottom_quantile_target_mean", "top_quantile_target_mean")
 
 
 def feature_signal(panel: DataFrame, features: Sequence[str], h: int = 20, minimum: int = 20) -> DataFrame:
     """Univariate rank correlation and quintile spread of every feature; settled input.
 
-    Features are rows, so all of them share two sliced orderings.
+    The target is ordered once for all features, among whose known rows it is ranked; then one feature after the other, so
+    that a single ordering lies on disk at a time.
     """
     target, up, down = f"forward_{h}d_excess_return", f"label_outperform_{h}d", f"label_drawdown_risk_{h}d"
-    rows = long_features(panel, features, ["date", "ticker", target, up, down]).filter("v IS NOT NULL")
-    shape = rows.groupBy("feature").agg(F.count_distinct("v").alias("unique_value_count"))
-    total = panel.agg(F.count(F.lit(1)).alias("_rows"))
-
-    known = rows.filter(F.col(target).isNotNull()).select("feature", "v", target, "date", "ticker")
-    placed = with_positions(known, ["feature"], "v", ["date", "ticker"], ranks=True)
-    placed = stored(placed.select("feature", "v", target, "date", "ticker", "pos", "group_size", F.col("avg_rank").alias("_a")))
-    both = with_positions(placed.select("feature", "_a", target, "date", "ticker"), ["feature"], target, ["date", "ticker"], ranks=True)
-    base = both.groupBy("feature").agg(F.count(F.lit(1)).alias("valid_sample_count"), correlation(F.col("_a"), F.col("avg_rank")).alias("spearman_to_return_target"))
-    labels = _label_spearman(rows, [up, down])
-    labels = labels.select("feature", F.abs(f"r_{up}").alias("abs_spearman_to_return_label"), F.abs(f"r_{down}").alias("abs_spearman_to_drawdown_label"))
-    # The quintile edges are read off the same ordering.
-    edges = quantile_points(placed, ["feature"], "v", [i / 5 for i in range(6)])
-    cut = attach_groups(placed.select("feature", "v", target), edges, ["feature"]).withColumn("_q", edge_bucket(F.col("v"), F.col("edges")))
-    ends = cut.groupBy("feature", "_q").agg(F.avg(target).alias("m")).groupBy("feature").agg(
-        F.min_by("m", "_q").alias("bottom_quantile_target_mean"), F.max_by("m", "_q").alias("top_quantile_target_mean")
+    spark = panel.sparkSession
+    values = [F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(features)]
+    rows = panel.select(target, up, down, *values)
+    found = []
+    with passing(spark):
+        known = [F.col(f"_v{k}").isNotNull().alias(f"_m{k}") for k in range(len(features))]
+        masks = [f"_m{k}" for k in range(len(features))]
+        ranked = with_mask_ranks(rows.filter(F.col(target).isNotNull()).select("*", *known), target, masks)
+        ranked = ranked.select(*rows.columns, *[f"rank_{m}" for m in masks])
+        unknown = rows.filter(F.col(target).isNull()).select("*", *[F.lit(None).cast("double").alias(f"rank_{m}") for m in masks])
+        both = ranked.unionByName(unknown)
+        for k, name in enumerate(features):
+            with passing(spark):
+                one = _signal_of(both.select(target, up, down, F.col(f"_v{k}").alias("v"), F.col(f"rank__m{k}").alias("_t")), name, target, [up, down])
+                if one is not None:
+                    found += one.collect()
+    schema = (
+        "feature string, valid_sample_count long, spearman_to_return_target double, unique_value_count long, abs_spearman_to_return_label double, "
+        "abs_spearman_to_drawdown_label double, bottom_quantile_target_mean double, top_quantile_target_mean double"
     )
-    out = base.join(shape, "feature").join(labels, "feature", "left").join(ends, "feature", "left").crossJoin(F.broadcast(total))
+    out = spark.createDataFrame(found, schema)
     enough = (F.col("valid_sample_count") >= minimum) & (F.col("unique_value_count") >= 3)
     r = F.when(enough, F.col("spearman_to_return_target"))
     strength = F.greatest(F.abs(r), "abs_spearman_to_return_label", "abs_spearman_to_drawdown_label")

@@ -18,8 +18,10 @@ as they have partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +171,85 @@ def end_thirds(df: DataFrame, by, value: str, ties: Sequence[str], total: str) -
         F.sum(F.when(is_bottom, n).otherwise(0)).alias("bottom_n"), F.sum(F.when(is_bottom, F.col("_sum"))).alias("bottom_total"),
         F.sum(F.when(~is_bottom, n).otherwise(0)).alias("top_n"), F.sum(F.when(~is_bottom, F.col("_sum"))).alias("top_total"),
     )
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Starts of the runs of one value in sorted numbers; NaN equals NaN."""
+    same = (values[1:] == values[:-1]) | (np.isnan(values[1:]) & np.isnan(values[:-1]))
+    return np.concatenate([[0], np.flatnonzero(~same) + 1])
+
+
+def _locally_ranked(batches: Iterator[pa.RecordBatch], masks: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of a task (value first) with ``_edge`` (1 first run, 2 last run, else 0) and, for each mask, the average
+    rank among the task's rows of the mask and their number in the run; ranks of edge runs are 0."""
+
+    def ranked(table: pa.Table, first: bool, last: bool, before: np.ndarray) -> pa.RecordBatch:
+        """Whole runs; ``before`` counts the rows of earlier ones and goes on."""
+        value = table.column(0).to_numpy()
+        starts = runs(value)
+        sizes = np.diff([*starts, len(value)])
+        edge = np.zeros(len(starts), np.int8)
+        if last:
+            edge[-1] = 2
+        if first:
+            edge[0] = 1
+        columns = []
+        for k, m in enumerate(masks):
+            same = np.add.reduceat(table.column(m).to_numpy().astype(np.int64), starts)
+            upto = before[k] + np.cumsum(same)
+            columns += [pa.array(np.repeat(np.where(edge > 0, 0.0, upto - (same - 1) / 2.0), sizes)), pa.array(np.repeat(same, sizes))]
+            before[k] = upto[-1]
+        batch = table.combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.repeat(edge, sizes)), *columns], [*batch.schema.names, "_edge", *(f"_{x}{k}" for k in range(len(masks)) for x in "as")])
+
+    before, first, waiting = np.zeros(len(masks), np.int64), True, []  # ``waiting`` holds the open run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(0).to_numpy()
+        if waiting:
+            value = np.concatenate([waiting[-1].column(0).to_numpy()[-1:], value])
+        start = runs(value)[-1] - bool(waiting)  # of the last run, in the batch
+        if start > 0 or (start == 0 and waiting):
+            yield ranked(pa.Table.from_batches([*waiting, batch.slice(0, start)]), first, False, before)
+            first, waiting = False, []
+        waiting.append(batch.slice(max(start, 0)))
+    if waiting:
+        yield ranked(pa.Table.from_batches(waiting), first, True, before)
+
+
+def with_mask_ranks(df: DataFrame, value: str, masks: Sequence[str]) -> DataFrame:
+    """Add ``rank_<m>``, the average rank of ``value`` among the rows whose boolean ``m`` is true, and ``same_<m>``, how many of
+    them have the row's value.
+
+    One ordering, stored once, serves all masks; no row is joined by its value.  A NULL value must be filtered out first, and
+    rows outside a mask have a rank between those around them.  A value that many rows share is spread over tasks; the runs
+    at the ends of tasks, two for each, are put together by the driver.
+    """
+    rest = [c for c in df.columns if c != value]
+    rows = df.select(value, *rest, F.pmod(F.monotonically_increasing_id(), F.lit(1 << 15)).cast("short").alias("_salt"))
+    rows = rows.repartitionByRange(value, "_salt").drop("_salt").sortWithinPartitions(value).withColumn("_part", F.spark_partition_id())
+    at = [rows.columns.index(m) for m in masks]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _edge tinyint" + "".join(f", _a{k} double, _s{k} bigint" for k in range(len(at)))
+    placed = stored(rows.mapInArrow(lambda batches: _locally_ranked(batches, at), schema))
+    counts = placed.groupBy("_part", "_edge").agg(F.max(value).alias("_v"), *[F.count_if(m).alias(f"_n{k}") for k, m in enumerate(masks)])
+    parts = sorted(counts.collect(), key=lambda r: (r["_part"], (1, 0, 2)[r["_edge"]]))  # three rows for each task at most
+    base, below, k = [], [0] * len(masks), 0
+    while k < len(parts):
+        end, edge = k + 1, parts[k]["_edge"]
+        while edge and end < len(parts) and parts[end]["_edge"] and (parts[end]["_v"] == parts[k]["_v"] or parts[end]["_v"] != parts[end]["_v"] and parts[k]["_v"] != parts[k]["_v"]):
+            end += 1  # one run over several tasks
+        total = [sum(p[f"_n{m}"] for p in parts[k:end]) for m in range(len(masks))]
+        for p in parts[k:end]:
+            entry = (p["_part"], p["_edge"])
+            for m, n in enumerate(total):
+                # local ranks count the rows of the task's first run, the others of the group are earlier
+                own = sum(q[f"_n{m}"] for q in parts[max(k - 1, 0) : k] if q["_part"] == p["_part"] and q["_edge"] == 1)
+                entry += (below[m] + (n + 1) / 2.0, n) if edge else (float(below[m] - own), None)
+            base.append(entry)
+        below = [b + n for b, n in zip(below, total)]
+        k = end
+    names = "_part int, _edge tinyint" + "".join(f", _b{m} double, _w{m} bigint" for m in range(len(masks)))
+    out = placed.join(F.broadcast(df.sparkSession.createDataFrame(base, names)), ["_part", "_edge"])
+    added = [c for k, m in enumerate(masks) for c in ((F.col(f"_b{k}") + F.col(f"_a{k}")).alias(f"rank_{m}"), F.coalesce(f"_w{k}", f"_s{k}").alias(f"same_{m}"))]
+    return out.select(*df.columns, *added)

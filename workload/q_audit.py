@@ -11,7 +11,7 @@ from tickerloom.operators import folds as fo
 from tickerloom.operators import labels as lb
 from tickerloom.operators import metrics as mt
 from tickerloom.functions.stats import correlation
-from tickerloom.plans.storage import settle, stored
+from tickerloom.plans.storage import passing, settle, stored
 from workload import fixtures as fx
 from workload import sqlparts as sp
 from workload.q_features import ADVERSE_SQL, TARGET_SQL
@@ -199,8 +199,9 @@ sig AS MATERIALIZED (SELECT *, {FAMILY_SQL} AS family FROM s1 JOIN s2 USING (fea
 
 
 def _signal(spark, sf):
-    rows = lb.forward_labels(fx.light(spark, sf), "SPY").select("ticker", "date", *SIGNALS, "forward_20d_excess_return", *LABELS)
-    return settle(au.feature_signal(stored(rows), SIGNALS))
+    rows = lb.forward_labels(fx.light(spark, sf), "SPY").select(*SIGNALS, "forward_20d_excess_return", *LABELS)
+    with passing(spark):
+        return settle(au.feature_signal(stored(rows), SIGNALS))
 
 
 @query(
