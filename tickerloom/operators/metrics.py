@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.buckets import edge_bucket
+from tickerloom.plans import curves
 from tickerloom.plans.ranking import (
     attach_groups,
     quantile_points,
@@ -101,6 +102,46 @@ def binary_metrics(
     )
 
 
+def segment_metrics(
+    df: DataFrame, by: Sequence[str], labels: dict[str, tuple[Column, Column]], probability: str, scopes: Sequence[Sequence[str]], named: str | None = None,
+    ties: Sequence[str] = (), threshold: float = 0.5,
+) -> list[DataFrame]:
+    """``binary_metrics`` of every scope (a list of key columns that includes ``by``) from one ordering by (``by``, probability).
+
+    ``labels`` maps a name, shown in the column ``named``, to the rows that a row stands for and how many are positive; the
+    labels share the probability.  With ``ties`` also the sizes and positives of the outer rank thirds: ``bottom_n``,
+    ``bottom_total``, ``top_n``, ``top_total``.  Groups with an unknown key are left out.
+    """
+    order, keys = curves.ordered(df, by, probability, list(labels.values()), scopes, ties)
+    sums = curves.segment_sums(order, threshold, bool(ties))
+    counted = ["sample_count long", "bottom_n long", "top_n long"]
+    rates = [f"{c} double" for c in ("positive_count positive_rate mean_probability calibration_gap brier_score accuracy precision recall f1 roc_auc pr_auc bottom_total top_total").split()]
+    out = []
+    for scope, groups, found in zip(scopes, keys, sums):
+        rows = []
+        for key, entry in zip(groups, found):
+            for name, values in zip(labels, entry):
+                if values[0] and None not in key:
+                    rows.append((*key, *([name] if named else []), *_read(*map(float, values))))
+        types = [f"{c} {df.schema[c].dataType.simpleString()}" for c in scope] + ([f"{named} string"] if named else [])
+        table = df.sparkSession.createDataFrame(rows, ", ".join([*types, *counted, *rates]))
+        out.append(table if ties else table.drop("bottom_n", "top_n", "bottom_total", "top_total"))
+    return out
+
+
+def _read(n, pos, p, pp, hit_p, called, hit, area, ap, bottom, top) -> tuple:
+    """Counts and metrics of a group from the sums of ``curves``."""
+    neg = n - pos
+    low, high = (n - 1) // 3 + 1, 2 * (n - 1) // 3 + 1
+    precision, recall = hit / called if called else 0.0, hit / pos if pos else 0.0
+    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    both = pos > 0 and neg > 0
+    return (
+        int(n), int(low), int(n - high), pos, pos / n, p / n, pos / n - p / n, (pp - 2 * hit_p + pos) / n, (hit + neg - (called - hit)) / n, precision, recall, f1,
+        area / (pos * neg) if both else None, ap if both else None, bottom, top if n > high else None,
+    )
+
+
 def confusion(df: DataFrame, label: str, probability: str, threshold: float = 0.5) -> DataFrame:
     """2 x 2 counts, zero cells kept."""
     known = df.filter(F.col(label).isNotNull())

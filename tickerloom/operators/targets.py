@@ -8,19 +8,28 @@ is fitted once however many tables use it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom import fixed
 from tickerloom.functions.buckets import rank_bucket
-from tickerloom.operators.metrics import DATE_TIES, binary_metrics
+from tickerloom.operators.metrics import DATE_TIES, segment_metrics
 from tickerloom.operators.scorecards import mean_in
 from tickerloom.plans.ranking import end_thirds
 
 MIN_SAMPLES = 50
 
 
+@dataclass(frozen=True)
+class Shared:
+    """Predictions whose targets have their probability in common: a row for each probability, targets (id -> 0/1 column) side by side."""
+
+    rows: DataFrame
+    targets: dict[str, str]
+
+
 def balance(panel: DataFrame, targets: dict[str, str], h: int = 20) -> DataFrame:
     """Class balance and conditional outcomes per target; targets become rows."""
     excess, drop = f"forward_{h}d_excess_return", f"forward_{h}d_drawdown"
@@ -43,9 +52,38 @@ def balance(panel: DataFrame, targets: dict[str, str], h: int = 20) -> DataFrame
     )
 
 
-def bucket_rates(predictions: DataFrame, by: Sequence[str], minimum: int = 5) -> DataFrame:
+def _tables(predictions: DataFrame | Shared, by: Sequence[str], scopes: Sequence[Sequence[str]]) -> list[DataFrame]:
+    """Metrics and outer thirds for ``by`` and each further scope, from one ordering."""
+    if isinstance(predictions, Shared):
+        rows, named = predictions.rows, "target_id"
+        labels = {t: (F.col(c).isNotNull().cast("int"), F.coalesce(c, F.lit(0.0))) for t, c in predictions.targets.items()}
+    else:
+        rows, named, labels = predictions.filter(F.col("actual").isNotNull()), None, {"": (F.lit(1), F.col("actual"))}
+    by = [b for b in by if b != named]
+    return segment_metrics(rows, by, labels, "probability", [[*by, *s] for s in scopes], named, DATE_TIES)
+
+
+def _spreads(ends: DataFrame, by: Sequence[str], minimum: int = 5) -> DataFrame:
+    """Positive rates of the outer thirds from their sizes and positives; NULL below ``minimum`` rows."""
+    rate = {x: F.col(f"{x}_total") / F.nullif(F.col(f"{x}_n"), F.lit(0)) for x in ("top", "bottom")}
+    enough = (F.col("top_n") >= minimum) & (F.col("bottom_n") >= minimum)
+    return ends.select(
+        *by, F.col("top_n").alias("top_bucket_count"), F.col("bottom_n").alias("bottom_bucket_count"), F.when(enough, rate["top"]).alias("top_bucket_positive_rate"),
+        F.when(enough, rate["bottom"]).alias("bottom_bucket_positive_rate"), F.when(enough, rate["top"] - rate["bottom"]).alias("bucket_spread"),
+    )
+
+
+def _with_spreads(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metric rows with the columns of ``_spreads``; a few rows."""
+    ends = _spreads(table, by)
+    return table.drop("top_n", "bottom_n", "top_total", "bottom_total").join(ends, list(by), "left")
+
+
+def bucket_rates(predictions: DataFrame | Shared, by: Sequence[str], minimum: int = 5) -> DataFrame:
     """Positive rate of the top and bottom rank third per group; settled input."""
     by = list(by)
+    if isinstance(predictions, Shared):
+        return _spreads(_ticker_ends(predictions, by), by, minimum)
     known = predictions.dropna(subset=["actual", "probability"])
     if "ticker" in by:  # at most a row per fold and date
         group = Window.partitionBy(*by)
@@ -58,29 +96,47 @@ def bucket_rates(predictions: DataFrame, by: Sequence[str], minimum: int = 5) ->
         )
     else:
         ends = end_thirds(known, by, "probability", DATE_TIES, "actual")
-    out = ends.withColumns({"_t": F.col("top_total") / F.nullif(F.col("top_n"), F.lit(0)), "_l": F.col("bottom_total") / F.nullif(F.col("bottom_n"), F.lit(0))})
-    out = out.withColumnsRenamed({"top_n": "top_bucket_count", "bottom_n": "bottom_bucket_count"})
-    enough = (F.col("top_bucket_count") >= minimum) & (F.col("bottom_bucket_count") >= minimum)
-    return out.select(
-        *by, "top_bucket_count", "bottom_bucket_count", F.when(enough, F.col("_t")).alias("top_bucket_positive_rate"),
-        F.when(enough, F.col("_l")).alias("bottom_bucket_positive_rate"), F.when(enough, F.col("_t") - F.col("_l")).alias("bucket_spread"),
+    return _spreads(ends, by, minimum)
+
+
+def _ticker_ends(predictions: Shared, by: Sequence[str]) -> DataFrame:
+    """Outer thirds per target and ticker (at most a row per fold and date): the rows are dealt out once for all targets."""
+    rest, names = [b for b in by if b != "target_id"], list(predictions.targets)
+    group = Window.partitionBy(*rest)
+    so_far = group.orderBy("probability", *DATE_TIES).rowsBetween(Window.unboundedPreceding, 0)
+    kept = predictions.rows.filter("probability IS NOT NULL").select(
+        *dict.fromkeys([*rest, "probability", *DATE_TIES]), *[F.col(c).alias(f"_y{k}") for k, c in enumerate(predictions.targets.values())]
     )
+    places = {f"_b{k}": F.when(F.col(f"_y{k}").isNotNull(), rank_bucket(F.count(f"_y{k}").over(so_far), F.count(f"_y{k}").over(group), 3)) for k in range(len(names))}
+    sums = []
+    for k in range(len(names)):
+        for side, b in (("top", 2), ("bottom", 0)):
+            there = F.coalesce(F.col(f"_b{k}") == b, F.lit(False))
+            sums += [F.count_if(there).alias(f"_{side}_n{k}"), F.sum(F.when(there, F.col(f"_y{k}"))).alias(f"_{side}_total{k}")]
+    columns = [f"{side}_{x}" for side in ("top", "bottom") for x in ("n", "total")]
+    entries = [F.struct(F.lit(name).alias("target_id"), *(F.col(f"_{c}{k}").alias(c) for c in columns)) for k, name in enumerate(names)]
+    return kept.withColumns(places).groupBy(*rest).agg(*sums).select(*rest, F.inline(F.array(*entries)))
+
+
+def curve_tables(predictions: DataFrame | Shared) -> dict[str, DataFrame]:
+    """What ``walk_forward_table`` and ``regime_table`` read of the same predictions, from one ordering."""
+    return dict(zip(("all", "fold", "regime"), _tables(predictions, ["target_id"], [[], ["fold"], ["regime"]])))
 
 
-def walk_forward_table(predictions: DataFrame, by: Sequence[str] = ("target_id",)) -> DataFrame:
+def walk_forward_table(predictions: DataFrame | Shared, by: Sequence[str] = ("target_id",), tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Metrics, bucket separation and worst fold / ticker per target (and group)."""
     by = list(by)
-    base = binary_metrics(predictions, by, "actual", "probability", shared="target_id").withColumnRenamed("sample_count", "prediction_count")
-    folds = predictions.groupBy(*by).agg(F.count_distinct("fold").alias("folds"))
-    per_fold = binary_metrics(predictions, [*by, "fold"], "actual", "probability", shared="target_id").filter("roc_auc IS NOT NULL")
-    worst_fold = per_fold.groupBy(*by).agg(F.min(F.struct(F.round("roc_auc", 12).alias("a"), "fold")).alias("_w")).select(
+    found = tables or dict(zip(("all", "fold"), _tables(predictions, by, [[], ["fold"]])))
+    base = _with_spreads(found["all"], by).withColumnRenamed("sample_count", "prediction_count")
+    folds = found["fold"].groupBy(*by).agg(F.count(F.lit(1)).alias("folds"))
+    worst_fold = found["fold"].filter("roc_auc IS NOT NULL").groupBy(*by).agg(F.min(F.struct(F.round("roc_auc", 12).alias("a"), "fold")).alias("_w")).select(
         *by, F.col("_w.fold").alias("worst_fold"), F.col("_w.a").alias("worst_fold_roc_auc")
     )
     per_ticker = bucket_rates(predictions, [*by, "ticker"]).filter("bucket_spread IS NOT NULL")
     worst_ticker = per_ticker.groupBy(*by).agg(F.min(F.struct(F.round("bucket_spread", 12).alias("s"), "ticker")).alias("_w")).select(
         *by, F.col("_w.ticker").alias("worst_ticker"), F.col("_w.s").alias("worst_ticker_bucket_spread")
     )
-    out = base.join(folds, by).join(bucket_rates(predictions, by), by, "left").join(worst_fold, by, "left").join(worst_ticker, by, "left")
+    out = base.join(folds, by).join(worst_fold, by, "left").join(worst_ticker, by, "left")
     lift = F.col("pr_auc") - F.col("positive_rate")
     no = F.lit(False)
     good = F.coalesce(F.col("roc_auc") >= 0.55, no) | F.coalesce(lift >= 0.05, no) | F.coalesce(F.col("bucket_spread") >= 0.10, no)
@@ -88,18 +144,18 @@ def walk_forward_table(predictions: DataFrame, by: Sequence[str] = ("target_id",
     return out.withColumn("quality_summary", F.when(good, "Promising").when(weak, "Weak").otherwise("Mixed"))
 
 
-def fold_calibration(predictions: DataFrame) -> DataFrame:
+def fold_calibration(predictions: DataFrame | Shared) -> DataFrame:
     keys = ["target_id", "fold"]
-    base = predictions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sample_count"), F.avg("actual").alias("event_rate"), F.avg("probability").alias("mean_predicted_probability"),
-        (F.avg("actual") - F.avg("probability")).alias("calibration_gap"),
+    [table] = _tables(predictions, ["target_id"], [["fold"]])
+    return _with_spreads(table, keys).select(
+        *keys, "sample_count", F.col("positive_rate").alias("event_rate"), F.col("mean_probability").alias("mean_predicted_probability"), "calibration_gap",
+        "top_bucket_count", "bottom_bucket_count",
     )
-    return base.join(bucket_rates(predictions, keys).select(*keys, "top_bucket_count", "bottom_bucket_count"), keys, "left")
 
 
-def regime_table(predictions: DataFrame, samples: int = 20) -> DataFrame:
+def regime_table(predictions: DataFrame | Shared, samples: int = 20, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     keys = ["target_id", "regime"]
-    out = binary_metrics(predictions, keys, "actual", "probability", shared="target_id").join(bucket_rates(predictions, keys), keys, "left")
+    out = _with_spreads(tables["regime"] if tables else _tables(predictions, ["target_id"], [["regime"]])[0], keys)
     s = F.col("bucket_spread")
     return out.withColumn(
         "direction",

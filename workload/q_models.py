@@ -153,24 +153,22 @@ def _targets(spark, sf):
 GROUP_FORMULAS = {"technical": "-20 * return_20d", "technical_fourier": "-10 * return_60d", "all": "20 * return_20d"}
 
 
-def _group_predictions(spark, sf, panel):
-    from tickerloom.operators import folds as fo
+def _any_known():
+    return F.coalesce(*TARGET_LABELS.values()).isNotNull()
+
 
+def _group_predictions(spark, sf, panel):
     tested = fo.assign(panel, fx.fold_bounds(spark, sf), "test", fx.shipping_days(spark, sf))
-    entries = F.array(*[F.struct(F.lit(t).alias("target_id"), F.col(c).alias("actual")) for t, c in TARGET_LABELS.items()])
     groups = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.round(1 / (1 + F.exp(F.expr(x))), 12).alias("probability")) for g, x in GROUP_FORMULAS.items()])
-    rows = tested.select("fold", "date", "ticker", F.inline(groups), "*").select("fold", "date", "ticker", "feature_group", "probability", F.inline(entries))
-    return stored(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
+    rows = tested.filter(_any_known()).select("fold", "date", "ticker", *TARGET_LABELS.values(), F.inline(groups))
+    return tg.Shared(stored(rows.filter("probability IS NOT NULL")), TARGET_LABELS)
 
 
 def _predictions(spark, sf, panel):
-    from tickerloom.operators import folds as fo
-
     tested = fo.assign(panel, fx.fold_bounds(spark, sf), "test", fx.shipping_days(spark, sf))
     p = F.round(1 / (1 + F.exp(-20 * F.col("return_20d"))), 12)
-    entries = F.array(*[F.struct(F.lit(t).alias("target_id"), F.col(c).alias("actual")) for t, c in TARGET_LABELS.items()])
-    rows = tested.select("fold", "date", "ticker", "regime", p.alias("probability"), F.inline(entries))
-    return stored(rows.filter("actual IS NOT NULL AND probability IS NOT NULL"))
+    rows = tested.filter(_any_known()).select("fold", "date", "ticker", "regime", p.alias("probability"), *TARGET_LABELS.values())
+    return tg.Shared(stored(rows.filter("probability IS NOT NULL")), TARGET_LABELS)
 
 
 @query(
@@ -255,7 +253,8 @@ qual AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY CASE q WHEN 'Promisi
 def _quality(spark, sf):
     panel = _targets(spark, sf)
     predictions = _predictions(spark, sf, panel)
-    return tg.quality(tg.balance(panel, TARGET_LABELS), tg.walk_forward_table(predictions), tg.regime_table(predictions))
+    tables = tg.curve_tables(predictions)
+    return tg.quality(tg.balance(panel, TARGET_LABELS), tg.walk_forward_table(predictions, tables=tables), tg.regime_table(predictions, tables=tables))
 
 
 @query(
